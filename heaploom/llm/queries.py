@@ -42,7 +42,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op8_toxicity": op8_toxicity,
     "op6_packing": op6_packing,
     "op9_url_filters": op9_url_filters,
     "op10_kd_shards": op10_kd_shards,
