@@ -48,7 +48,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_model import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_lm_scoring": op3_lm_scoring,
     "op8_toxicity": op8_toxicity,
     "op6_packing": op6_packing,
     "op9_url_filters": op9_url_filters,
