@@ -54,7 +54,15 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import remove_boilerplate
+
+    out = remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_lm_scoring": op3_lm_scoring,
     "op8_toxicity": op8_toxicity,
     "op6_packing": op6_packing,
@@ -63,6 +71,24 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_line_dedup": r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(source, chr(1)) AS site, unnest(string_split(text, chr(10))) AS raw,
+         unnest(range(len(string_split(text, chr(10))))) AS pos
+  FROM documents
+), lines AS (
+  SELECT doc_id, site, pos, raw, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM cut
+), bad AS (
+  SELECT line, min(doc_id) AS first_doc FROM lines WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 5
+), kept AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE b.line IS NOT NULL AND b.first_doc <> l.doc_id) AS n_removed,
+         string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE b.line IS NULL OR b.first_doc = l.doc_id) AS text
+  FROM lines l LEFT JOIN bad b ON b.line = l.line GROUP BY l.doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CASE WHEN d.text IS NULL THEN NULL ELSE md5(coalesce(k.text, '')) END AS text_md5
+FROM documents d LEFT JOIN kept k USING (doc_id)
+""",
     "op9_url_filters": r"""
 WITH parts AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS after FROM pages
