@@ -61,7 +61,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_jaccard_join": op5_jaccard_join,
     "op2_line_dedup": op2_line_dedup,
     "op3_lm_scoring": op3_lm_scoring,
     "op8_toxicity": op8_toxicity,
@@ -71,6 +78,30 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_jaccard_join": r"""
+WITH RECURSIVE toks AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM toks WHERE len(w) > 0)
+), size AS (
+  SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM (SELECT x.doc_id AS xa, y.doc_id AS yb, count(*) AS o FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL) p
+  JOIN size a ON a.doc_id = p.xa JOIN size b ON b.doc_id = p.yb
+  WHERE 100 * p.o >= 75 * (a.n + b.n - p.o)
+), reach(doc_id, c) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT links.b, reach.c FROM reach JOIN links ON links.a = reach.doc_id
+)
+SELECT d.doc_id, CAST(coalesce(size.n, 0) AS BIGINT) AS n_shingles, r.component_id
+FROM documents d LEFT JOIN size USING (doc_id)
+JOIN (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id)
+""",
     "op2_line_dedup": r"""
 WITH cut AS (
   SELECT doc_id, coalesce(source, chr(1)) AS site, unnest(string_split(text, chr(10))) AS raw,
