@@ -53,14 +53,14 @@ def crc_mod(col: Column | str, n: int) -> Column:
     return (F.crc32(c.cast("string").cast("binary")) % F.lit(n)).cast("int")
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut batches so that no slice but one of a single row holds more than SLICE_BYTES of text."""
+def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that no slice but one of a single row holds more than `most` bytes of text, or so."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
         size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        cut = np.cumsum(size) // SLICE_BYTES
+        cut = np.cumsum(size) // most
         edges = [0, *(np.flatnonzero(np.diff(cut)) + 1).tolist(), n]
         for a, b in zip(edges, edges[1:]):
             if b > a:

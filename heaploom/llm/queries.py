@@ -67,7 +67,14 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op5_jaccard_join": op5_jaccard_join,
     "op2_line_dedup": op2_line_dedup,
     "op3_lm_scoring": op3_lm_scoring,
