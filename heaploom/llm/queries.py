@@ -73,7 +73,14 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_graph import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op1_decontamination": op1_decontamination,
     "op5_jaccard_join": op5_jaccard_join,
     "op2_line_dedup": op2_line_dedup,
@@ -85,6 +92,27 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_embedding_dedup": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+), good AS (
+  SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS norm FROM v
+  WHERE x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND list_dot_product(x, x) > 0
+), links AS (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM good p JOIN good q ON p.vec_id <> q.vec_id
+  WHERE list_dot_product(p.x, q.x) / (p.norm * q.norm) >= 0.95
+), reach(vec_id, c) AS (
+  SELECT vec_id, vec_id FROM v
+  UNION
+  SELECT links.b, reach.c FROM reach JOIN links ON links.a = reach.vec_id
+), comp AS (
+  SELECT vec_id, min(c) AS component_id FROM reach GROUP BY vec_id
+), n AS (
+  SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN comp USING (vec_id) LEFT JOIN n USING (vec_id)
+""",
     "op5_jaccard_join": r"""
 WITH RECURSIVE toks AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
