@@ -79,7 +79,14 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op7_quality": op7_quality,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op1_decontamination": op1_decontamination,
     "op5_jaccard_join": op5_jaccard_join,
