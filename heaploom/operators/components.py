@@ -134,20 +134,24 @@ def topmost_parent(nodes: DataFrame, parents: DataFrame) -> DataFrame:
     """(addr, top): the end of each node's chain of parents(addr, parent), by pointer jumping; a node on a cycle of
     parents has the cycle's smallest address for its top."""
     p = parents.groupBy("addr").agg(F.min("parent").alias("parent")).where("addr != parent")
-    up = nodes.select("addr").join(p, "addr", "left").select("addr", F.coalesce("parent", "addr").alias("top"), F.least("addr", F.coalesce("parent", "addr")).alias("low"))
-    up = written(up, "top")
-    while True:
-        nxt = up.select(F.col("addr").alias("top"), F.col("top").alias("t2"), F.col("low").alias("l2"))
-        jumped = up.join(nxt, "top", "left").select("addr", F.coalesce("t2", "top").alias("top"), F.least("low", F.coalesce("l2", "low")).alias("low"))
-        jumped = written(jumped, "top")
-        changed = jumped.join(up.select("addr", F.col("top").alias("old"), F.col("low").alias("old_low")), "addr").where("top != old or low != old_low")
-        moving = changed.where("low != old_low")
-        up = jumped
-        if changed.isEmpty():
-            return up.select("addr", "top")
-        if moving.isEmpty():  # only cycles still turn
-            heads = up.select(F.col("addr").alias("top"), F.col("top").alias("t2"), F.col("low").alias("l2"))
-            return up.join(heads, "top", "left").select("addr", F.when(F.col("t2").isNull() | (F.col("t2") == F.col("top")), F.col("top")).otherwise(F.col("l2")).alias("top"))
+    up = written(nodes.select("addr").join(p, "addr", "left").select("addr", F.coalesce("parent", "addr").alias("top")), "top")
+    parent = up
+    rounds = max(1, up.count()).bit_length() + 1
+    for _ in range(rounds):
+        nxt = up.select(F.col("addr").alias("top"), F.col("top").alias("t2"))
+        jumped = written(up.join(nxt, "top", "left").select("addr", F.coalesce("t2", "top").alias("top"), F.coalesce(F.col("t2") != F.col("top"), F.lit(False)).alias("moved")), "top")
+        up = jumped.select("addr", "top")
+        if jumped.where("moved").isEmpty():
+            break
+    # a top that has a parent is on a cycle, and by now every node of a cycle is some node's top
+    heads = up.select(F.col("top").alias("addr")).distinct()
+    ring = written(parent.join(heads, "addr", "left_semi").where("addr != top").select("addr", "top", F.col("addr").alias("low")), "ring")
+    if ring.isEmpty():
+        return up
+    for _ in range(rounds):
+        nxt = ring.select(F.col("addr").alias("top"), F.col("top").alias("t2"), F.col("low").alias("l2"))
+        ring = written(ring.join(nxt, "top", "left").select("addr", F.coalesce("t2", "top").alias("top"), F.least("low", F.coalesce("l2", "low")).alias("low")), "ring")
+    return up.join(ring.select(F.col("addr").alias("top"), "low"), "top", "left").select("addr", F.coalesce("low", "top").alias("top"))
 
 
 def first_parents(edges: DataFrame, label: str = "GetParent()") -> DataFrame:

@@ -430,25 +430,25 @@ se AS (SELECT DISTINCT src, dst FROM edges WHERE label IN ('mNations[i]', 'mSupp
 all_(addr) AS (SELECT 'root' UNION SELECT se.dst FROM all_ JOIN se ON se.src = all_.addr),
 cutset AS (SELECT addr AS gone FROM all_ WHERE addr IN (SELECT src FROM se)),
 left_(gone, addr) AS (SELECT gone, 'root' FROM cutset WHERE gone <> 'root' UNION SELECT l.gone, se.dst FROM left_ l JOIN se ON se.src = l.addr WHERE se.dst <> l.gone),
-dom AS (SELECT c.gone AS by, a.addr FROM cutset c, all_ a WHERE c.gone = 'root' OR (c.gone, a.addr) NOT IN (SELECT gone, addr FROM left_)
+dom AS (SELECT c.gone AS dominator, a.addr FROM cutset c, all_ a WHERE c.gone = 'root' OR (c.gone, a.addr) NOT IN (SELECT gone, addr FROM left_)
  UNION SELECT addr, addr FROM all_)"""
 
 
-@query(REMOVAL + " SELECT addr, by FROM dom")
+@query(REMOVAL + " SELECT addr, dominator FROM dom")
 def dominators_small(spark, d):
     g, roots = _slice(spark, d)
-    return dominators.dominator_sets(g.edges, roots).select("addr", F.explode("dom").alias("by"))
+    return dominators.dominator_sets(g.edges, roots).select("addr", F.explode("dom").alias("dominator"))
 
 
-@query(REMOVAL + """ SELECT by AS addr, CAST(count(*) FILTER (WHERE dom.addr <> 'root') * 8 AS BIGINT) AS retained, count(*) - 1 AS dominated
-FROM dom GROUP BY by""")
+@query(REMOVAL + """ SELECT dominator AS addr, CAST(count(*) FILTER (WHERE dom.addr <> 'root') * 8 AS BIGINT) AS retained, count(*) - 1 AS dominated
+FROM dom GROUP BY dominator""")
 def retained_size_small(spark, d):
     g, roots = _slice(spark, d)
     return dominators.retained_sizes(dominators.dominator_sets(g.edges, roots), g.nodes)
 
 
 @query(REMOVAL + """, depth AS (SELECT addr, count(*) AS n FROM dom GROUP BY addr)
-SELECT d.addr, arg_max(d.by, depth.n) AS idom, CAST(max(depth.n) AS INT) AS depth FROM dom d JOIN depth ON depth.addr = d.by WHERE d.addr <> d.by GROUP BY d.addr""")
+SELECT d.addr, arg_max(d.dominator, depth.n) AS idom, CAST(max(depth.n) AS INT) AS depth FROM dom d JOIN depth ON depth.addr = d.dominator WHERE d.addr <> d.dominator GROUP BY d.addr""")
 def dominator_tree_small(spark, d):
     g, roots = _slice(spark, d)
     return dominators.dominator_tree(dominators.dominator_sets(g.edges, roots))
