@@ -26,7 +26,9 @@ GROUP_PIECES = 5_000
 #: Givers tried in a row, from the emptiest bin on, before the search ends.
 STUCK = 50
 #: Distinct chunks between white space whose ids a worker keeps; beyond it the memory starts anew, the ids stay the same.
-MEMO_CHUNKS = 900_000
+MEMO_CHUNKS = 1_500_000
+#: Bytes of text encoded at once; a distinct chunk is looked up once for each.
+SLICE = 16_000_000
 #: No byte is mapped when texts are cut at white space.
 SAME = bytes(range(256))
 
@@ -54,15 +56,15 @@ class WordTokenizer:
     def _learn(self, chunks: list[str]) -> None:
         """Encode the words of chunks of text without white space, as one text; a word's ids are those with its number."""
         split = [self.split(c.lower()) for c in chunks]
-        words = list(dict.fromkeys(w for c in split for w in c))  # each a single match of the pattern
-        known: dict[str, bytes] = {}
-        for a in range(0, len(words), 20_000):
-            part = words[a : a + 20_000]
+        known = self.memo  # a word is a chunk too, mostly one that is met anyway
+        words = list(dict.fromkeys(w for c in split for w in c if w not in known))  # each a single match of the pattern
+        for a in range(0, len(words), 500):
+            part = words[a : a + 500]
             got = self.tok.encode(" ".join(part), add_special_tokens=False)
             ids, at = np.array(got.ids, "<u4").tobytes(), np.array(got.word_ids)
             edges = (4 * np.searchsorted(at, np.arange(len(part) + 1))).tolist()
             known |= {w: ids[x:y] for w, x, y in zip(part, edges, edges[1:])}
-        self.memo |= {c: known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]) for c, ws in zip(chunks, split)}
+        known |= {c: known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]) for c, ws in zip(chunks, split)}
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and where each text's ids begin (one more entry than texts)."""
@@ -119,7 +121,7 @@ def token_pieces(
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tok = _worker_tokenizer(tokenizer, eos)
-        for batch in text_slices(batches, text):
+        for batch in text_slices(batches, text, SLICE):
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
             flat, bounds = tok.encode(batch.column(text))
             for i in range(batch.num_rows):
