@@ -19,7 +19,7 @@ ASCII_WORDS = bytes(
     b if b >= 128 or chr(b).isalnum() and not 65 <= b <= 90 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)
 )
 #: Bytes of text that are tokenised at once in a worker, whatever the size of the batch that Spark sends.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 
 
 _OWN_DIR: list[str] = []
@@ -35,12 +35,33 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Shuffle files of a finished write are of no more use; Spark then removes them at once.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PATHS: dict[int, tuple[DataFrame, str]] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = out, path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove what written() wrote for tables; nothing that is read later may depend on them."""
+    for df in tables:
+        _, path = _PATHS.pop(id(df))
+        jvm = df.sparkSession._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -124,14 +145,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(large.distinct(), "cc")
+        old, edges = edges, written(large.distinct(), "cc")
+        discard(old)
         # small star: every smaller neighbour of a node, and the node, get the smallest of them
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         small = edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
-        now = edges.agg(
-            F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")
-        ).first()
+        old, edges = edges, written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        discard(old)
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break
         before = now

@@ -8,13 +8,14 @@ corner.  What survives the bound is verified on the sets.
 The trees are distributed by tiles.  Two sets of the wanted similarity share a shingle among the smallest
 n - ceil(t n) + 1 hashes of either, so each document stands in the tile of each of these, and tiles of one document
 vanish.  Documents with equal sets are one from the start.  So that a group of thousands of near copies does not
-become all its pairs, each document is first compared with the best of its tiles' smallest documents and the
-components of these links are found; trees then search only tiles with more than one component, and pairs
-between components.  Tiles of more than TILE documents are cut into chunks by size, searched chunk by chunk.
+become all its pairs, each document is first compared with the best of its tiles' smallest documents, then with the
+best of its neighbours in large tiles, and the components of these links are found; trees then search only tiles
+with more than one component, and pairs between components.  Tiles of more than TILE documents are cut into chunks by size, searched chunk by chunk.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, flat_words, hashed_words, mix64, partitions, text_slices, written
+from .common import components, discard, flat_words, hashed_words, mix64, partitions, text_slices, written
 
 WORDS = 5
 #: Similarity as a percentage, so that the test is one of whole numbers.
@@ -32,8 +33,13 @@ PERCENT = 75
 #: Documents of a tile that one search holds at most.
 TILE = 4096
 LEAF = 16
+#: Neighbours on each side that a document is first compared with in its large tiles, and pairs of it that are verified then.
+NEAR = 6
+BEST = 3
 #: Ids of documents to verify that are sent to every worker at most; more are joined by a shuffle.
 SENT_IDS = 1_000_000
+#: Earlier tiles of a document that a tile is compared with, to find it superfluous.
+BEHIND = 8
 #: Rows of tiles that one call in a worker gets.
 ROWS = 40_000
 
@@ -68,9 +74,9 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def count_vector(shingles: np.ndarray) -> np.ndarray:
-    """Group counts: a power of two of groups, at least n / 4, by the low bits of the hash."""
-    size = 4
-    while size < len(shingles) / 4:
+    """Group counts: a power of two of groups, by the low bits of the hash: as many as shingles, of large sets a quarter."""
+    size = 32
+    while size < min(len(shingles), max(1024, len(shingles) / 4)):
         size *= 2
     while True:
         v = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size)
@@ -81,7 +87,11 @@ def count_vector(shingles: np.ndarray) -> np.ndarray:
 
 def folded(v: np.ndarray, size: int) -> np.ndarray:
     """The counts of fewer groups."""
-    return v.reshape(-1, size).sum(0, dtype=np.int32)
+    return v if len(v) == size else v.reshape(-1, size).sum(0, dtype=np.uint16)
+
+
+def stacked(vectors: list[np.ndarray], rows: np.ndarray, size: int) -> np.ndarray:
+    return np.stack([folded(vectors[i], size) for i in rows])
 
 
 def least_overlap(a, b, percent: int = PERCENT):
@@ -90,7 +100,7 @@ def least_overlap(a, b, percent: int = PERCENT):
 
 
 class CountTree:
-    """An R-tree over count vectors, bulk-loaded by halving along the coordinate that varies most."""
+    """An R-tree over count vectors, bulk-loaded by halving along the widest coordinate."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, ids: np.ndarray | None = None):
         self.ids = np.arange(len(points)) if ids is None else ids
@@ -99,7 +109,7 @@ class CountTree:
         self.most = int(sizes.max())
         self.children: list[CountTree] = []
         if len(points) > LEAF:
-            wide = int(points.var(0).argmax())
+            wide = int((self.top - points.min(0)).argmax())
             order = np.lexsort((self.ids, points[:, wide]))
             half = len(order) // 2
             for part in (order[:half], order[half:]):
@@ -127,38 +137,40 @@ class CountTree:
                 yield rows[ok], np.full(int(ok.sum()), self.ids[i])
 
 
-def tile_pairs(sizes: np.ndarray, comps: np.ndarray, vectors: list[np.ndarray], probe: np.ndarray, point: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Pairs (probe, point) of a tile's rows, of different components, whose bound allows the similarity."""
-    if len(sizes) == 2:
-        i, j = (0, 1) if probe[0] and point[1] else (1, 0)
-        if comps[0] == comps[1] or 100 * min(sizes) < percent * max(sizes):
-            return []
-        g = min(len(vectors[0]), len(vectors[1]))
-        bound = np.minimum(folded(vectors[0], g), folded(vectors[1], g)).sum()
-        return [(i, j)] if bound >= least_overlap(int(sizes[0]), int(sizes[1]), percent) else []
-    out = []
+def like_sizes(sizes: np.ndarray, percent: int) -> list[np.ndarray]:
+    """Rows by size, cut into runs of like size, so that one number of groups fits a run."""
     order = np.argsort(sizes, kind="stable")
-    blocks, begin = [], 0  # runs of like size, so that one number of groups fits
+    blocks, begin = [], 0
     for k in range(1, len(order) + 1):
         if k == len(order) or k - begin >= 512 or 100 * sizes[order[begin]] < percent * sizes[order[k]]:
             blocks.append(order[begin:k])
             begin = k
-    for j, b in enumerate(blocks):
-        b = b[point[b]]
-        if not len(b):
-            continue
-        for a in blocks:
-            a = a[probe[a]]
-            if not len(a) or 100 * sizes[a].max() < percent * sizes[b].min() or 100 * sizes[b].max() < percent * sizes[a].min():
-                continue
-            if len(set(comps[a]) | set(comps[b])) < 2:
-                continue
-            g = min(len(vectors[i]) for x in (a, b) for i in x)
-            tree = CountTree(np.stack([folded(vectors[i], g) for i in b]), sizes[b].astype(np.int64), b)
-            for p, q in tree.search(np.stack([folded(vectors[i], g) for i in a]), sizes[a].astype(np.int64), a, percent):
-                keep = comps[p] != comps[q]
-                out += zip(p[keep].tolist(), q[keep].tolist())
-    return out
+    return blocks
+
+
+def tile_pairs(sizes: np.ndarray, comps: np.ndarray, vectors: list[np.ndarray], probe: np.ndarray, point: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """(2, pairs): probes and points of a tile's rows, of different components, whose bound allows the similarity."""
+    out = [np.zeros((2, 0), np.int64)]
+    blocks = like_sizes(sizes, percent)
+    # of two documents of different components one at least is outside the largest component: it probes for the other
+    names, times = np.unique(comps, return_counts=True)
+    outside = comps != names[times.argmax()]
+    turns = [(probe & outside, point)]
+    if not (probe == point).all():
+        turns.append((probe & ~outside, point & outside))
+    for probing, pointed in turns:
+        for b in (x[pointed[x]] for x in blocks):
+            trees: dict[int, CountTree] = {}
+            near = [x for x in (x[probing[x]] for x in blocks) if len(x)] if len(b) else []
+            near = [a for a in near if 100 * sizes[a].max() >= percent * sizes[b].min() and 100 * sizes[b].max() >= percent * sizes[a].min()]
+            for a in near:
+                g = min(len(vectors[i]) for x in (a, b) for i in x)
+                if g not in trees:
+                    trees[g] = CountTree(stacked(vectors, b, g), sizes[b].astype(np.int64), b)
+                for p, q in trees[g].search(stacked(vectors, a, g), sizes[a].astype(np.int64), a, percent):
+                    keep = comps[p] != comps[q]
+                    out.append(np.stack([p[keep], q[keep]]))
+    return np.concatenate(out, axis=1)
 
 
 def shingled(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
@@ -169,7 +181,8 @@ def shingled(docs: DataFrame, key: str, text: str, words: int, percent: int) ->
 
         for batch in text_slices(batches, "__text"):
             sets = shingle_sets(batch.column("__text"), words)
-            keys = [s[: prefix_length(len(s), percent)].view(np.int64) for s in sets]
+            # with the highest bit turned, signed order is the order of the hashes
+            keys = [(s[: prefix_length(len(s), percent)] ^ np.uint64(1 << 63)).view(np.int64) for s in sets]
             cut = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -199,15 +212,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.ListArray.from_arrays(pa.array(cut), pa.array(flat))], names=["doc", "s"])
 
     wanted = written(wanted, "wanted")
-    if wanted.count() <= SENT_IDS:  # else the texts are shuffled
-        wanted = F.broadcast(wanted)
-    rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("__text")).join(wanted, "doc", "left_semi")
+    few = wanted.count() <= SENT_IDS  # else the texts are shuffled
+    rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("__text")).join(F.broadcast(wanted) if few else wanted, "doc", "left_semi")
     sets = rows.mapInArrow(apply, f"doc {kind}, s array<long>").groupBy("doc").agg(F.first("s").alias("s"))
     sets = written(sets, "sets")
     both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("s").alias("sa")), "a")
     both = both.join(sets.select(F.col("doc").alias("b"), F.col("s").alias("sb")), "b")
     o = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * o >= percent * (F.size("sa") + F.size("sb") - o)).select("a", "b")
+    out = written(both.where(100 * o >= percent * (F.size("sa") + F.size("sb") - o)).select("a", "b"), "links")
+    discard(sets, wanted)
+    return out
 
 
 def _bounded(pairs: DataFrame, vecs: DataFrame, percent: int) -> DataFrame:
@@ -231,11 +245,61 @@ def _bounded(pairs: DataFrame, vecs: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "na", "nb", "va", "vb").mapInArrow(apply, f"a {kind}, b {kind}, __bound double")
 
 
-def _searched(tiles: DataFrame, percent: int, kind: str) -> DataFrame:
-    """Candidate pairs of tiles (key, doc, n, comp, vec), by R-trees; large tiles in chunks of like sizes."""
+def _small_tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components and like sizes of tiles of at most LEAF documents: a tree over one would be one leaf."""
+    lists = rows.groupBy("key").agg(F.collect_list(F.struct("doc", "n", "comp")).alias("m"))
+    near = (
+        f"y.doc > x.doc and y.comp != x.comp and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    )
+    pairs = F.expr(f"flatten(transform(m, x -> transform(filter(m, y -> {near}), y -> struct(x.doc as a, y.doc as b))))")
+    return lists.select(pairs.alias("all")).select(F.explode("all").alias("p")).select("p.a", "p.b").distinct()
+
+
+def _not_subsumed(rows: DataFrame) -> DataFrame:
+    """Rows of tiles whose documents do not all stand together in one earlier tile as well.
+
+    The shingles of a passage that many documents share make many tiles of the same documents; prefixes are closed downwards, so
+    all stand in the tile of its smallest hash.  Each document's last BEHIND tiles are compared.
+    """
+    w = Window.partitionBy("doc").orderBy("key").rowsBetween(-BEHIND, -1)
+    before = rows.select("key", F.collect_list("key").over(w).alias("all")).select("key", F.explode("all").alias("earlier"))
+    met = before.groupBy("key", "earlier").agg(F.count("*").alias("met"))
+    size = rows.groupBy("key").agg(F.count("*").alias("size"))
+    gone = met.join(size, "key").where("met = size").select("key").distinct()
+    return rows.join(gone, "key", "left_anti")
+
+
+def near_pairs(sizes: np.ndarray, comps: np.ndarray, vectors: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """(2, pairs) of different components among neighbours by size and by place, with bound / union: where a link is likeliest."""
+    pairs, values = [np.zeros((2, 0), np.int64)], [np.zeros(0)]
+    for block in like_sizes(sizes, percent):
+        if len(block) < 2 or (comps[block] == comps[block[0]]).all():
+            continue
+        points = stacked(vectors, block, min(len(vectors[i]) for i in block))
+        for order in (np.arange(len(block)), np.argsort(block)):
+            for off in range(1, min(NEAR, len(block) - 1) + 1):
+                i, j = order[:-off], order[off:]
+                bound = np.minimum(points[i], points[j]).sum(1).astype(np.int64)
+                i, j = block[i], block[j]
+                good = (comps[i] != comps[j]) & (bound >= least_overlap(sizes[i], sizes[j], percent))
+                pairs.append(np.stack([i[good], j[good]]))
+                values.append((bound / (sizes[i] + sizes[j] - bound))[good])
+    return np.concatenate(pairs, axis=1), np.concatenate(values)
+
+
+def _searched(tiles: DataFrame, vecs: DataFrame, percent: int, kind: str, near: bool) -> DataFrame:
+    """Candidate pairs of large tiles (key, doc, n, comp), by R-trees; in chunks of like sizes.
+
+    near: only, for each document, the BEST pairs with neighbours, to join components before all pairs between them are sought.
+    """
     spark = tiles.sparkSession
     w = Window.partitionBy("key").orderBy("n", "doc")
     rows = tiles.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / TILE).cast("int"))
+    # a document without another of like size in its tile has no partner there
+    alike = 100 * F.lag("n").over(w) >= percent * F.col("n")
+    alike = F.coalesce(alike, F.lit(False)) | F.coalesce(100 * F.col("n") >= percent * F.lead("n").over(w), F.lit(False))
+    lead = F.min("doc").over(Window.partitionBy("key"))
+    rows = rows.withColumn("alike", alike).withColumn("lead", lead).where("alike").drop("alike")
     rows = written(rows, "tiles")
     chunks = rows.groupBy("key", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("c"))
     i, j = chunks.alias("i"), chunks.alias("j")
@@ -247,24 +311,42 @@ def _searched(tiles: DataFrame, percent: int, kind: str) -> DataFrame:
     cut = rows.join(large, "key", "left_semi")
     probes = cut.join(plan, "key").where("chunk = ci or chunk = cj").withColumn("probe", F.col("chunk") == F.col("ci")).withColumn("point", F.col("chunk") == F.col("cj"))
     both = single.unionByName(probes.select(single.columns))
+    # tiles with the same smallest document hold much the same documents: together they need each vector once
     groups = max(partitions(spark), -(-rows.count() // ROWS))
-    both = both.withColumn("__bin", F.pmod(F.xxhash64("key", "ci", "cj"), F.lit(groups)))
+    both = both.withColumn("__bin", F.pmod(F.xxhash64("lead", "ci", "cj"), F.lit(groups))).drop("lead", "chunk")
+    both = written(both, "searches")
+    each = both.select((F.col("__bin") + 0).alias("bin"), F.col("doc").alias("d")).distinct()
+    own = each.join(vecs.select(F.col("doc").alias("d"), "vec"), "d")
 
-    def search(part: pd.DataFrame) -> pd.DataFrame:
+    def search(part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        place = dict(zip(known["d"], known["vec"]))
         part = part.sort_values(["key", "ci", "cj", "doc"], kind="stable").reset_index(drop=True)
         n, comp, doc = part["n"].to_numpy(), part["comp"].to_numpy(), part["doc"].to_numpy()
         probe, point = part["probe"].to_numpy(), part["point"].to_numpy()
-        vectors = [np.frombuffer(v, np.uint8) for v in part["vec"]]
         ids = part[["key", "ci", "cj"]].to_numpy()
         edges = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1).tolist(), len(part)]
-        found = set()
+        found, waiting = [pd.DataFrame({"a": doc[:0], "b": doc[:0], "v": np.zeros(0)})], 0
         for a, b in zip(edges, edges[1:]):
             s = slice(a, b)
-            for p, q in tile_pairs(n[s], comp[s], vectors[a:b], probe[s], point[s], percent):
-                found.add((min(doc[a + p], doc[a + q]), max(doc[a + p], doc[a + q])))
-        return pd.DataFrame(sorted(found), columns=["a", "b"])
-
-    return both.groupBy("__bin").applyInPandas(search, f"a {kind}, b {kind}").distinct()
+            vectors = [np.frombuffer(place[d], np.uint8) for d in doc[s]]
+            if near:
+                (p, q), value = near_pairs(n[s], comp[s], vectors, percent)
+            else:
+                (p, q), value = tile_pairs(n[s], comp[s], vectors, probe[s], point[s], percent), 0.0
+            x, y = doc[s][p], doc[s][q]
+            found.append(pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "v": value}))
+            waiting += len(p)
+            if waiting > 200_000:
+                found, waiting = [pd.concat(found).drop_duplicates()], 0
+        out = pd.concat(found).drop_duplicates().sort_values(["v", "a", "b"], ascending=[False, True, True])
+        if near:
+            out = pd.concat([out.groupby("a").head(BEST), out.groupby("b").head(BEST)]).drop_duplicates()
+        return out[["a", "b"]]
+
+    found = both.groupBy("__bin").cogroup(own.groupBy("bin")).applyInPandas(search, f"a {kind}, b {kind}")
+    found = written(found.distinct(), "pairs")
+    discard(rows, both)
+    return found
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -282,25 +364,38 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     reps = rows.groupBy("fp").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     keyed = reps.select("doc", "n", F.explode("keys").alias("key"))
     w = Window.partitionBy("key")
-    live = keyed.withColumn("lead", F.min("doc").over(w)).withColumn("last", F.max("doc").over(w)).where("lead != last")
-    live = written(live.select("key", "doc", "n", "lead"), "live")
-    vecs = table.where("n > 0 and doc is not null").select("doc", "n", "vec").dropDuplicates(["doc"])
+    live = keyed.withColumn("c0", F.min("doc").over(w)).withColumn("c1", F.max("doc").over(w)).where("c0 != c1")
+    # the smallest set of like size in a tile: what a group of altered copies has in common weighs most in it
+    reach = f"partition by key order by ln(n) range between {-math.log(percent / 100) + 1e-9}D preceding and current row"
+    lead = F.expr(f"min(struct(n, doc)) over ({reach})")["doc"]
+    live = written(live.select("key", "doc", "n", lead.alias("lead")), "live")
+    vecs = written(table.where("n > 0 and doc is not null").select("doc", "n", "vec").dropDuplicates(["doc"]), "vecs")
 
     stars = live.where("doc != lead").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
-    best = _bounded(stars, vecs, percent).groupBy("b").agg(F.max_by("a", F.struct("__bound", "a")).alias("a"))
-    tested = written(best.select("a", "b"), "tested")
-    links = written(_verified(tested, known, key, text, words, percent), "links")
-
-    joined = components(links).select(F.col("node").alias("doc"), F.col("component").alias("comp"))
-    mine = live.join(joined, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    w = Window.partitionBy("key")
-    mine = mine.withColumn("c0", F.min("comp").over(w)).withColumn("c1", F.max("comp").over(w)).where("c0 != c1")
-    tiles = mine.select("key", "doc", "n", "comp").join(vecs.select("doc", "vec"), "doc")
-    pairs = _searched(tiles, percent, kind)
-    more = _verified(written(_without(pairs, tested), "pairs"), known, key, text, words, percent)
+    # each document with the best and the worst of these whose bound allows a link
+    best = _bounded(stars, vecs, percent).groupBy("b").agg(F.max_by(F.struct("a"), F.struct("__bound", "a")).alias("x"), F.min_by(F.struct("a"), F.struct("__bound", "a")).alias("y"))
+    tested = best.select(F.explode(F.array_distinct(F.array("x.a", "y.a"))).alias("a"), "b")
+    tested = written(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tested")
+    links = _verified(tested, known, key, text, words, percent)
+
+    for near in (True, False):
+        joined = components(links).select(F.col("node").alias("doc"), F.col("component").alias("comp"))
+        mine = live.join(joined, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+        w = Window.partitionBy("key")
+        mine = mine.withColumn("c0", F.min("comp").over(w)).withColumn("c1", F.max("comp").over(w)).withColumn("size", F.count("*").over(w))
+        mine = written(mine.where("c0 != c1").select("key", "doc", "n", "comp", "size"), "mixed")
+        large = written(_not_subsumed(mine.where(F.col("size") > LEAF).drop("size")), "large")
+        pairs = found = _searched(large, vecs, percent, kind, near)
+        if not near:
+            leaves = _bounded(_small_tile_pairs(mine.where(F.col("size") <= LEAF), percent), vecs, percent).select("a", "b")
+            pairs = pairs.unionByName(leaves).distinct()
+        fresh = written(_without(pairs, tested), "fresh")
+        discard(mine, large, found)
+        links = links.unionByName(_verified(fresh, known, key, text, words, percent))
+        tested = tested.unionByName(fresh)
 
     copies = rows.join(reps.select("fp", F.col("doc").alias("rep")), "fp").where("doc != rep")
-    every = written(links.unionByName(more).unionByName(copies.select(F.col("doc").alias("a"), F.col("rep").alias("b"))), "links")
+    every = written(links.unionByName(copies.select(F.col("doc").alias("a"), F.col("rep").alias("b"))), "links")
     final = components(every).select(F.col("node").alias("doc"), F.col("component").alias("comp"))
     out = table.select("doc", "n").join(final, "doc", "left")
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("comp", "doc").alias("component_id"))

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 #: A line on this many distinct sites or more is boilerplate.
 SITES = 5
@@ -50,7 +50,9 @@ def spread(lines: DataFrame, sites: int = SITES) -> DataFrame:
     exact = lines.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").select("h1", "h2", "site").distinct()
     exact = exact.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= sites)
     found = sure.unionByName(near.join(exact.select("h1", "h2"), ["h1", "h2"], "left_semi"))
-    return found.select("h1", "h2", "first_doc")
+    out = written(found.select("h1", "h2", "first_doc"), "boilerplate")
+    discard(seen)
+    return out
 
 
 def remove_boilerplate(
@@ -74,12 +76,14 @@ def remove_boilerplate(
         .select("doc", "site", F.xxhash64("line").alias("h1"), F.hash("line", F.lit(1)).alias("h2"))
     )
     lines = written(lines, "lines")
-    bad = written(spread(lines, sites), "boilerplate")
+    bad = spread(lines, sites)
     hit = lines.join(bad, ["h1", "h2"])
     if keep_first:
         hit = hit.where("doc is null or first_doc is null or doc != first_doc")
     # what each document loses: bounded by its own lines
     gone = hit.select("doc", "h1", "h2").distinct().groupBy("doc").agg(F.collect_list(F.struct("h1", "h2")).alias("__gone"))
+    gone = written(gone, "gone")
+    discard(lines, bad)
     joined = docs.join(gone.withColumnRenamed("doc", "__doc"), F.col(key).eqNullSafe(F.col("__doc")), "left")
 
     def lost(x: Column) -> Column:
