@@ -1,7 +1,7 @@
 """Quality classifier from weak labels.
 
 Heuristic labellers vote good (1), bad (0) or abstain (-1) on each document.  Expectation-maximisation over the counts of vote patterns
-estimates how often each labeller is right, and how many documents are good; the counts cover all documents
+estimates how often each labeller is right; the counts cover all documents
 and are bounded by the number of patterns.  The posterior labels of a bounded sample train a linear scorer over hashed
 words and text statistics, which then scores every document in one pass.  No human label is read.
 """
@@ -14,71 +14,103 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, flat_words, hashed_words, text_slices
 
-#: Documents that the linear scorer is fitted on at most (those of smallest hash).
+#: Documents that the linear scorer is fitted on: a share of all, picked by hash, that makes about so many.
 SAMPLE = 6_000
 BUCKETS = 1 << 14
 #: Where EM starts: the share of good text; P(abstain, bad, good) in bad and in good text.
-PRIOR = 0.8
+PRIOR = 0.85
+#: A vote for bad is at least so likely in bad text, and at most in good text.
+LEAST, MOST = 0.1, 0.02
 START = ((0.35, 0.25, 0.40), (0.38, 0.02, 0.60))
 
 
-def labellers(text: str = "text") -> dict[str, Column]:
-    """The votes on a document's whole text."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    n = F.length(t)
-    words = F.when(F.trim(t) == "", 0).otherwise(F.size(F.split(F.trim(t), r"\s+")))
-    upper = n - F.length(F.regexp_replace(t, r"\p{Lu}", ""))
-    letters = n - F.length(F.regexp_replace(t, r"\p{L}", ""))
-    marks = n - F.length(F.translate(t, "!%&*$#@|<>{}~^=_", ""))
-    stops = n - F.length(F.translate(t, ".", ""))
-    again = n - F.length(F.regexp_replace(t, r"(?<!\S)(\S+)(?:\s+\1)+(?!\S)", "$1"))
-
-    distinct = F.size(F.array_distinct(F.split(F.trim(t), r"\s+")))
-
-    def vote(bad: Column, good: Column | None = None) -> Column:
-        out = F.when(bad, 0)
-        return (out if good is None else out.when(good, 1)).otherwise(-1)
-
-    def share(a: Column, b: Column) -> Column:
-        return a / F.greatest(b, F.lit(1))
-
-    return {
-        "length": vote(words < 8, words >= 60),
-        "sentences": vote(share(stops, words) < 0.005, share(stops, words).between(0.03, 0.4)),
-        "case": vote(share(upper, letters) > 0.3),
-        "marks": vote(share(marks, words) > 0.1),
-        "letters": vote(share(letters, n) < 0.65),
-        "repeats": vote(share(again, n) > 0.05),
-        "variety": vote((words >= 30) & (share(distinct, words) < 0.3)),
-    }
+LABELLERS = ["length", "sentences", "case", "lower", "marks", "symbols", "letters", "repeats", "variety"]
+
+_BYTES = np.arange(256)
+_UPPER = (_BYTES >= 65) & (_BYTES <= 90)
+_LOWER = (_BYTES >= 97) & (_BYTES <= 122)
+_LETTER = _UPPER | ((_BYTES >= 97) & (_BYTES <= 122)) | (_BYTES >= 0xC3)  # a lead byte of two or more stands for a letter
+_MARK = np.isin(_BYTES, list(b"!%&*$#@|<>{}~^=_"))
+_STOP = _BYTES == ord(".")
+_CHAR = (_BYTES < 0x80) | (_BYTES >= 0xC0)
+
+
+def votes(texts: pa.Array) -> np.ndarray:
+    """(texts, labellers): what each labeller says of each whole text."""
+    flat, starts = flat_words(texts, bytes(range(256)))
+    words = np.diff(starts)
+    owner = np.repeat(np.arange(len(words)), words)
+    coded = flat.dictionary_encode()
+    code = coded.indices.to_numpy().astype(np.int64)
+    some = np.maximum(words, 1)
+    distinct = np.bincount(np.unique(owner * max(1, len(coded.dictionary)) + code) // max(1, len(coded.dictionary)), minlength=len(words)) if len(code) else np.zeros(len(words))
+    same = np.zeros(len(code), bool)
+    same[1:] = (code[1:] == code[:-1]) & (owner[1:] == owner[:-1])
+    repeats = np.bincount(owner, same, len(words)) / some
+    plain = pc.fill_null(texts.cast(pa.string()), "")
+    ends = np.frombuffer(plain.buffers()[1], np.int32, len(plain) + 1, plain.offset * 4).astype(np.int64)
+    data = plain.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+
+    def count(kind: np.ndarray) -> np.ndarray:
+        c = np.concatenate([[0], np.cumsum(kind[raw], dtype=np.int64)])
+        return c[ends[1:] - ends[0]] - c[ends[:-1] - ends[0]]
+
+    chars, letters = np.maximum(count(_CHAR), 1), count(_LETTER)
+    upper, marks, stops = count(_UPPER) / np.maximum(letters, 1), count(_MARK) / some, count(_STOP) / some
+
+    def vote(bad: np.ndarray, good: np.ndarray | bool = False) -> np.ndarray:
+        return np.where(bad, 0, np.where(good, 1, -1))
+
+    return np.stack(
+        [
+            vote(words < 8, words >= 60),
+            vote(stops < 0.005, (stops >= 0.03) & (stops <= 0.4)),
+            vote(upper > 0.3),
+            vote(count(_LOWER) / chars < 0.4),
+            vote(marks > 0.1),
+            vote(count(_MARK) / chars > 0.02),
+            vote(letters / chars < 0.65),
+            vote(repeats > 0.05),
+            vote((words >= 30) & (distinct / some < 0.3)),
+        ],
+        1,
+    )
+
+
+def pattern_number(v: np.ndarray) -> np.ndarray:
+    return ((v + 1) * 3 ** np.arange(v.shape[1])).sum(1)
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300) -> tuple[float, np.ndarray]:
     """EM over vote patterns: the share of good documents, and P(vote | class) as (labeller, class, vote + 1).
 
+    The share stays at PRIOR: votes for good that nearly all documents get cannot tell it.
+
     Votes are independent given the class.  The start says what a vote is worth before any data: a vote for bad is rare
     in good text (START), a vote for good common in both.
     """
     k = patterns.shape[1]
     p = np.tile(np.array(START), (k, 1, 1))
-    good = PRIOR
+    good, last = PRIOR, None
     for _ in range(rounds):
         post = posterior(patterns, good, p)
         w = np.stack([(1 - post) * counts, post * counts])
         total = w.sum(1)
-        new = float(np.clip(total[1] / max(1e-9, total.sum()), 0.02, 0.98))
         for j in range(k):
             for v in range(3):
                 p[j, :, v] = (w[:, patterns[:, j] == v - 1].sum(1) + 1) / (total + 3)
-        done = abs(new - good) < 1e-9
-        good = new
-        if done:
+        # labellers that always vote together must not make the others' votes for bad worthless
+        p[:, 0, 1], p[:, 1, 1] = np.maximum(p[:, 0, 1], LEAST), np.minimum(p[:, 1, 1], MOST)
+        if last is not None and np.abs(p - last).max() < 1e-9:
             break
+        last = p.copy()
     return good, p
 
 
@@ -86,7 +118,9 @@ def posterior(patterns: np.ndarray, good: float, p: np.ndarray) -> np.ndarray:
     """P(good | votes) of each pattern."""
     d = np.full(len(patterns), np.log(good / (1 - good)))
     for j in range(patterns.shape[1]):
-        d += np.log(p[j, 1] / p[j, 0])[patterns[:, j] + 1]
+        ratio = np.log(p[j, 1] / p[j, 0])
+        ratio[0] = 0.0  # an abstention says nothing
+        d += ratio[patterns[:, j] + 1]
     return 1 / (1 + np.exp(-np.clip(d, -60, 60)))
 
 
@@ -130,35 +164,41 @@ class LinearScorer:
         return np.bincount(rows, values * self.w[cols], len(dense)) + dense @ self.w[BUCKETS:]
 
 
-def weak_labels(docs: DataFrame, text: str = "text") -> tuple[DataFrame, float, np.ndarray]:
-    """docs with a column of votes, and what estimate() makes of those of all of docs."""
-    votes = labellers(text)
-    voted = docs.withColumn("__votes", F.array(*[v.cast("int") for v in votes.values()]))
-    seen = voted.groupBy("__votes").agg(F.count("*").alias("n")).orderBy("__votes").collect()  # 3 ** labellers rows at most
+def weak_labels(docs: DataFrame, text: str = "text") -> tuple[float, np.ndarray]:
+    """What estimate() makes of the votes on all of docs."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "__text"):
+            k, n = np.unique(pattern_number(votes(batch.column("__text"))), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], names=["k", "n"])
+
+    counted = docs.select(F.col(text).alias("__text")).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    seen = counted.orderBy("k").collect()  # 3 ** labellers rows at most
     if not seen:
-        return voted, PRIOR, np.tile(np.array(START), (len(votes), 1, 1))
-    return voted, *estimate(np.array([r["__votes"] for r in seen]), np.array([r["n"] for r in seen], float))
+        return PRIOR, np.tile(np.array(START), (len(LABELLERS), 1, 1))
+    every = np.array(list(product((-1, 0, 1), repeat=len(LABELLERS))))
+    place = dict(zip(pattern_number(every).tolist(), every))
+    return estimate(np.array([place[r["k"]] for r in seen]), np.array([r["n"] for r in seen], float))
 
 
-def score_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.85, sample: int = SAMPLE) -> DataFrame:
+def score_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """Score every row: (key, score, label_probability, kept).
 
     label_probability is the posterior of the votes, score the linear scorer's probability of good text, kept
     score >= threshold.  A null or empty text is judged as a text without words.  Repeated rows are scored one
     by one and count as often; a null key is scored like any other.  Other columns are ignored; an empty table gives an empty result.
     """
-    voted, good, p = weak_labels(docs.select(F.col(key).alias(key), F.col(text).alias("__text")), "__text")
-    all_patterns = np.array(list(product((-1, 0, 1), repeat=len(p))))
-    table = dict(zip(map(tuple, all_patterns.tolist()), posterior(all_patterns, good, p).tolist()))
+    rows = docs.select(F.col(key).alias(key), F.col(text).alias("__text"))
+    good, p = weak_labels(rows, "__text")
     n = docs.count()
     share = min(1.0, sample / n) if n else 1.0
-    chosen = voted.where(F.pmod(F.xxhash64(key, "__text"), F.lit(1 << 40)) < int(share * (1 << 40)))
-    rows = chosen.orderBy(F.xxhash64(key, "__text"), key).limit(sample).select("__text", "__votes")
+    # about `sample` rows; the bound is on what the hash picks, so no sort of texts is needed
+    chosen = rows.where(F.pmod(F.xxhash64(key, "__text"), F.lit(1 << 40)) < int(share * (1 << 40))).select("__text")
     model = LinearScorer()
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "__text"):
-            y = [table[tuple(v)] for v in batch.column("__votes").to_pylist()]
+            y = posterior(votes(batch.column("__text")), good, p)
             r, c, v, d = LinearScorer.features(batch.column("__text"))
             cut = pa.array(np.searchsorted(r, np.arange(len(d) + 1)).astype(np.int32))
             dense = pa.ListArray.from_arrays(pa.array(np.arange(len(d) + 1, dtype=np.int32) * d.shape[1]), pa.array(d.ravel()))
@@ -167,18 +207,18 @@ def score_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", thre
                 names=["y", "c", "v", "d"],
             )
 
-    got = rows.mapInArrow(featured, "y double, c array<int>, v array<float>, d array<double>").toArrow()  # bounded by the sample
+    got = chosen.mapInArrow(featured, "y double, c array<int>, v array<float>, d array<double>").toArrow()  # bounded by the sample
     model = fit_features(model, got)
-    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps((model, table)))
+    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, post = pickle.loads(sent.value)
+        m = pickle.loads(sent.value)
         for batch in text_slices(batches, "__text"):
             z = m.logits(batch.column("__text"))
-            y = [post[tuple(v)] for v in batch.column("__votes").to_pylist()]
+            y = posterior(votes(batch.column("__text")), good, p)
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500)))), pa.array(y, pa.float64())], names=[key, "score", "label_probability"])
 
-    scored = voted.mapInArrow(apply, f"{key} {dict(docs.dtypes)[key]}, score double, label_probability double")
+    scored = rows.mapInArrow(apply, f"{key} {dict(docs.dtypes)[key]}, score double, label_probability double")
     return scored.withColumn("kept", F.col("score") >= threshold)
 
 
