@@ -26,9 +26,9 @@ GROUP_PIECES = 5_000
 #: Givers tried in a row, from the emptiest bin on, before the search ends.
 STUCK = 50
 #: Distinct chunks between white space whose ids a worker keeps; beyond it the memory starts anew, the ids stay the same.
-MEMO_CHUNKS = 1_500_000
+MEMO_CHUNKS = 1_100_000
 #: Bytes of text encoded at once; a distinct chunk is looked up once for each.
-SLICE = 16_000_000
+SLICE = 6_000_000
 #: No byte is mapped when texts are cut at white space.
 SAME = bytes(range(256))
 

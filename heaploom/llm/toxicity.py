@@ -231,13 +231,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
         values = pa.array(m.words, pa.string())
         for batch in text_slices(batches, "__text"):
             score = m.scores(m.ratios(batch.column("__text"), values)[0])
-            rest = [c for c in batch.schema.names if c != "__text"]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, rest), pa.array(score)], names=[*rest, "__score"])
+            back = [c for c in batch.schema.names if c != "__text" or keep and text in own]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, back), pa.array(score)], names=[*back, "__score"])
 
     own = docs.columns if keep else [key]
-    rows = docs.select(*own, F.col(text).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
-    scored = rows.mapInArrow(apply, f"{fields}, __score double")
+    rest = [c for c in own if c != text]  # the text goes to the workers once
+    rows = docs.select(*rest, F.col(text).alias("__text"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if keep and text in own or f.name != "__text")
+    scored = rows.mapInArrow(apply, f"{fields}, __score double").withColumnRenamed("__text", text)
     return scored.select(
         *own,
         (crc_mod(key, held_out[0]) == held_out[1]).alias("held_out"),
