@@ -15,10 +15,11 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, flat_words, hashed_words, text_slices
+from .common import flat_words, text_slices
 
 #: Documents that the linear scorer is fitted on: a share of all, picked by hash, that makes about so many.
 SAMPLE = 6_000
@@ -41,15 +42,20 @@ _STOP = _BYTES == ord(".")
 _CHAR = (_BYTES < 0x80) | (_BYTES >= 0xC0)
 
 
-def votes(texts: pa.Array) -> np.ndarray:
-    """(texts, labellers): what each labeller says of each whole text."""
+def parsed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Words per text, the text and the number of each word, and the distinct words."""
     flat, starts = flat_words(texts, bytes(range(256)))
-    words = np.diff(starts)
-    owner = np.repeat(np.arange(len(words)), words)
     coded = flat.dictionary_encode()
-    code = coded.indices.to_numpy().astype(np.int64)
-    some = np.maximum(words, 1)
-    distinct = np.bincount(np.unique(owner * max(1, len(coded.dictionary)) + code) // max(1, len(coded.dictionary)), minlength=len(words)) if len(code) else np.zeros(len(words))
+    words = np.diff(starts)
+    return words, np.repeat(np.arange(len(words)), words), coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+
+
+def votes(texts: pa.Array, words_of: tuple | None = None) -> np.ndarray:
+    """(texts, labellers): what each labeller says of each whole text."""
+    words, owner, code, names = words_of or parsed(texts)
+    some, v = np.maximum(words, 1), max(1, len(names))
+    cell = np.sort(owner * v + code)  # faster than np.unique, which hashes
+    distinct = np.bincount(cell[np.append(cell[1:] != cell[:-1], True)] // v, minlength=len(words)) if len(cell) else np.zeros(len(words))
     same = np.zeros(len(code), bool)
     same[1:] = (code[1:] == code[:-1]) & (owner[1:] == owner[:-1])
     repeats = np.bincount(owner, same, len(words)) / some
@@ -59,8 +65,8 @@ def votes(texts: pa.Array) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
 
     def count(kind: np.ndarray) -> np.ndarray:
-        c = np.concatenate([[0], np.cumsum(kind[raw], dtype=np.int64)])
-        return c[ends[1:] - ends[0]] - c[ends[:-1] - ends[0]]
+        c = np.add.reduceat(np.append(kind[raw], False).view(np.uint8), ends[:-1] - ends[0], dtype=np.int64)
+        return np.where(ends[1:] > ends[:-1], c, 0)  # of an empty text it gives the next byte
 
     chars, letters = np.maximum(count(_CHAR), 1), count(_LETTER)
     upper, marks, stops = count(_UPPER) / np.maximum(letters, 1), count(_MARK) / some, count(_STOP) / some
@@ -137,30 +143,24 @@ class LinearScorer:
         self.w = np.zeros(BUCKETS + 5)
 
     @staticmethod
-    def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def features(texts: pa.Array, words_of: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Rows, buckets and values of the hashed words of the texts, and their dense statistics."""
-        raw, starts = flat_words(texts, bytes(range(256)))
-        n = np.diff(starts)
-        owner = np.repeat(np.arange(len(n)), n)
-        low, _ = flat_words(texts, ASCII_LOWER)
-        h = (hashed_words(low) % np.uint64(BUCKETS)).astype(np.int64)
-        cell, times = np.unique(owner * BUCKETS + h, return_counts=True)
+        n, owner, code, words = words_of or parsed(texts)
+        table = np.fromiter((xxhash.xxh3_64_intdigest(w.lower()) % BUCKETS for w in words), np.int64, len(words))
+        cell, times = np.unique(owner * BUCKETS + table[code], return_counts=True)
         rows, cols = cell // BUCKETS, cell % BUCKETS
         size = np.maximum(n, 1)
         values = np.sqrt(times / size[rows])
-        coded = raw.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        upper = np.fromiter((w[:1] != w[:1].lower() and w != w.lower() and len(w) > 1 and w == w.upper() for w in words), bool, len(words))
+        upper = np.fromiter((len(w) > 1 and w == w.upper() and w != w.lower() for w in words), bool, len(words))
         odd = np.fromiter((not w.strip(".,;:?'\"()-").isalpha() for w in words), bool, len(words))
-        code = coded.indices.to_numpy()
         same = np.zeros(len(code), bool)
         same[1:] = (code[1:] == code[:-1]) & (owner[1:] == owner[:-1])
         mean = lambda x: np.bincount(owner, x, len(n)) / size
         dense = np.stack([mean(upper[code]), mean(odd[code]), mean(same), np.minimum(np.log1p(n) / 8, 1.5), np.ones(len(n))], 1)
         return rows, cols, values, dense
 
-    def logits(self, texts: pa.Array) -> np.ndarray:
-        rows, cols, values, dense = self.features(texts)
+    def logits(self, texts: pa.Array, words_of: tuple | None = None) -> np.ndarray:
+        rows, cols, values, dense = self.features(texts, words_of)
         return np.bincount(rows, values * self.w[cols], len(dense)) + dense @ self.w[BUCKETS:]
 
 
@@ -214,8 +214,9 @@ def score_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", thre
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pickle.loads(sent.value)
         for batch in text_slices(batches, "__text"):
-            z = m.logits(batch.column("__text"))
-            y = posterior(votes(batch.column("__text")), good, p)
+            words_of = parsed(batch.column("__text"))
+            z = m.logits(batch.column("__text"), words_of)
+            y = posterior(votes(batch.column("__text"), words_of), good, p)
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500)))), pa.array(y, pa.float64())], names=[key, "score", "label_probability"])
 
     scored = rows.mapInArrow(apply, f"{key} {dict(docs.dtypes)[key]}, score double, label_probability double")
