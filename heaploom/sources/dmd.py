@@ -90,7 +90,7 @@ def read_divider_report(spark: SparkSession, path: str, divider: str | None = No
     for s in sections:
         wanted = wanted | F.col("value").startswith(s)
     named = fill_down(lines, {"above": F.when(is_div, F.col("ord"))})
-    title = (F.col("ord") == F.col("above") + 1) & ~is_div & ~F.col("value").rlike("record")
+    title = (F.col("ord") == F.col("above") + 1) & ~is_div & (F.trim("value") != "") & ~F.col("value").rlike(OLD_BLOCKS_LINE)
     named = fill_down(named, {"section": F.when(title, F.when(wanted, "1").otherwise("0"))})
     rows = named.where((F.col("section") == "1") & ~is_div & ~title)
     owned = _records(rows, "record", F.col("value").rlike(OLD_BLOCKS_LINE))
