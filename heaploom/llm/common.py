@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -74,18 +75,40 @@ def crc_mod(col: Column | str, n: int) -> Column:
     return (F.crc32(c.cast("string").cast("binary")) % F.lit(n)).cast("int")
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that no slice but one of a single row holds more than `most` bytes of text, or so."""
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        cut = np.cumsum(size) // most
-        edges = [0, *(np.flatnonzero(np.diff(cut)) + 1).tolist(), n]
-        for a, b in zip(edges, edges[1:]):
-            if b > a:
-                yield batch.slice(a, b - a)
+def give_back() -> None:
+    """Return freed memory of a worker to the system: workers live on between the stages of a job."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
+def text_slices(
+    batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES, tokenizers: bool = False
+) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that no slice but one of a single row holds more than `most` bytes of text, or so.
+
+    What a tokenizer remembers in this worker is dropped, except for callers that tokenise.
+    """
+    if not tokenizers and "tokenizers" in sys.modules:
+        vars(sys.modules["tokenizers"]).pop("_heaploom", None)
+        give_back()
+    try:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            cut = np.cumsum(size) // most
+            edges = [0, *(np.flatnonzero(np.diff(cut)) + 1).tolist(), n]
+            for a, b in zip(edges, edges[1:]):
+                if b > a:
+                    yield batch.slice(a, b - a)
+    finally:
+        give_back()
 
 
 def flat_words(texts: pa.Array, table: bytes = ASCII_LOWER) -> tuple[pa.Array, np.ndarray]:

@@ -121,7 +121,7 @@ def token_pieces(
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tok = _worker_tokenizer(tokenizer, eos)
-        for batch in text_slices(batches, text, SLICE):
+        for batch in text_slices(batches, text, SLICE, tokenizers=True):
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
             flat, bounds = tok.encode(batch.column(text))
             for i in range(batch.num_rows):
