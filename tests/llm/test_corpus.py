@@ -149,6 +149,31 @@ def test_language_model(spark, documents):
     assert language_model.score_documents(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("head, arc, bucket", [(2e-6, 1e-6, 2_000_000), (0.02, 0.002, 500), (2.0, 2.0, 500)])
+def test_language_model_arcs(spark, monkeypatch, head, arc, bucket):
+    """Every bigram seen twice or more counts, however little of it is in the cache."""
+    monkeypatch.setattr(language_model, "HEAD", head)
+    monkeypatch.setattr(language_model, "ARC", arc)
+    monkeypatch.setattr(language_model, "BUCKET", bucket)
+    rng = random.Random(5)
+    rows = odd_rows()[:5] + [(i, " ".join(words(rng, 9).split() + [f"r{rng.randrange(300)}", f"q{rng.randrange(40)}"] * rng.randrange(3)), "en", "s", 1) for i in range(10, 250)]
+    texts = [low(t) + ["\n"] for _, t, *_ in rows]
+    learn = [ws for (i, *_), ws in zip(rows, texts) if i is None or zlib.crc32(str(i).encode()) % 10]
+    count, pairs = Counter(w for ws in learn for w in ws), Counter(p for ws in learn for p in zip(ws, ws[1:]))
+    n, v = sum(count.values()), len(count)
+    once, twice = (sum(x == k for x in count.values()) for k in (1, 2))
+    d = min(0.9, max(0.1, once / (once + 2 * twice)))
+    pairs = {p: k for p, k in pairs.items() if k >= 2}
+    left = Counter()
+    for (a, _), k in pairs.items():
+        left[a] += (k - d) / count[a]
+    root = lambda w: (count[w] - d) / n if w in count else d * v / n
+    step = lambda a, b: (pairs[a, b] - d) / count[a] if (a, b) in pairs else 0
+    want = [(str(i), round(math.log10(root(ws[0])) + sum(math.log10(step(a, b) + (1 - left[a]) * root(b)) for a, b in zip(ws, ws[1:])), 6)) for (i, *_), ws in zip(rows, texts)]
+    got = language_model.score_documents(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((str(r["doc_id"]), round(r["score"], 6)) for r in got) == sorted(want)
+
+
 def test_jaccard(spark, documents):
     docs, rows = documents
     want = brute_components(rows)
