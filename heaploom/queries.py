@@ -565,8 +565,29 @@ def garbage_dot(spark, d):
     return sinks.dot_lines(g, garbage=g.nodes.select("addr")).select("value")
 
 
+def _heap_dominators(spark, d) -> tuple[HeapGraph, DataFrame]:
+    g = heap_view(spark, d)
+    return g, dominators.dominator_sets(g.edges, heap_roots(g))
+
+
+@query()
+def heap_dominators(spark, d):
+    """Dominators in the whole heap (removing every node is too slow in SQL; dominators_small has a twin for a part)."""
+    return _heap_dominators(spark, d)[1].select("addr", F.explode("dom").alias("dominator"))
+
+
+@query()
+def heap_retained_sizes(spark, d):
+    g, dom = _heap_dominators(spark, d)
+    return dominators.retained_sizes(dom, g.nodes)
+
+
+@query()
+def heap_dominator_tree(spark, d):
+    return dominators.dominator_tree(_heap_dominators(spark, d)[1])
+
+
 @query()
 def dominator_lines(spark, d):
-    g, roots = _slice(spark, d)
-    dom = dominators.dominator_sets(g.edges, roots)
+    g, dom = _heap_dominators(spark, d)
     return sinks.tree_lines(dominators.dominator_tree(dom), dominators.retained_sizes(dom, g.nodes), g.nodes, at_least=16).select("value")

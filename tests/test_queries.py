@@ -38,6 +38,45 @@ def test_query(spark, name):
     assert normal([tuple(r[c] for c in cols) for r in got.collect()], cols) == normal([tuple(r[i] for i in order) for r in want.fetchall()], cols)
 
 
+def heap():
+    """Successors of each address, root's being the roots, of the heap view over the smallest tables, and labels."""
+    con = connection()
+    succ = {}
+    for x, y in con.execute(queries.HR + " SELECT src, dst FROM edges UNION SELECT 'root', addr FROM roots").fetchall():
+        succ.setdefault(x, set()).add(y)
+    return succ, dict(con.execute(queries.H + " SELECT addr, label FROM nodes").fetchall())
+
+
+def flood(succ, gone=None):
+    seen, todo = {"root"}, ["root"]
+    while todo:
+        new = succ.get(todo.pop(), set()) - seen - {gone}
+        seen |= new
+        todo += new
+    return seen
+
+
+def test_heap_dominators(spark):
+    """Dominators of the whole heap against the removal of every node."""
+    succ, _ = heap()
+    live = flood(succ)
+    assert {x[0] for x in live} >= set("rNSCOP")
+    under = {u: live - flood(succ, u) if u != "root" else live for u in live}
+    got = {(r["addr"], r["dominator"]) for r in queries.QUERIES["heap_dominators"](spark, SF).collect()}
+    assert got == {(v, u) for u in live for v in under[u]}
+    sizes = {r["addr"]: (r["retained"], r["dominated"]) for r in queries.QUERIES["heap_retained_sizes"](spark, SF).collect()}
+    assert sizes == {u: (8 * len(vs - {"root"}), len(vs) - 1) for u, vs in under.items()}
+    depth = dict.fromkeys(live, 0)
+    for vs in under.values():
+        for v in vs:
+            depth[v] += 1
+    tree = {r["addr"]: (r["idom"], r["depth"]) for r in queries.QUERIES["heap_dominator_tree"](spark, SF).collect()}
+    idom = {}
+    for u in sorted(live, key=depth.get):
+        idom |= {v: (u, depth[u]) for v in under[u] if v != u}
+    assert tree == idom
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
