@@ -299,6 +299,17 @@ def root_path_nodes(spark, d):
     return traverse.root_paths(dist, targets).select("target", "hop", "addr")
 
 
+@query()
+def class_path_nodes(spark, d):
+    """Shortest root paths to a whole class (root_path_nodes has a twin for a few parts)."""
+    return _class_paths(heap_view(spark, d)).select("target", "hop", "addr")
+
+
+def _class_paths(g: HeapGraph, target: str = "JS Object (") -> DataFrame:
+    dist = written(traverse.distances(g.edges, heap_roots(g)), "dist")
+    return traverse.root_paths(dist, predicates.select_targets(g, target))
+
+
 @query(HR + """,
 back(addr) AS (SELECT 'S1' UNION SELECT e.src FROM back b JOIN edges e ON e.dst = b.addr)
 SELECT addr FROM back JOIN roots USING (addr)""")
@@ -552,10 +563,9 @@ def neighbourhood(spark, d):
 
 @query()
 def root_path_lines(spark, d):
-    """Rendered paths (text has no SQL twin; its nodes are root_path_nodes)."""
+    """Rendered paths (text has no SQL twin; its nodes are class_path_nodes)."""
     g = heap_view(spark, d)
-    dist = written(traverse.distances(g.edges, heap_roots(g)), "dist")
-    paths = written(traverse.root_paths(dist, g.nodes.where("addr like 'P_'").select("addr")), "paths")
+    paths = written(_class_paths(g), "paths")
     return sinks.path_lines(sinks.path_table(paths, g))
 
 

@@ -77,6 +77,28 @@ def test_heap_dominators(spark):
     assert tree == idom
 
 
+def test_class_paths(spark):
+    """Shortest root paths to every part and supplier against breadth-first search; of equal parents the smallest."""
+    succ, labels_ = heap()
+    parent, level = {}, dict.fromkeys(succ["root"])
+    while level:
+        parent |= level
+        following = {}
+        for x in sorted(level, reverse=True):
+            following |= dict.fromkeys(succ.get(x, set()) - set(parent), x)
+        level = following
+    want = set()
+    for target in (v for v in parent if labels_[v].startswith("JS Object (")):
+        path = [target]
+        while parent[path[-1]]:
+            path.append(parent[path[-1]])
+        want |= {(target, hop, v) for hop, v in enumerate(reversed(path))}
+    assert len({t for t, *_ in want if t[0] == "P"}) > 100
+    got = queries.QUERIES["class_path_nodes"](spark, SF).collect()
+    assert len(got) == len(want) and {(r["target"], r["hop"], r["addr"]) for r in got} == want
+    assert queries.QUERIES["root_path_lines"](spark, SF).select("target").distinct().count() == len({t for t, *_ in want})
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
