@@ -1,11 +1,9 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, of toxic and of ordinary text, are interpolated with absolute discounting down to one shared
-distribution, that of both classes together.  Like continuation counts, dispersion decides what a class's own count is
-worth: an expression keeps its class-conditional probability only if it is in more of the class's documents than chance
-explains (SIGMAS standard deviations); the rare and the ordinary rest has the shared backoff probability in both models
-and doesn't move the score.  A text's feature is the difference of its log-likelihoods per token; a
-logistic curve fitted on other labelled rows turns it into a score in 0..1.
+Two bigram models, of toxic and of ordinary text, are interpolated with absolute discounting: bigrams down to the words of
+their class, and these down to one shared distribution of both classes together, that of continuation counts: in how many
+different contexts a word stands, N1+(. w).  Words outside the vocabulary are counted as one unknown word.  A text's feature is the
+difference of its log-likelihoods per token; a logistic curve fitted on other labelled rows turns it into a score in 0..1.
 
 The models are fitted on a bounded sample of labelled rows (SAMPLE per class, the smallest hashes of their ids), and
 every row of the input is scored in one pass without a shuffle; what workers get is bounded by MAX_NGRAMS.
@@ -31,7 +29,6 @@ SAMPLE = 4_000
 #: Bigrams (and words) that a model keeps at most; the most frequent ones, those seen once never.
 MAX_NGRAMS = 1_000_000
 DISCOUNT = 0.75
-SIGMAS = 4.0
 THRESHOLD = 0.3
 
 
@@ -78,37 +75,20 @@ class KneserNeyPair:
         return 1 / (1 + np.exp(-np.clip(self.slope * ratio + self.bias, -500, 500)))
 
 
-def dispersed(docs: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether an expression is in more documents of one class than its share of all explains.  docs: (2, n)."""
-    total = docs.sum(0)
-    expected = total * (size / max(1.0, size.sum()))[:, None]
-    return (docs > expected + SIGMAS * np.sqrt(expected) + 1).any(0)
-
-
-def fit_pair(words: list[tuple], bigrams: list[tuple], size: tuple[int, int]) -> KneserNeyPair:
-    """The models from counts.  words: (word, n0, n1, d0, d1), tokens and documents of either class; bigrams: (first,
-    second, n0, n1, d0, d1); size: the classes' documents.  The order of rows does not matter.
+def fit_pair(words: list[tuple], bigrams: list[tuple], rest: tuple[int, int, int] = (0, 0, 0)) -> KneserNeyPair:
+    """The models from counts.  words: (word, n0, n1, k), tokens of either class and how many words stand before it in both; bigrams:
+    (first, second, n0, n1); rest: n0, n1 and k of all other words, which are the unknown word.  The order of rows does not matter.
     """
     words = sorted(words)
     vocab = [w[0] for w in words]
     number = {w: i for i, w in enumerate(vocab)}
     v = len(vocab)
-    size_ = np.array(size, float)
-    count = np.array([w[1:3] for w in words], float).reshape(v, 2).T
-    own = dispersed(np.array([w[3:5] for w in words], float).reshape(v, 2).T, size_)
-    total = np.maximum(1.0, count.sum(1))
-    shared = np.append(np.maximum(count.sum(0) - DISCOUNT, 0), 0) / total.sum()
+    *count, follows = np.array([*(w[1:] for w in words), rest], float).T
+    shared = np.maximum(follows - DISCOUNT, 0) / max(1.0, follows.sum())
     shared += (1 - shared.sum()) / (v + 1)
-    p = np.tile(shared, (2, 1))
-    known = np.append(own, False)
-    for c in (0, 1):
-        mass = np.maximum(count[c] - DISCOUNT, 0) / total[c]
-        p[c, known] = (mass + (1 - mass.sum()) * shared[:v])[own]
-        p[c, ~known] *= (1 - p[c, known].sum()) / max(1e-12, shared[~known].sum())
+    mass = [np.maximum(n - DISCOUNT, 0) / max(1.0, n.sum()) for n in count]
+    p = np.stack([m + (1 - m.sum()) * shared for m in mass])
     rows = sorted((number[a] << 32 | number[b], *n) for a, b, *n in bigrams if a in number and b in number)
-    if rows:
-        kept = dispersed(np.array([r[3:5] for r in rows], float).T, size_)
-        rows = [r for r, k in zip(rows, kept) if k]
     pairs = np.array([r[0] for r in rows], np.int64)
     back, pair_p = np.ones((2, v + 1)), np.zeros((2, len(rows)))
     for c in (0, 1) if rows else ():
@@ -151,12 +131,6 @@ def training_sample(labels: DataFrame, key: str = "doc_id", held_out: tuple[int,
     return [(r[key], r["y"]) for p in parts for r in p.collect()], odds  # at most 2 * per_class ids
 
 
-def _more_than_chance(chosen: list) -> str:
-    """The test of dispersed() in SQL, so that only bigrams that pass come to the driver."""
-    share = [sum(y == c for _, y in chosen) / len(chosen) for c in (0, 1)]
-    return " or ".join(f"d{c} > (d0 + d1) * {share[c]}D + {SIGMAS}D * sqrt((d0 + d1) * {share[c]}D) + 1" for c in (0, 1))
-
-
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", held_out: tuple[int, int] = (4, 2), per_class: int = SAMPLE) -> KneserNeyPair:
     """Fit both models and the logistic curve: three quarters of the sample for the counts, one for the curve.
 
@@ -193,12 +167,17 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     sums = ["n0", "n1", "d0", "d1"]
     counted = rows.where("fold != 0").select("text", "y").mapInArrow(count, "a string, b string, " + ", ".join(f"{x} long" for x in sums))
-    counted = counted.groupBy("a", "b").agg(*[F.sum(x).alias(x) for x in sums]).where("d0 + d1 > 1").cache()
+    counted = counted.groupBy("a", "b").agg(*[F.sum(x).alias(x) for x in sums]).cache()
     most = [(F.col("n0") + F.col("n1")).desc(), "a", "b"]
-    words = [tuple(r)[1:] for r in counted.where("a is null").orderBy(*most).limit(MAX_NGRAMS).collect()]
-    bigrams = [tuple(r) for r in counted.where("a is not null").where(_more_than_chance(chosen)).orderBy(*most).limit(MAX_NGRAMS).collect()]
+    own = [F.coalesce(F.sum(F.when(F.col("a").isNull(), F.col(x))), F.lit(0)).alias(x) for x in sums]
+    every = counted.groupBy("b").agg(*own, F.count("a").alias("k"))
+    words = every.where("d0 + d1 > 1").withColumn("a", F.lit(None)).orderBy(*most).limit(MAX_NGRAMS).select("b", "n0", "n1", "k")
+    words = [tuple(r) for r in words.collect()]
+    total = every.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("n0", "n1", "k")]).first()
+    bigrams = counted.where("a is not null and d0 + d1 > 1").orderBy(*most).limit(MAX_NGRAMS).select("a", "b", "n0", "n1")
+    bigrams = [tuple(r) for r in bigrams.collect()]
     counted.unpersist()
-    model = fit_pair(words, bigrams, tuple(sum(y == c for _, y in chosen) for c in (0, 1)))
+    model = fit_pair(words, bigrams, tuple(t - sum(w[i] for w in words) for i, t in enumerate(total, 1)))
     sent = spark.sparkContext.broadcast(pickle.dumps(model))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

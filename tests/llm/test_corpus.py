@@ -343,6 +343,36 @@ def test_toxicity(spark, documents):
     assert toxicity.score_toxicity(empty(spark), lab).count() == 0
 
 
+def test_kneser_ney():
+    """Words of one context weigh little in the shared distribution; rare words of a class are smoothed, not dropped."""
+    words_ = [("the", 50, 50, 40), ("francisco", 20, 20, 1), ("ugly", 0, 3, 3)]
+    model = toxicity.fit_pair(words_, [("the", "ugly", 0, 2), ("the", "the", 5, 5)], (6, 7, 13))
+    ugly, d = model.words.index("ugly"), toxicity.DISCOUNT
+    assert np.allclose(model.p.sum(1), 1) and model.p[1, ugly] > 2 * model.p[0, ugly] > 0
+    follows = np.array([1, 40, 3, 13])  # francisco, the, ugly, unknown
+    shared = (follows - d) / follows.sum() + 4 * d / follows.sum() / 4
+    n = np.array([[20, 50, 0, 6], [20, 50, 3, 7]])
+    mass = np.maximum(n - d, 0) / n.sum(1, keepdims=True)
+    assert np.allclose(model.p, mass + (1 - mass.sum(1, keepdims=True)) * shared)
+    for c in (0, 1):  # what follows `the` makes one
+        assert abs(model.pair_p[c].sum() + model.back[c, model.words.index("the")] - 1) < 1e-9
+
+
+def test_varied_toxicity(spark):
+    """Each bad word is in a few documents only."""
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(600):
+        t = words(rng, rng.randrange(20, 60)).split(" ")
+        for _ in range(6 * (i % 5 == 0)):
+            t[rng.randrange(len(t))] = f"bad{rng.randrange(120)}"
+        rows.append((500 + i, " ".join(t), "en", "s", 0))
+        labels.append((500 + i, 1, int(i % 5 == 0)))
+    got = toxicity.score_toxicity(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    held = [(r["predicted"], int(r["doc_id"] % 5 == 0)) for r in got if r["held_out"]]
+    assert sum(p and y for p, y in held) >= 0.9 * sum(y for _, y in held) and sum(p == y for p, y in held) >= 0.9 * len(held)
+
+
 def test_quality(spark):
     rng = random.Random(7)
     rows, bad = odd_rows(), set()
