@@ -411,7 +411,7 @@ r1 AS (SELECT addr FROM nodes WHERE addr NOT IN (SELECT addr FROM r0) AND addr N
 r2 AS (SELECT addr FROM nodes WHERE addr NOT IN (SELECT addr FROM r0) AND addr NOT IN (SELECT addr FROM r1) AND addr NOT IN (SELECT src FROM e2))
 SELECT addr, 0 AS rank FROM r0 UNION ALL SELECT addr, 1 FROM r1 UNION ALL SELECT addr, 2 FROM r2""")
 def acyclic_rank(spark, d):
-    return components.acyclic_ranks(heap_view(spark, d), rounds=3)
+    return components.acyclic_ranks(heap_view(spark, d))
 
 
 @query(H + """, s AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst), one AS (SELECT src, min(dst) AS dst FROM s GROUP BY src HAVING count(*) = 1)

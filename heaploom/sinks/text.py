@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.labels import display_label, edge_line, gc_display_label, gc_shape, masked, node_line, style, without_private
 from ..model import HeapGraph
+from ..plans.cut import written
 
 SEPARATOR = "=========="
 
@@ -145,14 +146,16 @@ def path_set_dot(paths: DataFrame, g: HeapGraph) -> DataFrame:
     return dot_lines(HeapGraph(nodes.join(gone, "addr", "left_anti"), edges.withColumn("label", F.lit(""))), gc=True, name="paths")
 
 
-def tree_lines(tree: DataFrame, retained: DataFrame, labels: DataFrame, at_least: int = 1000, root: str = "root", depth: int = 64) -> DataFrame:
+def tree_lines(tree: DataFrame, retained: DataFrame, labels: DataFrame, at_least: int = 1000, root: str = "root") -> DataFrame:
     """(ord, value): the dominator tree as indented text, children by retained bytes, subtrees below at_least left out."""
     n = tree.join(retained, "addr").join(labels.select("addr", "label"), "addr", "left").where(F.col("retained") >= at_least)
+    n = written(n.select("addr", "idom", "retained", "label"), "tree")
     key = F.struct((-F.col("retained")).alias("r"), F.col("addr").alias("a"))
-    level = n.where(F.col("idom") == root).select("addr", "retained", "label", F.array(key).alias("ord"))
+    level = written(n.where(F.col("idom") == root).select("addr", "retained", "label", F.array(key).alias("ord")), "tree")
     parts = [level]
-    for _ in range(depth):
+    while True:
         level = n.join(level.select(F.col("addr").alias("idom"), F.col("ord").alias("up")), "idom").select("addr", "retained", "label", F.concat("up", F.array(key)).alias("ord"))
+        level = written(level, "tree")
         if level.isEmpty():
             break
         parts.append(level)

@@ -4,8 +4,10 @@ import random
 
 import pytest
 
+from heaploom import queries
 from heaploom.model import HeapGraph
 from heaploom.operators import components, dominators, traverse
+from heaploom.sinks import text as sinks
 
 
 def graph(spark, seed, n=18, m=30):
@@ -77,3 +79,16 @@ def test_ranks_and_duplicates(spark):
     assert {r["addr"]: r["rank"] for r in components.acyclic_ranks(g).collect()} == {"c": 0, "b": 1, "d": 1, "a": 2, "a2": 2}
     assert [(r["a"], r["b"]) for r in components.tiny_loops(g).collect()] == [("x", "y")]
     assert [(r["rep"], r["n"]) for r in components.duplicate_nodes(g).collect()] == [("a", 2)]
+
+
+def test_no_limit_of_depth(spark, monkeypatch):
+    """Ranks above 2 are in the query; lines below 65 levels are in the tree."""
+    nodes = spark.createDataFrame([(f"n{i}", "rc", "x") for i in range(6)], "addr string, kind string, label string")
+    g = HeapGraph(nodes, spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(5)], "src string, dst string"))
+    monkeypatch.setattr(queries, "heap_view", lambda *_: g)
+    assert {r["addr"]: r["rank"] for r in queries.QUERIES["acyclic_rank"](spark, "").collect()} == {f"n{i}": 5 - i for i in range(6)}
+    names = ["root", *(f"a{i:02}" for i in range(68))]
+    tree = spark.createDataFrame(list(zip(names[1:], names)), "addr string, idom string").coalesce(1)
+    retained = spark.createDataFrame([(x, 8 * (68 - i)) for i, x in enumerate(names[1:])], "addr string, retained long").coalesce(1)
+    got = sinks.tree_lines(tree, retained, tree.selectExpr("addr", "'x' as label"), at_least=8).orderBy("ord").collect()
+    assert [r["value"] for r in got] == [f"{'  ' * i}{8 * (68 - i)} {x} x" for i, x in enumerate(names[1:])]
