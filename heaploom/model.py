@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
-class HeapGraph:
+class DumpTables:
     """Typed tables of one dump; a table that the format does not have is None.
 
     nodes: addr, kind ('rc' or 'gc'), rc, marked, label, ord (GC dumps: addr, color, label, ord).  edges: src, dst, label,
@@ -32,7 +32,7 @@ class HeapGraph:
         """(src, dst): parallel edges once."""
         return self.edges.select("src", "dst").distinct()
 
-    def reversed(self) -> HeapGraph:
+    def reversed(self) -> DumpTables:
         """Every edge turned round, counts and labels kept; nodes without edges stay nodes."""
         e = self.edges
         rest = [c for c in e.columns if c not in ("src", "dst")]
@@ -44,7 +44,7 @@ class HeapGraph:
         lists = F.array_sort(F.collect_list(some))
         return self.edges.groupBy("src", "dst").agg(F.transform(lists, lambda x: x["label"]).alias("labels"))
 
-    def without(self, gone: DataFrame) -> HeapGraph:
+    def without(self, gone: DataFrame) -> DumpTables:
         """The graph without the nodes in gone(addr) and all edges that touch them."""
         g = gone.select("addr").distinct()
         return replace(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.labels import cc_class, function_name, holder_class, percent_bucket, strip_global, url_in, without_line
-from ..model import HeapGraph
+from ..model import DumpTables
 from .predicates import live_or_dead
 
 
@@ -17,7 +17,7 @@ def class_census(nodes: DataFrame, min_times: int = 5, top: int = 5, klass: Colu
     return nodes.groupBy(klass.alias("class")).agg(F.count("*").alias("n")).where(F.col("n") >= min_times).orderBy(F.desc("n"), "class").limit(top)
 
 
-def cc_census(g: HeapGraph, which: str = "both", min_times: int = 5, top: int = 5) -> DataFrame:
+def cc_census(g: DumpTables, which: str = "both", min_times: int = 5, top: int = 5) -> DataFrame:
     garbage = g.results.where("tag = 'garbage'") if g.results is not None else g.nodes.limit(0)
     return class_census(live_or_dead(g.nodes, garbage, which), min_times, top)
 
@@ -39,7 +39,7 @@ def class_alert(nodes: DataFrame, prefix: str = "ContentParent", limit: int = 10
     return nodes.agg(F.count_if(F.col("label").startswith(prefix)).alias("n")).withColumn("alert", F.col("n") > limit)
 
 
-def holders_of_class(g: HeapGraph, label: str) -> DataFrame:
+def holders_of_class(g: DumpTables, label: str) -> DataFrame:
     """(class, n): distinct (holder, held) pairs by the holder's label, for nodes of exactly this label."""
     held = g.nodes.where(F.col("label") == label).select(F.col("addr").alias("dst"))
     pairs = g.edges.join(held, "dst", "left_semi").select("src", "dst").distinct()
@@ -47,37 +47,37 @@ def holders_of_class(g: HeapGraph, label: str) -> DataFrame:
     return named.groupBy("class").agg(F.count("*").alias("n"))
 
 
-def js_holders(g: HeapGraph) -> DataFrame:
+def js_holders(g: DumpTables) -> DataFrame:
     """(addr, label): reference-counted nodes with at least one GC child."""
     gc = g.nodes.where("kind = 'gc'").select(F.col("addr").alias("dst"))
     src = g.edges.join(gc, "dst", "left_semi").select(F.col("src").alias("addr")).distinct()
     return g.nodes.where("kind = 'rc'").join(src, "addr", "left_semi").select("addr", "label")
 
 
-def js_holder_census(g: HeapGraph, canonical: bool = True, min_times: int = 1) -> DataFrame:
+def js_holder_census(g: DumpTables, canonical: bool = True, min_times: int = 1) -> DataFrame:
     klass = holder_class("label") if canonical else F.col("label")
     return js_holders(g).groupBy(klass.alias("class")).agg(F.count("*").alias("n")).where(F.col("n") >= min_times)
 
 
-def out_degrees(g: HeapGraph, label: str | None = None) -> DataFrame:
+def out_degrees(g: DumpTables, label: str | None = None) -> DataFrame:
     """(addr, degree): physical out-edges, of nodes of exactly this label or of all."""
     n = g.nodes if label is None else g.nodes.where(F.col("label") == label)
     d = g.edges.groupBy(F.col("src").alias("addr")).agg(F.count("*").alias("degree"))
     return n.select("addr").join(d, "addr", "left").select("addr", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def degree_histogram(g: HeapGraph, label: str | None = None, above: int = -1) -> DataFrame:
+def degree_histogram(g: DumpTables, label: str | None = None, above: int = -1) -> DataFrame:
     return out_degrees(g, label).where(F.col("degree") > above).groupBy("degree").agg(F.count("*").alias("n"))
 
 
-def label_dup_histogram(g: HeapGraph, label: str = "parent") -> DataFrame:
+def label_dup_histogram(g: DumpTables, label: str = "parent") -> DataFrame:
     """(extra, n): nodes by how many edges of this label they have above one."""
     c = g.edges.where(F.col("label") == label).groupBy(F.col("src").alias("addr")).agg(F.count("*").alias("c"))
     extra = F.greatest(F.lit(0), F.coalesce("c", F.lit(0)) - 1)
     return g.nodes.select("addr").join(c, "addr", "left").groupBy(extra.alias("extra")).agg(F.count("*").alias("n"))
 
 
-def internal_counts(g: HeapGraph, rc_sources_only: bool = False) -> DataFrame:
+def internal_counts(g: DumpTables, rc_sources_only: bool = False) -> DataFrame:
     """(addr, rc, ic): counted references into each reference-counted node from the nodes of the dump."""
     e = g.edges
     if rc_sources_only:
@@ -87,21 +87,21 @@ def internal_counts(g: HeapGraph, rc_sources_only: bool = False) -> DataFrame:
     return n.select("addr", "rc", F.coalesce("c", F.lit(0)).alias("ic"))
 
 
-def refcount_audit(g: HeapGraph, rc_sources_only: bool = False) -> DataFrame:
+def refcount_audit(g: DumpTables, rc_sources_only: bool = False) -> DataFrame:
     """Nodes with more references in the dump than their count says."""
     return internal_counts(g, rc_sources_only).where("rc < ic")
 
 
-def rc_roots(g: HeapGraph) -> DataFrame:
+def rc_roots(g: DumpTables) -> DataFrame:
     """Nodes with references from outside the dump; see refcount_audit for impossible counts."""
     return internal_counts(g).where("rc > ic")
 
 
-def graph_counts(g: HeapGraph) -> DataFrame:
+def graph_counts(g: DumpTables) -> DataFrame:
     return g.edges.agg(F.count("*").alias("edges"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
 
 
-def node_set_sides(g: HeapGraph) -> DataFrame:
+def node_set_sides(g: DumpTables) -> DataFrame:
     """(side, n): nodes that are only sources, only targets, or both."""
     s = g.edges.select(F.col("src").alias("addr")).distinct().withColumn("s", F.lit(1))
     d = g.edges.select(F.col("dst").alias("addr")).distinct().withColumn("d", F.lit(1))
@@ -109,7 +109,7 @@ def node_set_sides(g: HeapGraph) -> DataFrame:
     return s.join(d, "addr", "full_outer").groupBy(side.alias("side")).agg(F.count("*").alias("n"))
 
 
-def single_parents(g: HeapGraph) -> DataFrame:
+def single_parents(g: DumpTables) -> DataFrame:
     """(addr): reference-counted nodes without outside references that one edge points at."""
     return internal_counts(g).where("rc <= ic and ic = 1").select("addr")
 
@@ -130,7 +130,7 @@ GC_EXACT = ["jitcode", "shape", "base_shape", "lazyscript", "object_group", "reg
 GC_TOP = {"strings": 5, "functions": 40, "scripts": 10, "scopes": 10}
 
 
-def gc_categories(g: HeapGraph) -> DataFrame:
+def gc_categories(g: DumpTables) -> DataFrame:
     """(addr, category, name): the first category that fits a node's label, and its key in a breakdown."""
     label = F.coalesce("label", F.lit(""))
 
@@ -165,7 +165,7 @@ def gc_categories(g: HeapGraph) -> DataFrame:
     return n.join(url, "addr", "left").select("addr", "category", name.alias("name"))
 
 
-def function_scripts(g: HeapGraph) -> DataFrame:
+def function_scripts(g: DumpTables) -> DataFrame:
     """(addr, script, url) of functions: the last `script` edge counts; NONE without a script, ??? without its node."""
     fn = g.nodes.where(F.col("label").startswith("Function")).select("addr")
     order = "ord" if "ord" in g.edges.columns else "dst"
@@ -177,7 +177,7 @@ def function_scripts(g: HeapGraph) -> DataFrame:
     return out.select("addr", "script", F.when(F.col("script").isNull(), "NONE").otherwise(F.coalesce("u", F.lit("???"))).alias("url"))
 
 
-def gc_census(g: HeapGraph, top: dict[str, int] = GC_TOP) -> DataFrame:
+def gc_census(g: DumpTables, top: dict[str, int] = GC_TOP) -> DataFrame:
     """(category, total, name, n, rank): totals of categories, and the most frequent names of those with a breakdown."""
     c = gc_categories(g)
     totals = c.groupBy("category").agg(F.count("*").alias("total"))
@@ -198,7 +198,7 @@ def root_label_counts(roots: DataFrame) -> DataFrame:
     return roots.groupBy("label").agg(F.count("*").alias("n"))
 
 
-def scopes_by_script(g: HeapGraph, url: str | None = None) -> DataFrame:
+def scopes_by_script(g: DumpTables, url: str | None = None) -> DataFrame:
     """(scope, fn, url): each scope's canonical function and its script, of one URL or of all."""
     scopes = g.nodes.where(F.col("label").startswith("scope")).select(F.col("addr").alias("scope"))
     fn = g.edges.where("label = 'canonical function'").groupBy(F.col("src").alias("scope")).agg(F.max("dst").alias("fn"))
@@ -206,7 +206,7 @@ def scopes_by_script(g: HeapGraph, url: str | None = None) -> DataFrame:
     return out.select("scope", "fn", "url") if url is None else out.where(F.col("url") == url).select("scope", "fn", "url")
 
 
-def scope_name_lists(g: HeapGraph) -> DataFrame:
+def scope_name_lists(g: DumpTables) -> DataFrame:
     """(names, n): scopes by their sorted, comma-joined name strings."""
     scopes = g.nodes.where(F.col("label").startswith("scope")).select(F.col("addr").alias("src"))
     strings = g.nodes.where(F.col("label").startswith("string <")).select(F.col("addr").alias("dst"), F.regexp_extract("label", r"^string <[^>]*> (.*)$", 1).alias("s"))
@@ -215,7 +215,7 @@ def scope_name_lists(g: HeapGraph) -> DataFrame:
     return lists.groupBy("names").agg(F.count("*").alias("n"))
 
 
-def listener_counts(g: HeapGraph, above: int = 100) -> tuple[DataFrame, DataFrame]:
+def listener_counts(g: DumpTables, above: int = 100) -> tuple[DataFrame, DataFrame]:
     """(gray, black) counts of event listener roots, and labels of their nodes met more than `above` times."""
     roots = g.roots.where(F.col("label").startswith("nsXPCWrappedJS[nsIDOMEventListener"))
     counts = roots.agg(F.count_if(~F.col("is_black")).alias("gray"), F.count_if("is_black").alias("black"))
@@ -229,13 +229,13 @@ def arena_utilisation(arenas: DataFrame, size: int = 4096) -> DataFrame:
     return arenas.groupBy("zone", percent_bucket(used, size).alias("unused_percent")).agg(F.count("*").alias("n"))
 
 
-def compartment_root_refs(g: HeapGraph, comp: str) -> DataFrame:
+def compartment_root_refs(g: DumpTables, comp: str) -> DataFrame:
     """(addr, root_label): roots that point into a compartment."""
     n = g.nodes.where(F.col("compartment") == comp).select("addr", "label")
     return n.join(g.roots.select("addr", F.col("label").alias("root_label")), "addr")
 
 
-def cross_compartment_edges(g: HeapGraph, comp: str) -> DataFrame:
+def cross_compartment_edges(g: DumpTables, comp: str) -> DataFrame:
     """Edges into a compartment from others."""
     src = g.nodes.select(F.col("addr").alias("src"), F.col("compartment").alias("src_comp"))
     dst = g.nodes.where(F.col("compartment") == comp).select(F.col("addr").alias("dst"))

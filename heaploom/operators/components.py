@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import HeapGraph
+from ..model import DumpTables
 from ..plans.cut import written
 
 
@@ -101,7 +101,7 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def gc_components(g: HeapGraph) -> DataFrame:
+def gc_components(g: DumpTables) -> DataFrame:
     """Strongly connected components of the GC nodes among themselves."""
     return strong_components(g.nodes.where("kind = 'gc'"), g.edges)
 
@@ -160,7 +160,7 @@ def first_parents(edges: DataFrame, label: str = "GetParent()") -> DataFrame:
     return edges.where(F.col("label") == label).groupBy(F.col("src").alias("addr")).agg(F.min_by("dst", order).alias("parent"))
 
 
-def dom_groups(g: HeapGraph, garbage: DataFrame) -> DataFrame:
+def dom_groups(g: DumpTables, garbage: DataFrame) -> DataFrame:
     """(top, n, doc, is_garbage): groups of nodes by topmost parent; doc is the document whose child the top is, else null."""
     tops = topmost_parent(g.nodes, first_parents(g.edges))
     groups = tops.groupBy("top").agg(F.count("*").alias("n"))
@@ -182,12 +182,12 @@ def dom_group_totals(groups: DataFrame) -> DataFrame:
     )
 
 
-def dom_merge_classes(g: HeapGraph) -> DataFrame:
+def dom_merge_classes(g: DumpTables) -> DataFrame:
     """(addr, rep): nodes merged with their topmost parent."""
     return topmost_parent(g.nodes, first_parents(g.edges)).select("addr", F.col("top").alias("rep"))
 
 
-def acyclic_ranks(g: HeapGraph, rounds: int | None = None) -> DataFrame:
+def acyclic_ranks(g: DumpTables, rounds: int | None = None) -> DataFrame:
     """(addr, rank): 0 without out-edges, k where all successors have smaller ranks; nodes that reach a cycle have none."""
     e = written(g.single(), "rank")
     left = written(g.nodes.select("addr").distinct(), "rank")
@@ -203,11 +203,11 @@ def acyclic_ranks(g: HeapGraph, rounds: int | None = None) -> DataFrame:
     return _all(done) if done else g.nodes.select("addr", F.lit(0).alias("rank")).limit(0)
 
 
-def acyclic_nodes(g: HeapGraph) -> DataFrame:
+def acyclic_nodes(g: DumpTables) -> DataFrame:
     return acyclic_ranks(g).select("addr")
 
 
-def tiny_loops(g: HeapGraph) -> DataFrame:
+def tiny_loops(g: DumpTables) -> DataFrame:
     """(a, b): pairs of nodes whose only edges to others lead to each other."""
     s = written(g.single().where("src != dst"), "loops")
     one = s.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("dst")).where("n = 1")
@@ -215,7 +215,7 @@ def tiny_loops(g: HeapGraph) -> DataFrame:
     return a.join(b, ["a", "b"]).where("a < b")
 
 
-def duplicate_nodes(g: HeapGraph) -> DataFrame:
+def duplicate_nodes(g: DumpTables) -> DataFrame:
     """(rep, n): nodes of the same kind and label with the same sets of successors and predecessors."""
     s = written(g.single(), "dup")
     out = s.groupBy(F.col("src").alias("addr")).agg(F.array_sort(F.collect_set("dst")).alias("o"))
@@ -225,7 +225,7 @@ def duplicate_nodes(g: HeapGraph) -> DataFrame:
     return c.where("n > 1").select("rep", "n")
 
 
-def motifs(g: HeapGraph, components: DataFrame, klass, most: int = 3) -> DataFrame:
+def motifs(g: DumpTables, components: DataFrame, klass, most: int = 3) -> DataFrame:
     """(motif, n): components of up to `most` nodes by their sorted class labels and number of edges, with how many copies there are."""
     small = class_sizes(components).where(F.col("n") <= most).select("rep")
     member = components.join(small, "rep", "left_semi").join(g.nodes.select("addr", klass.alias("k")), "addr")

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import PRESERVED_WRAPPER_CLASSES, is_address
-from ..model import HeapGraph
+from ..model import DumpTables
 
 
-def select_roots(g: HeapGraph, ignore_rc: bool = False, ignore_js: bool = False, extra_class: str | None = None) -> DataFrame:
+def select_roots(g: DumpTables, ignore_rc: bool = False, ignore_js: bool = False, extra_class: str | None = None) -> DataFrame:
     """(addr, root): rcRoot (a known count or an incremental root), before gcRoot (marked or incremental), before
     stopNodeLabel (the label is extra_class, exactly)."""
     known = g.results.where("tag = 'known'").select("addr").distinct().withColumn("is_known", F.lit(True))
@@ -23,11 +23,11 @@ def select_roots(g: HeapGraph, ignore_rc: bool = False, ignore_js: bool = False,
     return n.select("addr", kind.alias("root")).where("root is not null")
 
 
-def gc_roots(g: HeapGraph, only_black: bool = False) -> DataFrame:
+def gc_roots(g: DumpTables, only_black: bool = False) -> DataFrame:
     return g.roots.where("is_black") if only_black else g.roots
 
 
-def select_targets(g: HeapGraph, target: str) -> DataFrame:
+def select_targets(g: DumpTables, target: str) -> DataFrame:
     """(addr): the object of an address, or all whose label starts with a class name.
 
     nsFrameLoader1 stands for frame loaders with a reference count of one.  An upper-case hexadecimal class name counts as an address.
@@ -39,7 +39,7 @@ def select_targets(g: HeapGraph, target: str) -> DataFrame:
     return g.nodes.where(F.col("label").startswith(target)).select("addr")
 
 
-def select_strings(g: HeapGraph, prefix: str) -> DataFrame:
+def select_strings(g: DumpTables, prefix: str) -> DataFrame:
     """(addr) of strings whose label, after `string `, starts with prefix."""
     return g.nodes.where(F.col("label").startswith("string ") & F.col("label").substr(F.lit(8), F.length("label")).startswith(prefix)).select("addr")
 
@@ -51,7 +51,7 @@ def live_or_dead(nodes: DataFrame, garbage: DataFrame, which: str = "both") -> D
     return nodes.join(garbage.select("addr").distinct(), "addr", "left_anti" if which == "live" else "left_semi")
 
 
-def wellformed(g: HeapGraph) -> DataFrame:
+def wellformed(g: DumpTables) -> DataFrame:
     """(violation, addr): nodes of both kinds, counts that are not positive, edge targets and weak map parts
     that are no nodes, nodes of neither kind."""
     rc, gc = g.nodes.where("kind = 'rc'"), g.nodes.where("kind = 'gc'")
@@ -67,32 +67,32 @@ def wellformed(g: HeapGraph) -> DataFrame:
     return out
 
 
-def prune(g: HeapGraph, gone: Column) -> HeapGraph:
+def prune(g: DumpTables, gone: Column) -> DumpTables:
     """Without the nodes for which a condition over node columns holds, and their edges."""
     return g.without(g.nodes.where(F.coalesce(gone, F.lit(False))))
 
 
-def prune_js(g: HeapGraph) -> HeapGraph:
+def prune_js(g: DumpTables) -> DumpTables:
     return prune(g, F.col("kind") == "gc")
 
 
-def prune_non_js(g: HeapGraph) -> HeapGraph:
+def prune_non_js(g: DumpTables) -> DumpTables:
     return prune(g, F.col("kind") == "rc")
 
 
-def prune_marked(g: HeapGraph) -> HeapGraph:
+def prune_marked(g: DumpTables) -> DumpTables:
     return prune(g, F.col("marked"))
 
 
-def prune_listeners(g: HeapGraph) -> HeapGraph:
+def prune_listeners(g: DumpTables) -> DumpTables:
     return prune(g, F.col("label").startswith("nsXPCWrappedJS[nsIDOMEventListener"))
 
 
-def prune_garbage(g: HeapGraph, garbage: DataFrame) -> HeapGraph:
+def prune_garbage(g: DumpTables, garbage: DataFrame) -> DumpTables:
     return g.without(garbage)
 
 
-def prune_non_js_border(g: HeapGraph) -> HeapGraph:
+def prune_non_js_border(g: DumpTables) -> DumpTables:
     """Without reference-counted nodes that no edge joins to a GC node."""
     gc = g.nodes.where("kind = 'gc'").select("addr")
     near = g.edges.join(gc.withColumnRenamed("addr", "dst"), "dst", "left_semi").select(F.col("src").alias("addr"))
@@ -100,7 +100,7 @@ def prune_non_js_border(g: HeapGraph) -> HeapGraph:
     return g.without(g.nodes.where("kind = 'rc'").join(near, "addr", "left_anti"))
 
 
-def prune_childless(g: HeapGraph) -> HeapGraph:
+def prune_childless(g: DumpTables) -> DumpTables:
     """Without nodes that have no out-edges."""
     return g.without(g.nodes.join(g.edges.select(F.col("src").alias("addr")).distinct(), "addr", "left_anti"))
 
@@ -109,14 +109,14 @@ def prune_childless(g: HeapGraph) -> HeapGraph:
 PRUNED_LABELS = ["mNodeInfo", "GetParent()", "mOwnerManager"]
 
 
-def prune_edge_labels(g: HeapGraph, labels: list[str] = PRUNED_LABELS) -> DataFrame:
+def prune_edge_labels(g: DumpTables, labels: list[str] = PRUNED_LABELS) -> DataFrame:
     """(src, dst) pairs whose first label is none of labels."""
     order = "ord" if "ord" in g.edges.columns else "label"
     first = g.edges.groupBy("src", "dst").agg(F.min_by("label", order).alias("first_label"))
     return first.where(~F.coalesce(F.col("first_label").isin(labels), F.lit(False)))
 
 
-def wrapper_holders(g: HeapGraph, classes: list[str] = PRESERVED_WRAPPER_CLASSES) -> DataFrame:
+def wrapper_holders(g: DumpTables, classes: list[str] = PRESERVED_WRAPPER_CLASSES) -> DataFrame:
     """(addr, dst): nodes of the classes whose only edge is one preserved wrapper."""
     order = "ord" if "ord" in g.edges.columns else "label"
     one = g.edges.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("dst"), F.min_by("label", order).alias("label"))
@@ -127,7 +127,7 @@ def wrapper_holders(g: HeapGraph, classes: list[str] = PRESERVED_WRAPPER_CLASSES
     return g.nodes.where((F.col("kind") == "rc") & fits).select("addr").join(one, "addr")
 
 
-def class_holders(g: HeapGraph, held: str) -> DataFrame:
+def class_holders(g: DumpTables, held: str) -> DataFrame:
     """(addr): nodes with an edge to a node whose label starts with held."""
     to = g.nodes.where(F.col("label").startswith(held)).select(F.col("addr").alias("dst"))
     return g.edges.join(to, "dst", "left_semi").select(F.col("src").alias("addr")).distinct()

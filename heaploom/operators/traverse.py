@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import HeapGraph
+from ..model import DumpTables
 from ..plans.cut import written
 from .census import internal_counts
 
@@ -155,13 +155,13 @@ def weak_maps_as_edges(weak_maps: DataFrame, maps_live: bool = False) -> DataFra
     return weak_maps.where(ok).select(F.col("key").alias("src"), F.col("value").alias("dst"))
 
 
-def known_edges(g: HeapGraph, addr: str) -> DataFrame:
+def known_edges(g: DumpTables, addr: str) -> DataFrame:
     """(addr, label, edge_label): what points at a node."""
     e = g.edges.where(F.col("dst") == addr).select(F.col("src").alias("addr"), F.col("label").alias("edge_label"))
     return e.join(g.nodes.select("addr", "label"), "addr", "left")
 
 
-def explain_roots(g: HeapGraph, roots: DataFrame) -> DataFrame:
+def explain_roots(g: DumpTables, roots: DataFrame) -> DataFrame:
     """(addr, root, unknown_edges, is_incremental): unknown edges are rc less the known count; 0 for an incremental
     root without one; null for roots that are not counted."""
     known = g.results.where("tag = 'known'").groupBy("addr").agg(F.max("known").alias("known"))
@@ -171,7 +171,7 @@ def explain_roots(g: HeapGraph, roots: DataFrame) -> DataFrame:
     return r.select("addr", "root", unknown.alias("unknown_edges"), F.coalesce("i", F.lit(False)).alias("is_incremental"))
 
 
-def collect_cycles(g: HeapGraph) -> tuple[DataFrame, DataFrame]:
+def collect_cycles(g: DumpTables) -> tuple[DataFrame, DataFrame]:
     """(garbage(addr), known(addr, known)): what a collector finds from reference counts and marks alone."""
     counts = written(internal_counts(g), "counts")
     roots = counts.where("rc > ic").select("addr", F.col("ic").alias("known"))
@@ -200,7 +200,7 @@ def cycle_friends(edges: DataFrame, addr: str, within: DataFrame | None = None)
     return reach(edges, start, within).intersect(reverse_reach(edges, start, within))
 
 
-def js_flood(g: HeapGraph, holders: DataFrame) -> DataFrame:
+def js_flood(g: DumpTables, holders: DataFrame) -> DataFrame:
     """(addr): reference-counted nodes that a flood from the holders' wrappers over unmarked GC nodes meets and that are no holders."""
     gc = g.nodes.where("kind = 'gc' and not marked").select("addr")
     js = reach(g.edges, holders.select(F.col("dst").alias("addr")), within=gc)
@@ -208,17 +208,17 @@ def js_flood(g: HeapGraph, holders: DataFrame) -> DataFrame:
     return met.join(g.nodes.where("kind = 'rc'").select("addr"), "addr", "left_semi").join(holders.select("addr"), "addr", "left_anti")
 
 
-def unreached_js(g: HeapGraph, reached: DataFrame) -> DataFrame:
+def unreached_js(g: DumpTables, reached: DataFrame) -> DataFrame:
     return g.nodes.where("kind = 'gc' and not marked").join(reached.select("addr"), "addr", "left_anti").agg(F.count("*").alias("n"))
 
 
-def green_nodes(g: HeapGraph) -> DataFrame:
+def green_nodes(g: DumpTables) -> DataFrame:
     """(addr): GC nodes that reach no reference-counted node."""
     rc = g.nodes.where("kind = 'rc'").select("addr")
     return g.nodes.where("kind = 'gc'").select("addr").join(reverse_reach(g.edges, rc), "addr", "left_anti")
 
 
-def neighbourhood(g: HeapGraph, prefix: str, k: int, most_edges: int = 10) -> DataFrame:
+def neighbourhood(g: DumpTables, prefix: str, k: int, most_edges: int = 10) -> DataFrame:
     """(addr, d): nodes at most k steps from a class; nodes with more than most_edges out-edges are not expanded."""
     degree = g.single().groupBy("src").agg(F.count("*").alias("n"))
     small = g.nodes.select("addr").join(degree.where(F.col("n") > most_edges).select(F.col("src").alias("addr")), "addr", "left_anti")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..model import HeapGraph
+from ..model import DumpTables
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 
@@ -54,14 +54,14 @@ def sql_over(spark: SparkSession, sf_dir: str, ctes: str, tail: str) -> DataFram
     return spark.sql(f"WITH {ctes} {tail}")
 
 
-def heap_view(spark: SparkSession, sf_dir: str, weak: bool = False) -> HeapGraph:
+def heap_view(spark: SparkSession, sf_dir: str, weak: bool = False) -> DumpTables:
     """The graph: nodes (addr, k, kind, label, ic, rc, marked), edges (src, dst, label)."""
-    return HeapGraph(
+    return DumpTables(
         nodes=sql_over(spark, sf_dir, HEAP_CTES, "SELECT addr, k, kind, label, CAST(ic AS BIGINT) ic, CAST(rc AS INT) rc, marked FROM nodes"),
         edges=sql_over(spark, sf_dir, HEAP_CTES, "SELECT src, dst, label FROM edges"),
         weak_maps=sql_over(spark, sf_dir, WEAK_CTE, "SELECT map, key, key_delegate, value FROM weak") if weak else None,
     )
 
 
-def heap_roots(g: HeapGraph) -> DataFrame:
+def heap_roots(g: DumpTables) -> DataFrame:
     return g.nodes.where("(kind = 'rc' AND rc > ic) OR marked").select("addr")

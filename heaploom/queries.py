@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.labels import CC_CLASS_PREFIXES, HOLDER_CLASS_PREFIXES, cc_class, url_in
-from .model import HeapGraph
+from .model import DumpTables
 from .operators import blocks, census, components, dominators, predicates, traverse
 from .plans.cut import shared_dir, written
 from .plans.heap_view import HEAP_CTES, ROOTS_CTE, WEAK_CTE, heap_roots, heap_view
@@ -139,9 +139,9 @@ def rc_roots(spark, d):
     return census.rc_roots(heap_view(spark, d))
 
 
-def _one_less(g: HeapGraph) -> HeapGraph:
+def _one_less(g: DumpTables) -> DumpTables:
     """Counts lowered by one, so that audits find something."""
-    return HeapGraph(g.nodes.withColumn("rc", (F.col("rc") - 1).cast("int")), g.edges)
+    return DumpTables(g.nodes.withColumn("rc", (F.col("rc") - 1).cast("int")), g.edges)
 
 
 @query(H + " SELECT addr, CAST(rc - 1 AS INT) AS rc, CAST(ic AS BIGINT) AS ic FROM nodes WHERE kind = 'rc' AND rc - 1 < ic")
@@ -161,10 +161,10 @@ def single_parents(spark, d):
     return census.single_parents(heap_view(spark, d))
 
 
-def _with_results(g: HeapGraph) -> HeapGraph:
+def _with_results(g: DumpTables) -> DumpTables:
     """Every fifth counted node has a known count, every seventh node is an incremental root."""
     results = g.nodes.where("kind = 'rc' and k % 5 = 0").select("addr", F.lit("known").alias("tag"), F.lit(1).alias("known"))
-    return HeapGraph(g.nodes, g.edges, incr_roots=g.nodes.where("k % 7 = 0").select("addr"), results=results)
+    return DumpTables(g.nodes, g.edges, incr_roots=g.nodes.where("k % 7 = 0").select("addr"), results=results)
 
 
 @query(H + """ SELECT addr, CASE WHEN kind = 'rc' AND (k % 5 = 0 OR k % 7 = 0) THEN 'rcRoot' WHEN kind = 'gc' AND (marked OR k % 7 = 0) THEN 'gcRoot' ELSE 'stopNodeLabel' END AS root
@@ -192,7 +192,7 @@ def targets_by_prefix(spark, d):
     return predicates.select_targets(heap_view(spark, d), "nsDocument A")
 
 
-def _edges_of(g: HeapGraph) -> DataFrame:
+def _edges_of(g: DumpTables) -> DataFrame:
     return g.edges.select("src", "dst", "label")
 
 
@@ -305,7 +305,7 @@ def class_path_nodes(spark, d):
     return _class_paths(heap_view(spark, d)).select("target", "hop", "addr")
 
 
-def _class_paths(g: HeapGraph, target: str = "JS Object (") -> DataFrame:
+def _class_paths(g: DumpTables, target: str = "JS Object (") -> DataFrame:
     dist = written(traverse.distances(g.edges, heap_roots(g)), "dist")
     return traverse.root_paths(dist, predicates.select_targets(g, target))
 
@@ -359,7 +359,7 @@ flood(addr, r) AS (SELECT addr, addr FROM gn UNION SELECT u.b, f.r FROM flood f
 comp AS (SELECT addr, min(r) AS rep FROM flood GROUP BY addr)"""
 
 
-def _garbage_graph(spark, d) -> HeapGraph:
+def _garbage_graph(spark, d) -> DumpTables:
     g = heap_view(spark, d)
     live = traverse.reach(g.edges, heap_roots(g))
     return g.without(live)
@@ -428,11 +428,11 @@ def dup_nodes(spark, d):
     return components.duplicate_nodes(heap_view(spark, d))
 
 
-def _slice(spark, d) -> tuple[HeapGraph, DataFrame]:
+def _slice(spark, d) -> tuple[DumpTables, DataFrame]:
     """Regions, nations and suppliers, and parts that suppliers hold: small enough to check by removing every node."""
     g = heap_view(spark, d)
     e = written(g.edges.where("label in ('mNations[i]', 'mSuppliers[i]', 'mPart', 'mSupplier')"), "slice")
-    return HeapGraph(g.nodes, e), g.nodes.where("label = 'region'").select("addr")
+    return DumpTables(g.nodes, e), g.nodes.where("label = 'region'").select("addr")
 
 
 REMOVAL = "WITH RECURSIVE " + HEAP_CTES + """,
@@ -546,7 +546,7 @@ SELECT e.src, e.dst, a.comp AS src_comp FROM edges e JOIN c a ON a.addr = e.src
 def cross_compartment_edges(spark, d):
     g = heap_view(spark, d)
     n = g.nodes.withColumn("compartment", F.concat(F.lit("R"), (F.col("k") % 5).cast("string")))
-    return census.cross_compartment_edges(HeapGraph(n, g.edges), "R1").select("src", "dst", "src_comp")
+    return census.cross_compartment_edges(DumpTables(n, g.edges), "R1").select("src", "dst", "src_comp")
 
 
 @query(HR + """,
@@ -575,7 +575,7 @@ def garbage_dot(spark, d):
     return sinks.dot_lines(g, garbage=g.nodes.select("addr")).select("value")
 
 
-def _heap_dominators(spark, d) -> tuple[HeapGraph, DataFrame]:
+def _heap_dominators(spark, d) -> tuple[DumpTables, DataFrame]:
     g = heap_view(spark, d)
     return g, dominators.dominator_sets(g.edges, heap_roots(g))
 

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.labels import display_label, edge_line, gc_display_label, gc_shape, masked, node_line, style, without_private
-from ..model import HeapGraph
+from ..model import DumpTables
 from ..plans.cut import written
 
 SEPARATOR = "=========="
 
 
-def log_lines(g: HeapGraph) -> DataFrame:
+def log_lines(g: DumpTables) -> DataFrame:
     """(ord, value): a cycle-collector log of the graph: each node with its edges, weak maps, incremental roots, the
     separator, results.  Lines sort by ord, a struct."""
     key = lambda a, b, c, d: F.struct(F.lit(a).alias("part"), b.cast("string").alias("owner"), F.lit(c).alias("kind"), d.cast("string").alias("at"))
@@ -45,14 +45,14 @@ def write_lines(lines: DataFrame, path: str, single_file: bool = False) -> None:
     ordered.select("value").write.text(path)
 
 
-def reversed_log(g: HeapGraph) -> DataFrame:
+def reversed_log(g: DumpTables) -> DataFrame:
     return log_lines(g.reversed())
 
 
-def log_without_marked(g: HeapGraph) -> DataFrame:
+def log_without_marked(g: DumpTables) -> DataFrame:
     """The log without marked nodes, edges into them, and results."""
     gone = g.without(g.nodes.where("marked"))
-    return log_lines(HeapGraph(gone.nodes, gone.edges))
+    return log_lines(DumpTables(gone.nodes, gone.edges))
 
 
 def merge_lines(components: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def merge_lines(components: DataFrame) -> DataFrame:
     return m.select(F.concat_ws(" ", "rep", F.array_join("m", " ")).alias("value"))
 
 
-def path_table(paths: DataFrame, g: HeapGraph) -> DataFrame:
+def path_table(paths: DataFrame, g: DumpTables) -> DataFrame:
     """(target, hop, addr, label, in_labels): paths(target, hop, addr) with labels of nodes and of the edges that lead to them."""
     w = Window.partitionBy("target").orderBy("hop")
     step = paths.withColumn("src", F.lag("addr").over(w)).join(g.nodes.select("addr", "label"), "addr", "left")
@@ -104,7 +104,7 @@ def root_lines(explained: DataFrame) -> DataFrame:
     return explained.select("addr", F.concat(F.lit("    Root "), F.col("addr"), F.lit(" "), kind, note).alias("value"))
 
 
-def dot_lines(g: HeapGraph, roots: DataFrame | None = None, garbage: DataFrame | None = None, gc: bool = False, name: str = "heap") -> DataFrame:
+def dot_lines(g: DumpTables, roots: DataFrame | None = None, garbage: DataFrame | None = None, gc: bool = False, name: str = "heap") -> DataFrame:
     """(ord, value): a Graphviz drawing: nodes styled by kind, fate and class, dashed edges between counted and GC nodes."""
     n = g.nodes
     flag = lambda t, c: n.select("addr").join(t.select("addr").distinct().withColumn(c, F.lit(True)), "addr", "left") if t is not None else n.select("addr", F.lit(False).alias(c))
@@ -130,7 +130,7 @@ def dot_lines(g: HeapGraph, roots: DataFrame | None = None, garbage: DataFrame |
     return frame.unionByName(node).unionByName(edge)
 
 
-def path_set_dot(paths: DataFrame, g: HeapGraph) -> DataFrame:
+def path_set_dot(paths: DataFrame, g: DumpTables) -> DataFrame:
     """A drawing of a set of paths, runs of shapes drawn as one."""
     from ..operators.components import contract, topmost_parent
 
@@ -143,7 +143,7 @@ def path_set_dot(paths: DataFrame, g: HeapGraph) -> DataFrame:
     merged = topmost_parent(shapes, chain.select(F.col("src").alias("addr"), F.col("dst").alias("parent"))).select("addr", F.col("top").alias("rep"))
     edges = contract(steps, merged)
     gone = merged.where("addr != rep").select("addr")
-    return dot_lines(HeapGraph(nodes.join(gone, "addr", "left_anti"), edges.withColumn("label", F.lit(""))), gc=True, name="paths")
+    return dot_lines(DumpTables(nodes.join(gone, "addr", "left_anti"), edges.withColumn("label", F.lit(""))), gc=True, name="paths")
 
 
 def tree_lines(tree: DataFrame, retained: DataFrame, labels: DataFrame, at_least: int = 1000, root: str = "root") -> DataFrame:
@@ -172,7 +172,7 @@ def tree_dot(tree: DataFrame, retained: DataFrame, nodes: DataFrame, at_least: i
     keep = nodes.where(~F.coalesce(F.col("label").startswith("shape"), F.lit(False))).join(big, "addr", "left_semi")
     e = tree.select(F.col("idom").alias("src"), F.col("addr").alias("dst"), F.lit("").alias("label"))
     e = e.join(keep.select(F.col("addr").alias("src")), "src", "left_semi").join(keep.select(F.col("addr").alias("dst")), "dst", "left_semi")
-    return dot_lines(HeapGraph(keep, e), gc=True, name=name)
+    return dot_lines(DumpTables(keep, e), gc=True, name=name)
 
 
 def group_report(groups: DataFrame, totals: DataFrame) -> DataFrame:

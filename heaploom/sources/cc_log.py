@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import null_address
-from ..model import HeapGraph
+from ..model import DumpTables
 from ..plans.cut import written
 from .lines import fill_down, read_lines, sections
 
@@ -29,7 +29,7 @@ def weak_maps_of(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("value").rlike(WEAK)).select(*[null_address(p).alias(n) for p, n in zip(part, names)], "ord")
 
 
-def read_cc_log(spark: SparkSession, path: str, labels: bool = True, edges: bool = True, positional_roots: bool = False) -> HeapGraph:
+def read_cc_log(spark: SparkSession, path: str, labels: bool = True, edges: bool = True, positional_roots: bool = False) -> DumpTables:
     """Parse a log (a file, gzipped or not).  labels=False and edges=False prune what an analysis doesn't need.
 
     Lines that no format fits, comments apart, are in corrupt.  With positional_roots, the first two lines hold root counts
@@ -62,7 +62,7 @@ def read_cc_log(spark: SparkSession, path: str, labels: bool = True, edges: bool
         found = spark.createDataFrame([], "src string, dst string, label string, ord long")
     value = F.col("value")
     known = value.rlike(NODE) | value.rlike(EDGE) | value.rlike(WEAK) | value.rlike(INCREMENTAL) | value.startswith("#")
-    return HeapGraph(
+    return DumpTables(
         nodes=written(nodes, "nodes"),
         edges=found,
         weak_maps=weak_maps_of(body),
@@ -72,12 +72,12 @@ def read_cc_log(spark: SparkSession, path: str, labels: bool = True, edges: bool
     )
 
 
-def read_cc_nodes(spark: SparkSession, path: str) -> HeapGraph:
+def read_cc_nodes(spark: SparkSession, path: str) -> DumpTables:
     """The projection without edges."""
     return read_cc_log(spark, path, edges=False)
 
 
-def read_cc_fast(spark: SparkSession, path: str) -> HeapGraph:
+def read_cc_fast(spark: SparkSession, path: str) -> DumpTables:
     """The projection without edge labels."""
     return read_cc_log(spark, path, labels=False)
 
@@ -107,7 +107,7 @@ def read_merge_file(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("w")[0].alias("rep"), F.explode(F.slice("w", 2, F.size("w"))).alias("member"))
 
 
-def read_log(spark: SparkSession, path: str) -> HeapGraph:
+def read_log(spark: SparkSession, path: str) -> DumpTables:
     """Dispatch by the file's name: cc... and incomplete-cc..., gc... and incomplete-gc..."""
     from .gc_log import read_gc_log
 

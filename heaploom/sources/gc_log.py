@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import is_gray_label, string_length, string_text, string_type
-from ..model import HeapGraph
+from ..model import DumpTables
 from ..plans.cut import written
 from .cc_log import weak_maps_of
 from .lines import fill_down, read_lines, sections
@@ -34,7 +34,7 @@ def ordered_roots(rows: DataFrame, version: str = "current", last_wins: bool = F
     return one.select("addr", "x.is_black", "x.label", "x.ord")
 
 
-def read_gc_log(spark: SparkSession, path: str, version: str = "current") -> HeapGraph:
+def read_gc_log(spark: SparkSession, path: str, version: str = "current") -> DumpTables:
     """Parse a log: roots and weak maps above the separator, nodes and edges below.  Text is latin-1."""
     lines = written(sections(read_lines(spark, path, "ISO-8859-1")), "gc-lines")
     value = F.col("value")
@@ -55,7 +55,7 @@ def read_gc_log(spark: SparkSession, path: str, version: str = "current") -> Hea
         "src", F.regexp_extract("value", EDGE, 1).alias("dst"), F.regexp_extract("value", EDGE, 3).alias("label"), "ord"
     )
     bad = head.where(~value.rlike(ROOT) & ~value.startswith("WeakMapEntry")).unionByName(body.where(~is_node & ~value.rlike(EDGE)))
-    return HeapGraph(
+    return DumpTables(
         nodes=written(nodes, "nodes"),
         edges=written(edges, "edges"),
         weak_maps=weak_maps_of(head),
@@ -64,7 +64,7 @@ def read_gc_log(spark: SparkSession, path: str, version: str = "current") -> Hea
     )
 
 
-def read_gc_compartment_log(spark: SparkSession, path: str) -> HeapGraph:
+def read_gc_compartment_log(spark: SparkSession, path: str) -> DumpTables:
     """The older three-section format: nodes have a compartment in place of a colour; an address's last root counts."""
     lines = written(sections(read_lines(spark, path, "ISO-8859-1")), "comp-lines")
     value = F.col("value")
@@ -80,7 +80,7 @@ def read_gc_compartment_log(spark: SparkSession, path: str) -> HeapGraph:
     edges = owned.where(value.rlike(COMP_EDGE)).select(
         "src", F.regexp_extract("value", COMP_EDGE, 1).alias("dst"), F.regexp_extract("value", COMP_EDGE, 2).alias("label"), "ord"
     )
-    return HeapGraph(nodes=nodes, edges=edges, roots=ordered_roots(roots, "compartment", last_wins=True))
+    return DumpTables(nodes=nodes, edges=edges, roots=ordered_roots(roots, "compartment", last_wins=True))
 
 
 def compartment_names(spark: SparkSession, path: str) -> DataFrame:

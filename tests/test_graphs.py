@@ -5,7 +5,7 @@ import random
 import pytest
 
 from heaploom import queries
-from heaploom.model import HeapGraph
+from heaploom.model import DumpTables
 from heaploom.operators import components, dominators, traverse
 from heaploom.sinks import text as sinks
 
@@ -14,7 +14,7 @@ def graph(spark, seed, n=18, m=30):
     rng = random.Random(seed)
     e = [(f"n{rng.randrange(n):02}", f"n{rng.randrange(n):02}", f"l{i}", i) for i in range(m)]
     nodes = spark.createDataFrame([(f"n{i:02}", "gc" if i % 3 else "rc", "x") for i in range(n)], "addr string, kind string, label string")
-    return HeapGraph(nodes, spark.createDataFrame(e, "src string, dst string, label string, ord long")), e, [f"n{i:02}" for i in range(n)]
+    return DumpTables(nodes, spark.createDataFrame(e, "src string, dst string, label string, ord long")), e, [f"n{i:02}" for i in range(n)]
 
 
 def flood(start, e, gone=None):
@@ -75,7 +75,7 @@ def test_parents(spark):
 def test_ranks_and_duplicates(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "c"), ("x", "y"), ("y", "x"), ("a2", "b")], "src string, dst string")
     nodes = spark.createDataFrame([(x, "rc", "l") for x in ("a", "a2", "b", "c", "d", "x", "y")], "addr string, kind string, label string")
-    g = HeapGraph(nodes, e)
+    g = DumpTables(nodes, e)
     assert {r["addr"]: r["rank"] for r in components.acyclic_ranks(g).collect()} == {"c": 0, "b": 1, "d": 1, "a": 2, "a2": 2}
     assert [(r["a"], r["b"]) for r in components.tiny_loops(g).collect()] == [("x", "y")]
     assert [(r["rep"], r["n"]) for r in components.duplicate_nodes(g).collect()] == [("a", 2)]
@@ -84,7 +84,7 @@ def test_ranks_and_duplicates(spark):
 def test_no_limit_of_depth(spark, monkeypatch):
     """Ranks above 2 are in the query; lines below 65 levels are in the tree."""
     nodes = spark.createDataFrame([(f"n{i}", "rc", "x") for i in range(6)], "addr string, kind string, label string")
-    g = HeapGraph(nodes, spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(5)], "src string, dst string"))
+    g = DumpTables(nodes, spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(5)], "src string, dst string"))
     monkeypatch.setattr(queries, "heap_view", lambda *_: g)
     assert {r["addr"]: r["rank"] for r in queries.QUERIES["acyclic_rank"](spark, "").collect()} == {f"n{i}": 5 - i for i in range(6)}
     names = ["root", *(f"a{i:02}" for i in range(68))]
