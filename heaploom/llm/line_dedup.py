@@ -4,6 +4,10 @@ A HyperLogLog sketch of sites per line hash is merged by aggregation, map side f
 occupied registers, never more than there are sites, so an estimate that needs `sites` occupied registers is
 proof enough; lines on at least that many rows whose estimate stays below it are near the threshold and get
 an exact distinct count.  The decision is therefore exact.
+
+Lines that make up a share of 1 / HOT of all are HOT at most: these are sent to every worker, so that the copies of a very
+common line are met where they stand; the copies of all other lines are shuffled to them.  Texts are shuffled once, to the
+numbers of the lines that they lose.  The plan is the same at every size.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ SITES = 5
 #: Relative error of the sketch; it gives 128 registers.
 ERROR = 0.1
 REGISTERS = 128
+#: Lines at most that are sent to every worker.
+HOT = 10_000
 
 _SPACE = " \t\x0b\x0c\r"
 
@@ -29,30 +35,44 @@ def line_key(line: Column) -> Column:
     return F.trim(line, F.lit(_SPACE))
 
 
-def spread(lines: DataFrame, sites: int = SITES) -> DataFrame:
-    """Boilerplate lines: (h1, h2, first_doc, first_at) of lines (h1, h2, site, doc, at) on at least `sites` sites.
+def _free(columns: list[str], name: str) -> str:
+    """A name that begins no column's name."""
+    while any(c.lower().startswith(name) for c in columns):
+        name += "_"
+    return name
+
+
+def _meet(lines: DataFrame, wanted: DataFrame, total: int) -> DataFrame:
+    """Rows of lines with the columns of wanted(h1, h2, c, ...), c being a line's rows of all `total`."""
+    hot = F.col("c") * HOT >= F.lit(total)
+    often = F.broadcast(wanted.where(hot).drop("c"))  # HOT rows at most
+    seldom = wanted.where(~hot).drop("c").hint("merge")
+    rest = lines.join(often.select("h1", "h2"), ["h1", "h2"], "left_anti").join(seldom, ["h1", "h2"])
+    return lines.join(often, ["h1", "h2"]).unionByName(rest)
+
+
+def spread(lines: DataFrame, sites: int = SITES) -> tuple[DataFrame, int]:
+    """Boilerplate lines, (h1, h2, c, first_doc) of lines (h1, h2, site, doc) on at least `sites` sites, and the rows of all lines.
 
-    A null site counts as one site of its own.  first_* is the place of the first copy by (doc, at).
+    A null site counts as one site of its own.  c counts rows, first_doc is the smallest doc.
     """
-    sites_col = F.coalesce(F.concat(F.lit("s"), "site"), F.lit("n"))
-    lines = lines.withColumn("site", sites_col)
     seen = lines.groupBy("h1", "h2").agg(
         F.count("*").alias("c"),
         F.approx_count_distinct("site", ERROR).alias("about"),
         F.min("doc").alias("first_doc"),
     )
-    seen = seen.where(F.col("c") >= sites)
     # the least estimate that `sites` occupied registers give, in the range where the sketch counts linearly
     certain = math.ceil(REGISTERS * math.log(REGISTERS / (REGISTERS - sites)) - 0.5) if sites < REGISTERS // 2 else None
-    seen = written(seen, "spread")
-    sure = seen.where(F.col("about") >= certain) if certain is not None else seen.limit(0)
-    near = seen.where(F.col("about") < certain) if certain is not None else seen
-    exact = lines.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").select("h1", "h2", "site").distinct()
-    exact = exact.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= sites)
-    found = sure.unionByName(near.join(exact.select("h1", "h2"), ["h1", "h2"], "left_semi"))
-    out = written(found.select("h1", "h2", "first_doc"), "boilerplate")
+    seen = written(seen.where(F.col("c") >= sites), "spread")
+    total = lines.count()
+    is_sure = F.col("about") >= certain if certain is not None else F.lit(False)
+    near = seen.where(~is_sure).select("h1", "h2", "c", "first_doc")
+    exact = _meet(lines.select("h1", "h2", "site"), near.select("h1", "h2", "c"), total).select("h1", "h2", "site").distinct()
+    exact = exact.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= sites).select("h1", "h2")
+    found = seen.where(is_sure).select(near.columns).unionByName(near.join(exact, ["h1", "h2"], "left_semi"))
+    out = written(found, "boilerplate")
     discard(seen)
-    return out
+    return out, total
 
 
 def remove_boilerplate(
@@ -63,37 +83,40 @@ def remove_boilerplate(
     Lines are cut at line feeds and compared without white space at their ends; empty lines never go.  With keep_first, the
     document with the smallest key keeps a line (all its copies there), so nothing is lost from the corpus; of
     rows with equal keys all keep it, and a null key never does.  A null text stays null with 0 lines; a text
-    whose lines all go becomes empty.  Repeated rows on one site do not spread a line.  Other columns stay as they are.
+    whose lines all go becomes empty.  Repeated rows on one site do not spread a line.  Other columns stay as they are,
+    but for such that are called n_lines or n_removed, which are replaced.
     """
     own = docs.columns
-    lines_col = F.split(F.col(text), "\n", -1)
-    rows = docs.select(F.col(key).alias("doc"), F.col(site).cast("string").alias("site"), lines_col.alias("__l"))
+    mine = _free(own, "__gone")
+    # rows are told apart by what decides their result, so equal rows may share a number
+    marks = {f"{mine}1": F.xxhash64(key, text), f"{mine}2": F.hash(text, key)}
+    rows = docs.select(F.col(key).alias("doc"), F.col(site).cast("string").alias("site"), *[c.alias(k) for k, c in zip(("r1", "r2"), marks.values())], F.split(F.col(text), "\n", -1).alias("__l"))
     line = line_key(F.col("__x"))
     lines = (
-        rows.select("doc", "site", F.explode("__l").alias("__x"))
-        .select("doc", "site", line.alias("line"))
+        rows.select("doc", "site", "r1", "r2", F.posexplode("__l").alias("at", "__x"))
+        .select("doc", "site", "r1", "r2", "at", line.alias("line"))
         .where("line != ''")
-        .select("doc", "site", F.xxhash64("line").alias("h1"), F.hash("line", F.lit(1)).alias("h2"))
-    )
+        .select(
+            "doc", "r1", "r2", "at",
+            F.coalesce(F.concat(F.lit("s"), "site"), F.lit("n")).alias("site"),
+            F.xxhash64("line").alias("h1"),
+            F.hash("line", F.lit(1)).alias("h2"),
+        )
+    )
     lines = written(lines, "lines")
-    bad = spread(lines, sites)
-    hit = lines.join(bad, ["h1", "h2"])
+    bad, total = spread(lines, sites)
+    hit = _meet(lines.drop("site"), bad, total)
     if keep_first:
         hit = hit.where("doc is null or first_doc is null or doc != first_doc")
-    # what each document loses: bounded by its own lines
-    gone = hit.select("doc", "h1", "h2").distinct().groupBy("doc").agg(F.collect_list(F.struct("h1", "h2")).alias("__gone"))
+    # what each row loses: bounded by its own lines
+    gone = hit.groupBy(*[F.col(r).alias(k) for r, k in zip(("r1", "r2"), marks)]).agg(F.collect_set("at").alias(mine))
     gone = written(gone, "gone")
     discard(lines, bad)
-    joined = docs.join(gone.withColumnRenamed("doc", "__doc"), F.col(key).eqNullSafe(F.col("__doc")), "left")
-
-    def lost(x: Column) -> Column:
-        h = F.struct(F.xxhash64(line_key(x)).alias("h1"), F.hash(line_key(x), F.lit(1)).alias("h2"))
-        return F.array_contains(F.col("__gone"), h)
-
-    kept = F.filter(lines_col, lambda x: (line_key(x) == "") | ~lost(x))
-    out = joined.withColumn("__kept", F.when(F.col("__gone").isNull(), lines_col).otherwise(kept))
-    new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join("__kept", "\n"))
-    n = F.coalesce(F.size(lines_col), F.lit(0)).cast("long")
-    removed = F.coalesce(F.size(lines_col) - F.size("__kept"), F.lit(0)).cast("long")
+    joined = docs.withColumns(marks).join(gone.hint("merge"), list(marks), "left")
+    lines_col = F.split(F.col(text), "\n", -1)
+    kept = F.filter(lines_col, lambda x, i: ~F.array_contains(F.col(mine), i))
+    new = F.when(F.col(mine).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    n = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines_col)).cast("long")
+    removed = F.when(F.col(mine).isNull(), 0).otherwise(F.size(mine)).cast("long")
     rest = [F.col(c) for c in own if c not in (text, "n_lines", "n_removed")]
-    return out.select(*rest, new.alias(text), F.when(F.col(text).isNull(), 0).otherwise(n).alias("n_lines"), F.when(F.col(text).isNull(), 0).otherwise(removed).alias("n_removed"))
+    return joined.select(*rest, new.alias(text), n.alias("n_lines"), removed.alias("n_removed"))
