@@ -8,6 +8,8 @@ A group loses a bin at most against packing all pieces together, so the loss is
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -15,88 +17,175 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_words, text_slices, written
+from .common import ASCII_LOWER, text_slices, written
 
 CAPACITY = 2048
 #: Expected pieces of a group; groups are made by a hash, so none grows with the input.
 GROUP_PIECES = 5_000
 #: Givers tried in a row, from the emptiest bin on, before the search ends.
 STUCK = 50
-#: Distinct chunks between white space whose ids a worker keeps; beyond it the memory starts anew, the ids stay the same.
-MEMO_CHUNKS = 1_100_000
-#: Bytes of text encoded at once; a distinct chunk is looked up once for each.
+#: Distinct words whose ids a worker keeps; beyond it the memory starts anew, the ids stay the same.
+MEMO_WORDS = 1_500_000
+#: Bytes of text encoded at once; a distinct word is looked up once for each.
 SLICE = 6_000_000
-#: No byte is mapped when texts are cut at white space.
-SAME = bytes(range(256))
+#: The settings of a tokenizers file whose words cut_words() finds.
+WORD_RULES = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+#: Texts that cut_words() takes.  1C-1F, 7F to A0 are white space or nothing to some engines only; AA, B5 and BA are letters without
+#: case, and B2, B3, B9 and BC to BE are numbers.
+PLAIN = r"^[\x00-\x1b\x20-\x7e\x{a1}-\x{a9}\x{ab}-\x{b1}\x{b4}\x{b6}-\x{b8}\x{bb}\x{bf}-\x{ff}]*$"
+_SPACES, _LETTERS, _DIGITS, _MARKS = range(4)
+_KIND = np.array(
+    [
+        _SPACES if b == 32 or 9 <= b <= 13 else _DIGITS if 48 <= b <= 57 else _LETTERS if 97 <= b | 32 <= 122 or b >= 128 else _MARKS
+        for b in range(256)
+    ],
+    np.uint8,
+)
 
 
 class WordTokenizer:
-    """Ids of a tokenizers file whose pre-tokenizer cuts at a pattern: distinct chunks are encoded once and remembered.
+    """Ids of a tokenizers file; where the file cuts words by the known rules (WORD_RULES), distinct words are encoded once and remembered.
 
-    A text is handled word by word only if it lies in characters (ASCII and Latin-1 letters) whose lower case,
-    white space and classes are the same to the library's regular expressions and to ours; all others, and texts
-    that hold a special token, are given to the library whole.
+    A text is then cut into words here only if it lies in characters (ASCII and Latin-1) whose lower case, white space and classes
+    are the same to the library's regular expressions and to ours; all other texts, texts that hold a special token, and all
+    texts where a file has other rules, are given to the library whole.
     """
 
     def __init__(self, path: str, eos: int | None = 0):
-        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.eos = [] if eos is None else [eos]
-        self.memo: dict[str, bytes] = {}
-        # 1C-1F, 85 and A0 are white space to some engines only; AA, B5 and BA are letters without case
-        self.plain = regex.compile(r"[\x00-\x1b\x20-\x7e¡-©«-´¶-¹»-¿À-ÿ]*").fullmatch
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode the words of chunks of text without white space, as one text; a word's ids are those with its number."""
-        split = [self.split(c.lower()) for c in chunks]
-        known = self.memo  # a word is a chunk too, mostly one that is met anyway
-        words = list(dict.fromkeys(w for c in split for w in c if w not in known))  # each a single match of the pattern
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        special = [t["content"] for t in rules["added_tokens"]]
+        # a special token that is normalised, or that takes white space beside it, is looked for otherwise than by its letters
+        simple = not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in rules["added_tokens"])
+        self.by_word = simple and all(rules[k] == v for k, v in WORD_RULES.items()) and not rules["model"].get("dropout")
+        self.special = "|".join(map(re.escape, special))
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.table = np.zeros(1 << 16, "<u4")  # ids of all remembered words in a row
+        self.ends = np.zeros(1 << 16, np.int64)  # where those of each word end there; word 0 has none
+        self.ends_at, self.used = 1, 0
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words, each a single match of the pattern, as one text; a word's ids are those with its number."""
         for a in range(0, len(words), 500):
             part = words[a : a + 500]
             got = self.tok.encode(" ".join(part), add_special_tokens=False)
-            ids, at = np.array(got.ids, "<u4").tobytes(), np.array(got.word_ids)
-            edges = (4 * np.searchsorted(at, np.arange(len(part) + 1))).tolist()
-            known |= {w: ids[x:y] for w, x, y in zip(part, edges, edges[1:])}
-        known |= {c: known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]) for c, ws in zip(chunks, split)}
+            ends = np.searchsorted(np.array(got.word_ids), np.arange(len(part)), "right")
+            while self.used + len(got.ids) > len(self.table):
+                self.table = np.append(self.table, np.zeros_like(self.table))
+            while self.ends_at + len(part) > len(self.ends):
+                self.ends = np.append(self.ends, np.zeros_like(self.ends))
+            self.table[self.used : self.used + len(got.ids)] = got.ids
+            self.ends[self.ends_at : self.ends_at + len(part)] = ends + self.used
+            self.place.update(zip(part, range(self.ends_at, self.ends_at + len(part))))
+            self.used += len(got.ids)
+            self.ends_at += len(part)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and where each text's ids begin (one more entry than texts)."""
-        strings = [t or "" for t in texts.to_pylist()]
-        odd = [not self.plain(t) or any(x in t for x in self.special) for t in strings]
-        flat, starts = flat_words(pa.array(["" if o else t for o, t in zip(odd, strings)], pa.string()), SAME)
-        coded = flat.dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
-        new = [c for c in chunks if c not in self.memo]
-        if len(self.memo) + len(new) > MEMO_CHUNKS:
-            self.memo.clear()
-            new = chunks
-        self._learn(new)
-        parts = list(map(self.memo.__getitem__, chunks))
-        table = np.frombuffer(b"".join(parts), "<u4")
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        begin = np.cumsum(size) - size
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        odd = pa.array(np.full(len(texts), not self.by_word))
+        if self.by_word:
+            odd = pc.invert(pc.match_substring_regex(texts, PLAIN))
+            odd = pc.or_(odd, pc.match_substring_regex(texts, self.special)) if self.special else odd
+        words, starts = cut_words(pc.if_else(odd, "", texts))
+        coded = words.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        place = [self.place.get(w, 0) for w in names]
+        new = [w for w, at in zip(names, place) if not at]
+        if new:
+            if self.ends_at + len(new) > MEMO_WORDS:
+                self.forget()
+                new = names
+            self._learn(new)
+            place = [self.place[w] for w in names]
+        place = np.array(place, np.int64)
+        begin, size = self.ends[place - 1], self.ends[place] - self.ends[place - 1]
         code = coded.indices.to_numpy()
         each = size[code]
         after = np.concatenate([[0], np.cumsum(each)])
-        ids = table[np.arange(after[-1]) + np.repeat(begin[code] - after[:-1], each)]
+        ids = self.table[np.arange(after[-1]) + np.repeat(begin[code] - after[:-1], each)]
         bounds = after[starts]
-        pieces, at = [], [0]
-        if not any(odd) and len(self.eos) == 1:  # the end token is put in behind every text at once
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+        if not whole and len(self.eos) == 1:  # the end token is put in behind every text at once
             return np.insert(ids, bounds[1:], self.eos[0]), bounds + np.arange(len(bounds))
-        for i, t in enumerate(strings):
-            own = self.tok.encode(t, add_special_tokens=False).ids if odd[i] else ids[bounds[i] : bounds[i + 1]]
-            pieces += [np.asarray(own, np.uint32), np.array(self.eos, np.uint32)]
-            at.append(at[-1] + len(own) + len(self.eos))
+        pieces, at = [], [0]
+        own = dict(zip(whole, self.tok.encode_batch([texts[i].as_py() for i in whole], add_special_tokens=False)))
+        for i in range(len(texts)):
+            mine = own[i].ids if i in own else ids[bounds[i] : bounds[i + 1]]
+            pieces += [np.asarray(mine, np.uint32), np.array(self.eos, np.uint32)]
+            at.append(at[-1] + len(mine) + len(self.eos))
         return np.concatenate(pieces) if pieces else np.zeros(0, np.uint32), np.array(at)
 
 
+def cut_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All matches of the pattern in the lower-cased texts in a row, and where each text's begin; texts match PLAIN.
+
+    Works on the bytes of all texts at once: a word begins where the class of bytes changes, every digit is a word, and
+    an apostrophe that begins a run of marks takes the letters of a contraction with it.
+    """
+    n = len(texts)
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, n + 1, texts.offset * 4)
+    data, starts = texts.buffers()[2], (offsets - offsets[0]).astype(np.int64)
+    raw = data.slice(int(offsets[0]), int(starts[-1])).to_pybytes() if data is not None else b""
+    raw = np.frombuffer(raw.translate(ASCII_LOWER) + b"   ", np.uint8).copy()
+    size = len(raw) - 3
+    kind = _KIND[raw]
+    second = np.flatnonzero((raw >= 0x80) & (raw < 0xC0))
+    if len(second):
+        x, latin = raw[second], raw[second - 1] == 0xC3
+        sign = latin & ((x == 0x97) | (x == 0xB7))
+        raw[second[latin & (x < 0x9F) & ~sign]] += 0x20
+        kind[second] = np.where(latin & ~sign, _LETTERS, _MARKS)
+        kind[second - 1] = kind[second]
+    begins = np.ones(size + 3, bool)
+    begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGITS)
+    first = np.zeros(size + 3, bool)
+    first[starts] = True
+    begins |= first
+    begins[second] = False
+    quote = np.flatnonzero(raw[:size] == ord("'"))
+    quote = quote[begins[quote] & ~first[quote + 1]]
+    b, c = raw[quote + 1], raw[quote + 2]
+    two = np.isin(b, np.frombuffer(b"stmd", np.uint8))
+    e, ll = ord("e"), ord("l")
+    three = ~first[quote + 2] & (((b == ord("r")) | (b == ord("v"))) & (c == e) | (b == ll) & (c == ll))
+    begins[quote[two | three] + 1] = False
+    begins[quote[two] + 2] = True
+    begins[quote[three] + 3] = True
+    edges = np.flatnonzero(begins[: size + 1]).astype(np.int32)
+    if not len(edges) or edges[-1] != size:
+        edges = np.append(edges, np.int32(size))
+    words = pa.StringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges), pa.py_buffer(raw))
+    full = kind[edges[:-1]] != _SPACES
+    return words.filter(pa.array(full)), np.searchsorted(edges[:-1][full], starts)
+
+
 def _worker_tokenizer(path: str, eos: int | None) -> WordTokenizer:
     """One per worker process, so that later tasks find the words that earlier ones have encoded."""
     import tokenizers
