@@ -36,15 +36,20 @@ LEAST = 2
 BUCKET = 2_000_000
 
 
-def sequence(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Tokens of all texts in a row with an end after each, and where each text's begin."""
+def sequence(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct tokens, END being the last, the number of each token of all texts in a row, an end after each, and where each
+    text's begin."""
     flat, starts = flat_words(texts)
+    coded = flat.dictionary_encode()
     n = len(starts) - 1
-    words = np.arange(len(flat)) + np.repeat(np.arange(n), np.diff(starts))
-    index = np.full(len(flat) + n, len(flat), np.int64)
-    index[words] = np.arange(len(flat))
-    both = pa.concat_arrays([flat, pa.array([END], pa.string())])
-    return both.take(pa.array(index)), starts + np.arange(n + 1)
+    code = np.full(len(flat) + n, len(coded.dictionary), np.int64)
+    code[np.arange(len(flat)) + np.repeat(np.arange(n), np.diff(starts))] = coded.indices.to_numpy()
+    return pa.concat_arrays([coded.dictionary, pa.array([END], pa.string())]), code, starts + np.arange(n + 1)
+
+
+def runs(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin in a sorted array."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
 
 
 @dataclass
@@ -96,26 +101,51 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix64(mix64(a.view(np.uint64)) + b.view(np.uint64))
 
 
-def dealt(a: np.ndarray, b: np.ndarray, buckets: int, **more: np.ndarray) -> dict[str, pa.Array]:
-    """Pairs, and what goes with them, as a list a bucket; pairs of one bucket are in the order of their hashes."""
-    h = pair_hash(a, b)
-    order = np.argsort(h, kind="stable")
-    bucket = (h[order] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-    cut = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets)))
-    ends = pa.array(np.append(cut, len(order)).astype(np.int32))
-    lists = {k: pa.ListArray.from_arrays(ends, pa.array(x[order])) for k, x in {"a": a, "b": b, **more}.items()}
-    return {"bucket": pa.array(bucket[cut].astype(np.int32)), **lists}
+def in_order(keys: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in the order of unsigned numbers, and codes that number them so: a sort of codes is then one of keys."""
+    order = np.argsort(keys.view(np.uint64), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return keys[order], rank[code]
+
 
+def packed(columns: list[np.ndarray]) -> bytes:
+    """Columns of 64-bit numbers, the first one rising (unsigned): its differences and the rest by byte planes, compressed."""
+    first, *rest = columns
+    first = np.diff(first.view(np.uint64), prepend=np.uint64(0))
+    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T) for x in (first, *rest)]
+    return pa.compress(b"".join(x.tobytes() for x in planes), "zstd", asbytes=True)
 
-def flat_lists(column: pa.ChunkedArray) -> np.ndarray:
-    return pc.list_flatten(column).to_numpy()
+
+def unpacked(part: pa.Table, columns: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns of all blobs of part(m, data) in a row, and the row of part that each number comes from."""
+    sizes = part.column("m").to_numpy()
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(columns)]
+    for m, blob in zip(sizes.tolist(), part.column("data").to_pylist()):
+        raw = pa.decompress(blob, decompressed_size=8 * m * columns, codec="zstd")
+        planes = np.frombuffer(raw, np.uint8).reshape(columns, 8, m)
+        for i in range(columns):
+            x = np.ascontiguousarray(planes[i].T).view(np.uint64).ravel()
+            out[i].append((x if i else np.cumsum(x, dtype=np.uint64)).view(np.int64))
+    return [np.concatenate(x) for x in out], np.repeat(np.arange(len(sizes)), sizes)
+
+
+def dealt(a: np.ndarray, b: np.ndarray, buckets: int, *more: np.ndarray) -> list[pa.Array]:
+    """(bucket, m, data): pairs in the order of a, and what goes with them, as a blob a bucket."""
+    bucket = (pair_hash(a, b) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.int64), kind="stable")
+    columns = [x[order] for x in (a, b, *more)]
+    cut = runs(bucket[order])
+    ends = np.append(cut[1:], len(order))
+    blobs = [packed([x[i:j] for x in columns]) for i, j in zip(cut.tolist(), ends.tolist())]
+    return [pa.array(bucket[order][cut].astype(np.int32)), pa.array((ends - cut).astype(np.int32)), pa.array(blobs, pa.binary())]
 
 
 def summed_pairs(part: pa.Table) -> pa.Table:
     """(bucket, a, b, n) of one bucket: how often each pair occurs, from LEAST times on."""
-    a, b, n = (flat_lists(part.column(c)) for c in ("a", "b", "n"))
+    (a, b, n), _ = unpacked(part, 3)
     h = pair_hash(a, b)
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
     if (~same & (h[order][1:] == h[order][:-1])).any():  # two pairs with one hash
         order = np.lexsort((b, a))
@@ -131,7 +161,7 @@ def summed_pairs(part: pa.Table) -> pa.Table:
 def found_pairs(a: np.ndarray, b: np.ndarray, arc_a: np.ndarray, arc_b: np.ndarray) -> np.ndarray:
     """Where each pair is among the arcs, -1 for those without an arc."""
     h, arc_h = pair_hash(a, b), pair_hash(arc_a, arc_b)
-    order = np.argsort(arc_h, kind="stable")
+    order = np.argsort(arc_h)
     arc_h, out = arc_h[order], np.full(len(a), -1, np.int64)
     at = np.searchsorted(arc_h, h)
     todo = np.arange(len(a))
@@ -151,8 +181,8 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            seen = pc.value_counts(sequence(batch.column("text"))[0])
-            yield pa.RecordBatch.from_arrays([seen.field(0), seen.field(1)], names=["word", "c"])
+            words, code, _ = sequence(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(code, minlength=len(words)))], names=["word", "c"])
 
     rows = docs.select(F.col(text).alias("text")).mapInArrow(count, "word string, c long")
     return rows.groupBy("word").agg(F.sum("c").alias("c"))
@@ -165,18 +195,19 @@ def counted_pairs(docs: DataFrame, words: list[str], salt: int, buckets: int, te
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = pa.array(pickle.loads(sent.value), pa.string())
         for batch in text_slices(batches):
-            flat, starts = sequence(batch.column("text"))
-            coded = flat.dictionary_encode()
-            code = coded.indices.to_numpy().astype(np.int64)
+            words, code, starts = sequence(batch.column("text"))
+            key, code = in_order(word_keys(words, head, salt), code)
             after = np.ones(len(code), bool)
             after[starts[:-1]] = False  # a text's first token follows nothing
             at = np.flatnonzero(after)
-            cell, n = np.unique(code[at - 1] << 32 | code[at], return_counts=True)
-            key = word_keys(coded.dictionary, head, salt)
-            lists = dealt(key[cell >> 32], key[cell & 0xFFFFFFFF], buckets, n=n.astype(np.int64))
-            yield pa.RecordBatch.from_arrays(list(lists.values()), names=list(lists))
-
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(pairs, "bucket int, a array<long>, b array<long>, n array<long>")
+            cell = np.sort(code[at - 1] << 32 | code[at])
+            first = runs(cell)
+            n = np.diff(np.append(first, len(cell)))
+            cell = cell[first]
+            blobs = dealt(key[cell >> 32], key[cell & 0xFFFFFFFF], buckets, n.astype(np.int64))
+            yield pa.RecordBatch.from_arrays(blobs, names=["bucket", "m", "data"])
+
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(pairs, "bucket int, m int, data binary")
     return rows.groupBy("bucket").applyInArrow(summed_pairs, "bucket int, a long, b long, n long")
 
 
@@ -206,9 +237,9 @@ def train(docs: DataFrame, counts: DataFrame, total: int, distinct: int, text: s
         pairs = written(counted_pairs(docs, words, salt, buckets, text), "pairs")
         states = written(pairs.groupBy("a").agg((F.sum("n") - F.lit(discount) * F.count("*")).alias("own")), "states")
         by_key = tail.select("word", "c").mapInArrow(keyed, "word string, c long, k long")
-        by_key = by_key.groupBy("k").agg(F.first("word").alias("word"), F.first("c").alias("c"), F.count("*").alias("same"))
+        by_key = by_key.groupBy("k").agg(F.first("c").alias("c"), F.count("*").alias("same"))
         fail = F.log10(F.greatest(1 - F.coalesce("own", F.lit(0.0)) / F.col("c"), F.lit(1e-12)))
-        rare = written(by_key.join(states.withColumnRenamed("a", "k"), "k", "left").select("word", "c", "k", "same", fail.alias("fail")), "rare")
+        rare = written(by_key.join(states.withColumnRenamed("a", "k"), "k", "left").select("c", "k", "same", fail.alias("fail")), "rare")
         if rare.where("same > 1").isEmpty():
             break
         discard(pairs, states, rare)  # two words with one key: other keys
@@ -273,54 +304,57 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", he
         automaton, base = pickle.loads(sent.value)
         v, values = len(automaton.words), pa.array(automaton.words, pa.string())
         for batch in text_slices(batches, "__text"):
-            flat, starts = sequence(batch.column("__text"))
-            code = pc.fill_null(pc.index_in(flat, value_set=values), v).to_numpy(zero_copy_only=False).astype(np.int64)
+            words, code, starts = sequence(batch.column("__text"))
+            number = pc.fill_null(pc.index_in(words, value_set=values), v).to_numpy(zero_copy_only=False).astype(np.int64)
+            key, code = in_order(word_keys(words, values, salt), code)
+            number = np.sort(number)  # of head words, the key; all others have larger keys
             n = len(starts) - 1
             owner = np.repeat(np.arange(n), np.diff(starts))
-            weight, cached = automaton.read(code, starts)
-            rare = np.flatnonzero(code == v)
-            coded = flat.take(pa.array(rare)).dictionary_encode()
-            cell, times = np.unique(owner[rare] << 32 | coded.indices.to_numpy().astype(np.int64), return_counts=True)
+            weight, cached = automaton.read(number[code], starts)
+            rare = number[code] == v
+            cell = np.sort(owner[rare] << 32 | code[rare])
+            first = runs(cell)
+            times = np.diff(np.append(first, len(cell)))
+            cell = cell[first]
             cut = pa.array(np.searchsorted(cell >> 32, np.arange(n + 1)).astype(np.int32))
-            names = coded.dictionary.take(pa.array(cell & 0xFFFFFFFF))
             row = batch.column("__row").to_numpy()
-            key = code.copy()
-            key[rare] = word_keys(coded.dictionary, pa.array([], pa.string()), salt)[coded.indices.to_numpy()]
             cached[starts[:-1]] = True  # a text's first token follows nothing
             open_ = np.flatnonzero(~cached)
-            at = (row[owner[open_]] - row[0]).astype(np.int32)
-            lists = dealt(key[open_ - 1], key[open_], buckets, at=at)
-            m = len(lists["bucket"])
-            pairs = {**lists, "__row": pa.array(np.full(m, row[0]))}
+            pair = code[open_ - 1] << 32 | code[open_]
+            order = np.argsort(pair)
+            pair, open_ = pair[order], open_[order]
+            blobs = dealt(key[pair >> 32], key[pair & 0xFFFFFFFF], buckets, row[owner[open_]] - row[0])
+            m = len(blobs[0])
             types = {"__key": batch.column("__key").type, "__fold": pa.bool_()} | dict.fromkeys(("n", "known"), pa.int64())
-            types |= dict.fromkeys(("base", "score"), pa.float64()) | {"rare": pa.list_(pa.string()), "times": pa.list_(pa.int64())}
+            types |= dict.fromkeys(("base", "score"), pa.float64()) | dict.fromkeys(("rare", "times"), pa.list_(pa.int64()))
+            pairs = dict(zip(("bucket", "m", "data"), blobs)) | {"__row": pa.array(np.full(m, row[0]))}
             yield pa.RecordBatch.from_arrays([pairs[c] if c in pairs else pa.nulls(m, types[c]) for c in columns], names=columns)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array((mix64(row) % np.uint64(buckets)).astype(np.int32)),
                     *[batch.column(c) for c in ("__key", "__row", "__fold")],
                     pa.array(np.diff(starts)),
-                    pa.array(np.bincount(owner, code < v, n).astype(np.int64)),
-                    pa.array(np.bincount(owner, base[code], n)),
+                    pa.array(np.bincount(owner, ~rare, n).astype(np.int64)),
+                    pa.array(np.bincount(owner, base[number[code]], n)),
                     pa.array(np.bincount(owner, weight, n)),
-                    pa.ListArray.from_arrays(cut, names),
+                    pa.ListArray.from_arrays(cut, pa.array(key[cell & 0xFFFFFFFF])),
                     pa.ListArray.from_arrays(cut, pa.array(times.astype(np.int64))),
-                    *[pa.nulls(n, pairs[c].type) for c in ("a", "b", "at")],
+                    *[pa.nulls(n, pairs[c].type) for c in ("m", "data")],
                 ],
                 names=columns,
             )
 
     def meet(part: pa.Table, arcs: pa.Table) -> pa.Table:
         """The pairs of one bucket meet its arcs: what these add, by text; rows of texts pass."""
-        text = part.filter(pc.is_null(part.column("a"))).select(columns[1:-3])
-        part = part.filter(pc.is_valid(part.column("a")))
+        text = part.filter(pc.is_null(part.column("m"))).select(columns[1:-2])
+        part = part.filter(pc.is_valid(part.column("m")))
         text = text.append_column("at", pa.nulls(len(text), pa.list_(pa.int32()))).append_column("more", pa.nulls(len(text), pa.list_(pa.float64())))
         if not len(part) or not len(arcs):
             return text
-        arc = found_pairs(*[flat_lists(part.column(c)) for c in ("a", "b")], *[arcs.column(c).to_numpy() for c in ("a", "b")])
+        (a, b, at), owner = unpacked(part, 3)
+        arc = found_pairs(a, b, *[arcs.column(c).to_numpy() for c in ("a", "b")])
         hit = np.flatnonzero(arc >= 0)
-        owner = np.repeat(np.arange(len(part)), pc.list_value_length(part.column("at")).to_numpy())
-        cell, where = np.unique(owner[hit] << 32 | flat_lists(part.column("at"))[hit], return_inverse=True)
+        cell, where = np.unique(owner[hit] << 32 | at[hit], return_inverse=True)
         more = np.bincount(where, arcs.column("more").to_numpy()[arc[hit]], len(cell))
         cut = pa.array(np.searchsorted(cell >> 32, np.arange(len(part) + 1)).astype(np.int32))
         lists = {"at": pa.array((cell & 0xFFFFFFFF).astype(np.int32)), "more": pa.array(more)}
@@ -330,22 +364,22 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", he
 
     def by_text(part: pa.Table) -> pa.Table:
         """What arcs outside the cache add to the texts of one slice."""
-        at = flat_lists(part.column("at"))
-        total, n = np.bincount(at, flat_lists(part.column("more"))), np.bincount(at)
+        at = pc.list_flatten(part.column("at")).to_numpy()
+        total, n = np.bincount(at, pc.list_flatten(part.column("more")).to_numpy()), np.bincount(at)
         return pa.table({"__row": part.column("__row")[0].as_py() + np.flatnonzero(n), "s3": total[n > 0]})
 
     rows = docs.select(F.col(key).alias("__key"), F.monotonically_increasing_id().alias("__row"), fold.alias("__fold"), F.col(text).alias("__text"))
     kind = dict(docs.dtypes)[key]
-    fields = f"__key {kind}, __row long, __fold boolean, n long, known long, base double, score double, rare array<string>, times array<long>"
-    columns = ["bucket", "__key", "__row", "__fold", "n", "known", "base", "score", "rare", "times", "a", "b", "at"]
-    noted = rows.mapInArrow(read, f"bucket int, {fields}, a array<long>, b array<long>, at array<int>")
+    fields = f"__key {kind}, __row long, __fold boolean, n long, known long, base double, score double, rare array<long>, times array<long>"
+    columns = ["bucket", "__key", "__row", "__fold", "n", "known", "base", "score", "rare", "times", "m", "data"]
+    noted = rows.mapInArrow(read, f"bucket int, {fields}, m int, data binary")
     noted = noted.groupBy("bucket").cogroup(rest["arcs"].groupBy("bucket")).applyInArrow(meet, f"{fields}, at array<int>, more array<double>")
     noted = written(noted, "passes")
     discard(rest["arcs"])
     passed = noted.where("at is null")
     arcs = noted.where("size(at) > 0").select("__row", "at", "more").groupBy("__row").applyInArrow(by_text, "__row long, s3 double")
-    taken = passed.select("__row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("__row", F.col("x.rare").alias("word"), F.col("x.times").alias("t"))
-    met = taken.join(rest["rare"], "word", "left")
+    taken = passed.select("__row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("__row", F.col("x.rare").alias("k"), F.col("x.times").alias("t"))
+    met = taken.join(rest["rare"], "k", "left")
     c = F.col("c")
     zero = F.lit(0.0)
     if total:
