@@ -69,6 +69,30 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Keys at most that meet() sends to every worker.
+HOT = 10_000
+
+
+def meet(rows: DataFrame, wanted: DataFrame, on: list[str], total: int) -> DataFrame:
+    """Rows joined with wanted, a row per key with c, how many of all `total` rows have the key; c is left out.
+
+    Keys that make up a share of 1 / HOT of all rows are HOT at most: these are sent to every worker, so the rows of
+    a very common key are met where they stand; all others are shuffled.  The plan is the same at every size.
+    """
+    hot = F.col("c") * HOT >= F.lit(total)
+    often = F.broadcast(wanted.where(hot).drop("c"))  # HOT rows at most
+    seldom = wanted.where(~hot).drop("c").hint("merge")
+    rest = rows.join(often.select(*on), on, "left_anti").join(seldom, on)
+    return rows.join(often, on).unionByName(rest)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """A name that begins no column's name."""
+    while any(c.lower().startswith(name) for c in columns):
+        name += "_"
+    return name
+
+
 def crc_mod(col: Column | str, n: int) -> Column:
     """crc32 of the decimal text of an integer key, modulo n (null key: null)."""
     c = F.col(col) if isinstance(col, str) else col

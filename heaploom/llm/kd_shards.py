@@ -1,7 +1,7 @@
 """Sharding by a k-d tree: weighted medians along the widest metadata dimension until leaves reach the target bytes.
 
-All nodes of a level are split together.  A weighted median is found without moving a row: each row's place
-along its node's dimension is a 63-bit key (coordinate, then a hash of the document key, so a source that holds a third of all
+Rows of equal texts are one point.  All nodes of a level are split together.  A weighted median is found without moving a point: its
+place along its node's dimension is a 62-bit key (coordinate, then a hash of the text, so a source that holds a third of all
 rows can be split inside), and a histogram of weights over equal key ranges is refined around the wanted weight
 until the range is one key.  A pass brings nodes x BINS sums to the driver, whatever the number of rows.
 """
@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import discard, meet, partitions, written
 
 #: Histogram bins of a node in one pass.
 BINS = 1024
@@ -139,27 +139,33 @@ def numbered(rows: DataFrame, group: str, order: list[str], name: str = "slot")
 def shard_documents(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Put every row of docs into one of `shards` leaves of a k-d tree: (key, size, text_crc32, shard, slot).
 
-    size is the text's UTF-8 bytes plus 8 (null text: 8); leaves get equal bytes up to about a document.  The
-    dimensions are source, language and size.  Rows that agree in all of (key, coordinates) stay together, so
-    repeated rows are never cut apart; null metadata lies at 0.  With fewer rows than shards some shards are
-    empty; an empty table gives an empty result.  Other columns are ignored.
+    size is the text's UTF-8 bytes plus 8 (null text: 8); leaves get equal bytes up to about a group.  A group are the rows of one
+    text (null texts are one): it is a point with the bytes of all its rows and never cut apart, so a leaf may exceed its
+    share of bytes by what the largest group in it has, at every split on its way half of that.  The dimensions are the group's
+    smallest source, its smallest language, and size; null metadata lies at 0, and the hash of the text breaks ties.  With
+    fewer groups than shards some shards are empty; an empty table gives an empty result.  Rows with null or equal keys are rows
+    like any other; other columns are ignored.
     """
     octets = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
-    coordinate = {"k_source": hashed("source"), "k_lang": hashed("lang"), "k_size": clipped(octets)}
-    missing = [c for c in ("source", "lang") if c not in docs.columns]
-    docs = docs.withColumns({c: F.lit(None).cast("string") for c in missing}) if missing else docs
-    tie = F.shiftrightunsigned(F.xxhash64(F.col(key)), 64 - TIE_BITS)
+    meta = {c: F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string") for c in ("source", "lang")}
     rows = docs.select(
-        F.col(key),
+        F.col(key).alias("__key"),
         (octets + 8).alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
-        (octets + 8).alias("weight"),
-        *[
-            F.shiftleft(F.coalesce(c, F.lit(0)).cast("long"), TIE_BITS).bitwiseOR(tie).alias(d)
-            for d, c in coordinate.items()
-        ],
+        F.xxhash64(F.col(text)).alias("t1"),
+        F.when(F.col(text).isNull(), 1).otherwise(0).alias("t2"),
+        *[c.alias(k) for k, c in meta.items()],
     )
-    rows = written(rows, "shard-points")
-    root = kd_tree(rows, list(coordinate), shards)
-    placed = rows.select(key, "size", "text_crc32", leaf_of(root).cast("int").alias("shard"))
-    return numbered(placed, "shard", [key, "size", "text_crc32"])
+    rows = written(rows, "shard-rows")
+    group = ["t1", "t2", "text_crc32", "size"]
+    points = rows.groupBy(*group).agg(F.sum("size").alias("weight"), F.count("*").alias("c"), *[F.min(c).alias(c) for c in meta])
+    coordinate = {"k_source": hashed("source"), "k_lang": hashed("lang"), "k_size": clipped(F.col("size") - 8)}
+    tie = F.shiftrightunsigned(F.col("t1"), 64 - TIE_BITS)
+    keys = [F.shiftleft(F.coalesce(c, F.lit(0)).cast("long"), TIE_BITS).bitwiseOR(tie).alias(d) for d, c in coordinate.items()]
+    points = written(points.select(*group, "weight", "c", *keys), "shard-points")
+    root = kd_tree(points, list(coordinate), shards)
+    total = points.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    placed = meet(rows.select("__key", *group), points.select(*group, "c", leaf_of(root).cast("int").alias("shard")), group, total)
+    out = numbered(placed.select(F.col("__key").alias(key), "size", "text_crc32", "shard"), "shard", [key, "size", "text_crc32"])
+    discard(rows, points)
+    return out

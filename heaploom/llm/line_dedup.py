@@ -5,9 +5,8 @@ occupied registers, never more than there are sites, so an estimate that needs `
 proof enough; lines on at least that many rows whose estimate stays below it are near the threshold and get
 an exact distinct count.  The decision is therefore exact.
 
-Lines that make up a share of 1 / HOT of all are HOT at most: these are sent to every worker, so that the copies of a very
-common line are met where they stand; the copies of all other lines are shuffled to them.  Texts are shuffled once, to the
-numbers of the lines that they lose.  The plan is the same at every size.
+The copies of a very common line are met where they stand (meet), those of all others are shuffled.  Texts are shuffled once, to
+the numbers of the lines that they lose.  The plan is the same at every size.
 """
 
 from __future__ import annotations
@@ -17,15 +16,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, free_name, meet, written
 
 #: A line on this many distinct sites or more is boilerplate.
 SITES = 5
 #: Relative error of the sketch; it gives 128 registers.
 ERROR = 0.1
 REGISTERS = 128
-#: Lines at most that are sent to every worker.
-HOT = 10_000
 
 _SPACE = " \t\x0b\x0c\r"
 
@@ -35,22 +32,6 @@ def line_key(line: Column) -> Column:
     return F.trim(line, F.lit(_SPACE))
 
 
-def _free(columns: list[str], name: str) -> str:
-    """A name that begins no column's name."""
-    while any(c.lower().startswith(name) for c in columns):
-        name += "_"
-    return name
-
-
-def _meet(lines: DataFrame, wanted: DataFrame, total: int) -> DataFrame:
-    """Rows of lines with the columns of wanted(h1, h2, c, ...), c being a line's rows of all `total`."""
-    hot = F.col("c") * HOT >= F.lit(total)
-    often = F.broadcast(wanted.where(hot).drop("c"))  # HOT rows at most
-    seldom = wanted.where(~hot).drop("c").hint("merge")
-    rest = lines.join(often.select("h1", "h2"), ["h1", "h2"], "left_anti").join(seldom, ["h1", "h2"])
-    return lines.join(often, ["h1", "h2"]).unionByName(rest)
-
-
 def spread(lines: DataFrame, sites: int = SITES) -> tuple[DataFrame, int]:
     """Boilerplate lines, (h1, h2, c, first_doc) of lines (h1, h2, site, doc) on at least `sites` sites, and the rows of all lines.
 
@@ -67,7 +48,7 @@ def spread(lines: DataFrame, sites: int = SITES) -> tuple[DataFrame, int]:
     total = lines.count()
     is_sure = F.col("about") >= certain if certain is not None else F.lit(False)
     near = seen.where(~is_sure).select("h1", "h2", "c", "first_doc")
-    exact = _meet(lines.select("h1", "h2", "site"), near.select("h1", "h2", "c"), total).select("h1", "h2", "site").distinct()
+    exact = meet(lines.select("h1", "h2", "site"), near.select("h1", "h2", "c"), ["h1", "h2"], total).select("h1", "h2", "site").distinct()
     exact = exact.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= sites).select("h1", "h2")
     found = seen.where(is_sure).select(near.columns).unionByName(near.join(exact, ["h1", "h2"], "left_semi"))
     out = written(found, "boilerplate")
@@ -87,7 +68,7 @@ def remove_boilerplate(
     but for such that are called n_lines or n_removed, which are replaced.
     """
     own = docs.columns
-    mine = _free(own, "__gone")
+    mine = free_name(own, "__gone")
     # rows are told apart by what decides their result, so equal rows may share a number
     marks = {f"{mine}1": F.xxhash64(key, text), f"{mine}2": F.hash(text, key)}
     rows = docs.select(F.col(key).alias("doc"), F.col(site).cast("string").alias("site"), *[c.alias(k) for k, c in zip(("r1", "r2"), marks.values())], F.split(F.col(text), "\n", -1).alias("__l"))
@@ -105,7 +86,7 @@ def remove_boilerplate(
     )
     lines = written(lines, "lines")
     bad, total = spread(lines, sites)
-    hit = _meet(lines.drop("site"), bad, total)
+    hit = meet(lines.drop("site"), bad, ["h1", "h2"], total)
     if keep_first:
         hit = hit.where("doc is null or first_doc is null or doc != first_doc")
     # what each row loses: bounded by its own lines
