@@ -5,9 +5,10 @@ group counts make the document a point; the overlap of two sets is at most the s
 a set and all sets below a node of an R-tree at most the sum of the minima of its counts and the node's upper
 corner.  What survives the bound is verified on the sets.
 
-The trees are distributed by tiles.  Two sets of the wanted similarity share a shingle among the smallest
-n - ceil(t n) + 1 hashes of either, so each document stands in the tile of each of these, and tiles of one document
-vanish.  Documents with equal sets are one from the start.  So that a group of thousands of near copies does not
+The trees are distributed by tiles.  Two sets of the wanted similarity share a shingle among the first
+n - ceil(t n) + 1 of either in any one order, so each document stands in the tile of each of these, and tiles of one document
+vanish.  The order is that of the hashes, but shingles that are common in a sample of documents come last: a passage of many
+documents makes tiles only where a set has little else.  Documents with equal sets are one from the start.  So that a group of thousands of near copies does not
 become all its pairs, each document is first compared with the best of its tiles' smallest documents, then with the
 best of its neighbours in large tiles, and the components of these links are found; trees then search only tiles
 with more than one component, and pairs between components.  Tiles of more than TILE documents are cut into chunks by size, searched chunk by chunk.
@@ -30,6 +31,10 @@ from .common import components, discard, flat_words, hashed_words, mix64, partit
 WORDS = 5
 #: Similarity as a percentage, so that the test is one of whole numbers.
 PERCENT = 75
+#: Documents, about, whose shingles say which ones are common, and how many of these a common one is in.  Only the order of
+#: shingles depends on it; at most SAMPLE / COMMON times a document's shingles are common.
+SAMPLE = 20_000
+COMMON = 40
 #: Documents of a tile that one search holds at most.
 TILE = 4096
 LEAF = 16
@@ -174,16 +179,44 @@ def tile_pairs(sizes: np.ndarray, comps: np.ndarray, vectors: list[np.ndarray],
     return np.concatenate(out, axis=1)
 
 
+def common_shingles(docs: DataFrame, key: str, text: str, words: int) -> np.ndarray:
+    """Shingles in COMMON or more of about SAMPLE documents that a hash picks, sorted."""
+    n = docs.count()
+    share = int(min(1.0, SAMPLE / max(1, n)) * (1 << 40))
+    chosen = docs.where(F.pmod(F.xxhash64(key, text), F.lit(1 << 40)) < share).select(F.col(text).alias("__text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "__text"):
+            s = np.sort(np.concatenate(shingle_sets(batch.column("__text"), words)))
+            first = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
+            c = np.diff(np.append(first, len(s)))
+            yield pa.RecordBatch.from_arrays([pa.array(s[first].view(np.int64)), pa.array(c)], names=["s", "c"])
+
+    seen = chosen.mapInArrow(count, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON)
+    return np.sort(np.array([r["s"] for r in seen.select("s").collect()], np.int64).view(np.uint64))
+
+
+def prefix(s: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a sorted set, as signed numbers that rise in their order: common ones come last."""
+    at = np.minimum(np.searchsorted(often, s), max(0, len(often) - 1))
+    late = often[at] == s if len(often) else np.zeros(len(s), bool)
+    first = np.concatenate([s[~late], s[late]])[: prefix_length(len(s), percent)]
+    rare = min(len(s) - int(late.sum()), len(first))
+    keys = first >> np.uint64(1)
+    keys[rare:] |= np.uint64(1 << 63)
+    return (keys ^ np.uint64(1 << 63)).view(np.int64)  # with the highest bit turned, signed order is that of unsigned numbers
+
+
 def shingled(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
     """(doc, n, fp, vec, keys) of every row: set size, hash of the set, count vector, prefix."""
+    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, key, text, words))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in text_slices(batches, "__text"):
             sets = shingle_sets(batch.column("__text"), words)
-            # with the highest bit turned, signed order is the order of the hashes
-            keys = [(s[: prefix_length(len(s), percent)] ^ np.uint64(1 << 63)).view(np.int64) for s in sets]
+            keys = [prefix(s, sent.value, percent) for s in sets]
             cut = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -260,7 +293,7 @@ def _not_subsumed(rows: DataFrame) -> DataFrame:
     """Rows of tiles whose documents do not all stand together in one earlier tile as well.
 
     The shingles of a passage that many documents share make many tiles of the same documents; prefixes are closed downwards, so
-    all stand in the tile of its smallest hash.  Each document's last BEHIND tiles are compared.
+    all stand in the tile of the first of them.  Each document's last BEHIND tiles are compared.
     """
     w = Window.partitionBy("doc").orderBy("key").rowsBetween(-BEHIND, -1)
     before = rows.select("key", F.collect_list("key").over(w).alias("all")).select("key", F.explode("all").alias("earlier"))
@@ -312,9 +345,13 @@ def _searched(tiles: DataFrame, vecs: DataFrame, percent: int, kind: str, near:
     cut = rows.join(large, "key", "left_semi")
     probes = cut.join(plan, "key").where("chunk = ci or chunk = cj").withColumn("probe", F.col("chunk") == F.col("ci")).withColumn("point", F.col("chunk") == F.col("cj"))
     both = single.unionByName(probes.select(single.columns))
-    # tiles with the same smallest document hold much the same documents: together they need each vector once
+    # tiles with the same smallest document hold much the same documents: together they need each vector once.  Tiles of
+    # one such document that have more than ROWS rows together are dealt out again by their keys
     groups = max(partitions(spark), -(-rows.count() // ROWS))
-    both = both.withColumn("__bin", F.pmod(F.xxhash64("lead", "ci", "cj"), F.lit(groups))).drop("lead", "chunk")
+    one = ["lead", "ci", "cj"]
+    many = both.groupBy(*one).agg(F.ceil(F.count("*") / ROWS).alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1)))
+    both = both.join(many, one, "left").withColumn("__bin", F.pmod(F.xxhash64(*one, part), F.lit(groups))).drop("lead", "chunk", "parts")
     both = written(both, "searches")
     each = both.select((F.col("__bin") + 0).alias("bin"), F.col("doc").alias("d")).distinct()
     own = each.join(vecs.select(F.col("doc").alias("d"), "vec"), "d")
