@@ -5,7 +5,9 @@ stands on to the output at every step, stepping on by a random bit of (step, wor
 few edits fall into step again, so their outputs differ in few places: edit distance becomes Hamming distance.  An LSH
 key samples SAMPLED places of the output.  Items are grouped by length; the windows of a group have its items' size and
 start at every word of every text.  Keys are repeated, over several walks, until altered copies of the
-items, with as many edits as count as a leak, are found at the target recall.  A found pair is verified by the exact edit distance
+items, with as many edits as count as a leak, are found at the target recall.  The walks of long items lose each other too often for
+that; a group that misses the target with MAX_KEYS keys is found by pieces as well: of an item cut into one piece more
+than edits are allowed, one piece at least is unaltered, so every leak holds one whole, and nothing is lost.  A found pair is verified by the exact edit distance
 of the item to the best stretch of words around the window.
 
 A window with more words that no item of the group holds than edits are allowed is no candidate (a bound; it loses
@@ -23,17 +25,21 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import ASCII_WORDS, flat_words, text_slices
+from .common import ASCII_WORDS, flat_words, mix64, text_slices
 
 #: Edits allowed, as a percentage of an item's words (15 words: 2, 40 words: 6).
 EDIT_PERCENT = 15
 TARGET_RECALL = 0.99
+#: Altered copies of a group's items, at least, that its keys have to find.
+TRIALS = 1_000
 SAMPLED = 3
 WALKS = 8
+#: Keys of a group at most; a group that they don't find at the target recall is looked for by pieces, which lose nothing.
 MAX_KEYS = 64
 #: Items that one pass over the documents looks for; more are searched for in blocks.
-BLOCK_ITEMS = 5_000
+BLOCK_ITEMS = 20_000
 #: Longest item of a group over its shortest.
 SPAN = 1.25
 
@@ -83,17 +89,32 @@ class Group:
     keys: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
     recall: float = 0.0
     holds: np.ndarray | None = None  # which words its items hold
+    pieces: tuple[int, np.ndarray, np.ndarray, np.ndarray] | None = None  # words of a piece, sorted keys, items, places in them
 
 
-def walk(words: np.ndarray, starts: np.ndarray, bits: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """The CGK outputs at the sorted places, of walks from each start: (starts, places)."""
+def walk(words: np.ndarray, starts: np.ndarray, number: int, places: np.ndarray) -> np.ndarray:
+    """The CGK outputs at the sorted places, of the walk of this number from each start: (starts, places).
+
+    The random bit of a step and a word is a bit of a hash of walk, step // 64 and word.
+    """
     at, out, wanted = starts.copy(), np.empty((len(starts), len(places)), np.int64), 0
+    own = np.arange(int(words.max(initial=0)) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for j in range(int(places[-1]) + 1):
+        if j % 64 == 0:
+            bits = mix64(own + np.uint64(number << 32 | j // 64))
         w = words[at]
         while wanted < len(places) and places[wanted] == j:
             out[:, wanted] = w
             wanted += 1
-        at += bits[j, w]
+        at += (bits[w] >> np.uint64(j % 64) & np.uint64(1)).astype(np.int64)
+    return out
+
+
+def piece_keys(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the `size` words from each word on, as far as there are so many."""
+    out = np.zeros(max(0, len(words) - size + 1), np.uint64)
+    for j in range(size):
+        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + words[j : j + len(out)].astype(np.uint64))
     return out
 
 
@@ -120,6 +141,14 @@ def altered(item: np.ndarray, rng: np.random.Generator, v: int) -> np.ndarray:
     return np.array(x, np.int64)
 
 
+def equal_keys(asked: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in asked and in the sorted keys of all equal pairs."""
+    lo, hi = np.searchsorted(keys, asked, "left"), np.searchsorted(keys, asked, "right")
+    hit = np.flatnonzero(hi > lo)
+    times = (hi - lo)[hit]
+    return np.repeat(hit, times), np.repeat(lo[hit] - np.cumsum(times) + times, times) + np.arange(times.sum())
+
+
 class BenchmarkIndex:
     """The LSH tables of a block of items.  Word 0 is the foreign word."""
 
@@ -133,8 +162,7 @@ class BenchmarkIndex:
         rng = np.random.default_rng(20240)
         v = len(self.vocabulary) + 1
         sizes = np.array([len(w) for w in self.words])
-        top = int(2 * sizes.max(initial=1)) + 1
-        self.bits = rng.integers(0, 2, (WALKS, top, v), np.int8)
+        self.top = int(2 * sizes.max(initial=1)) + 1
         self.groups: list[Group] = []
         left = np.argsort(sizes, kind="stable")
         left = left[sizes[left] > 0]
@@ -155,29 +183,50 @@ class BenchmarkIndex:
         picked = rng2.choice(mine, min(len(mine), 200), replace=False)
         trial, origin = [], []
         for i in picked:
-            for _ in range(10):
+            for _ in range(-(-TRIALS // len(picked))):
                 trial.append(altered(self.words[i], rng2, v))
                 origin.append(int(np.flatnonzero(mine == i)[0]))
-        t_text = np.concatenate([x for t in trial for x in (t, *pad)])
+        # a copy in a text is followed by other words, which the walks must not have reached
+        t_text = np.concatenate([x for t in trial for x in (t, rng2.integers(0, v, len(pad[0])))])
         t_starts = np.cumsum([0] + [len(t) + len(pad[0]) for t in trial[:-1]])
         found = np.zeros(len(trial), bool)
         while len(g.keys) < MAX_KEYS and (not g.keys or found.mean() < target):
             w = len(g.keys) % WALKS
             places = np.sort(rng.integers(0, g.steps, SAMPLED))
-            key = key_of(walk(text, starts, self.bits[w], places))
-            tried = key_of(walk(t_text, t_starts, self.bits[w], places))
+            key = key_of(walk(text, starts, w, places))
+            tried = key_of(walk(t_text, t_starts, w, places))
             found |= tried == key[np.array(origin)]
             order = np.argsort(key, kind="stable")
             g.keys.append((w, places, key[order], mine[order]))
+            if len(g.keys) >= WALKS and 1 - (1 - found.mean()) ** (MAX_KEYS / len(g.keys)) < target:
+                break  # more keys, found as often as these, would not do
         g.recall = float(found.mean())
+        if g.recall < target:
+            g.keys = []
+            size = min(len(self.words[i]) // (edits(len(self.words[i])) + 1) for i in mine)
+            keys, items, offsets = [], [], []
+            for i in mine:
+                own = piece_keys(self.words[i], size)[: size * (edits(len(self.words[i])) + 1) : size]
+                keys.append(own)
+                items.append(np.full(len(own), i))
+                offsets.append(size * np.arange(len(own)))
+            keys, items, offsets = map(np.concatenate, (keys, items, offsets))
+            order = np.argsort(keys, kind="stable")
+            g.pieces = size, keys[order], items[order], offsets[order]
         return g
 
-    def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, item) of windows whose key is an item's, over a row of texts in this index's numbers."""
+    def candidates(self, words: np.ndarray) -> np.ndarray:
+        """(start, item, place of a match) of windows with a key or a piece of an item, in order, over a row of texts in this
+        index's numbers."""
         n = len(words)
-        padded = np.concatenate([words, np.zeros(self.bits.shape[1] + 1, np.int64)])
-        all_starts, all_items = [], []
+        padded = np.concatenate([words, np.zeros(self.top + 1, np.int64)])
+        found = [np.zeros((3, 0), np.int64)]
         for g in self.groups:
+            if g.pieces is not None:
+                size, keys, items, offsets = g.pieces
+                where, first = equal_keys(piece_keys(words, size), keys)
+                found.append(np.stack([where - offsets[first], items[first], where]))  # may begin before the text
+                continue
             k = edits(g.most)
             foreign = np.concatenate([[0], np.cumsum(~g.holds[words], dtype=np.int32)])
             # an altered copy is at least this long, and each of its edits brings one foreign word at most
@@ -191,26 +240,22 @@ class BenchmarkIndex:
                     if not own:
                         continue
                     places = np.unique(np.concatenate([x[1] for x in own]))
-                    out = walk(padded, part, self.bits[w], places)
+                    out = walk(padded, part, w, places)
                     for _, at, keys, items in own:
-                        key = key_of(out[:, np.searchsorted(places, at)])
-                        lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-                        hit = np.flatnonzero(hi > lo)
-                        times = (hi - lo)[hit]
-                        first = np.repeat(lo[hit] - np.cumsum(times) + times, times) + np.arange(times.sum())
-                        all_starts.append(np.repeat(part[hit], times))
-                        all_items.append(items[first])
-        if not all_starts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        both = np.unique(np.stack([np.concatenate(all_starts), np.concatenate(all_items)]), axis=1)
-        return both[0], both[1]
+                        where, first = equal_keys(key_of(out[:, np.searchsorted(places, at)]), keys)
+                        found.append(np.stack([part[where], items[first], part[where]]))
+        every = np.concatenate(found, axis=1)
+        every = every[:, np.lexsort(every[::-1])]
+        new = np.ones(every.shape[1], bool)
+        new[1:] = (every[:, 1:] != every[:, :-1]).any(0)
+        return every[:, new]
 
     def leaks(self, texts: pa.Array, values: pa.Array) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, distance, end) of verified leaks: the least distance of each pair, end as a word of the text."""
         flat, starts = words_of(texts)
         words = pc.fill_null(pc.index_in(flat, value_set=values), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-        at, items = self.candidates(words)
-        owner = np.searchsorted(starts, at, "right") - 1
+        at, items, match = self.candidates(words)
+        owner = np.searchsorted(starts, match, "right") - 1
         best: dict[tuple[int, int], tuple[int, int]] = {}
         seen: dict[tuple[int, int], int] = {}
         for s, i, d in zip(at.tolist(), items.tolist(), owner.tolist()):
@@ -232,13 +277,14 @@ class BenchmarkIndex:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """Leaks of benchmark items in docs: (key, item, distance, end_word), a row per row of docs and item.
 
-    A leak is a stretch of words within edits(m) word edits of the item's m words.  Null and empty texts, and items without words,
+    A leak is a stretch of words within edits(m) word edits of the item's m words; items may be of any length, their ids of any type.  Null and empty texts, and items without words,
     have none; equal items each leak; repeated rows and rows with a null key are searched one by one.  An item
     repeated with the same id gives a row per copy's text that leaks.  Other columns are ignored; empty tables give an empty result.
     """
     spark = docs.sparkSession
     kinds = dict(docs.dtypes)[key], dict(benchmark.dtypes)[item]
     fields = f"{key} {kinds[0]}, {item} {kinds[1]}, distance long, end_word long"
+    id_type = to_arrow_type(benchmark.schema[item].dataType)
     known = benchmark.select(F.col(item).alias("i"), F.col(item_text).alias("t")).where("t is not null")
     blocks = max(1, -(-known.count() // BLOCK_ITEMS))
     out = None
@@ -250,15 +296,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = pickle.loads(sent.value)
             values = pa.array(own.vocabulary, pa.string())
-            kind = None
             for batch in text_slices(batches, "__text"):
                 got = list(own.leaks(batch.column("__text"), values))
-                kind = batch.column("__key").type
                 d = pa.array([x[0] for x in got], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("__key").take(d), pa.array([own.ids[x[1]] for x in got]), *[pa.array([x[j] for x in got], pa.int64()) for j in (2, 3)]]
-                    if got
-                    else [pa.array([], kind), pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.int64())],
+                    [batch.column("__key").take(d), pa.array([own.ids[x[1]] for x in got], id_type), *[pa.array([x[j] for x in got], pa.int64()) for j in (2, 3)]],
                     names=[key, item, "distance", "end_word"],
                 )
 
