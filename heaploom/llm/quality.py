@@ -1,7 +1,7 @@
 """Quality classifier from weak labels.
 
 Heuristic labellers vote good (1), bad (0) or abstain (-1) on each document.  Expectation-maximisation over the counts of vote patterns
-estimates how often each labeller is right; the counts cover all documents
+estimates how often each labeller is right and how much text is good; the counts cover all documents
 and are bounded by the number of patterns.  The posterior labels of a bounded sample train a linear scorer over hashed
 words and text statistics, which then scores every document in one pass.  No human label is read.
 """
@@ -24,20 +24,29 @@ from .common import flat_words, text_slices
 #: Documents that the linear scorer is fitted on: a share of all, picked by hash, that makes about so many.
 SAMPLE = 6_000
 BUCKETS = 1 << 14
-#: Where EM starts: the share of good text; P(abstain, bad, good) in bad and in good text.
+#: Where EM starts, and what it takes for having seen on as many documents as make up BELIEF of all, at least one: the share of good text,
+#: and P(abstain, bad, good) in bad and in good text, of labellers that vote for both and of those that only vote for bad.  It
+#: says which class is the good one, and decides where votes say nothing.
 PRIOR = 0.85
-#: A vote for bad is at least so likely in bad text, and at most in good text.
-LEAST, MOST = 0.1, 0.02
-START = ((0.35, 0.25, 0.40), (0.38, 0.02, 0.60))
+BOTH = ((0.35, 0.25, 0.40), (0.38, 0.02, 0.60))
+ONLY_BAD = ((0.75, 0.25, 0.0), (0.98, 0.02, 0.0))
+BELIEF = 0.01
+#: What labellers are taken to be: in good text a vote for bad is no likelier than this.  Without it, text that only one of
+#: them knows for bad is taken for its mistakes.
+MOST = 0.005
 
 
-LABELLERS = ["length", "sentences", "case", "lower", "marks", "symbols", "letters", "repeats", "variety"]
+#: Each with where EM starts.
+LABELLERS = {
+    "length": BOTH, "sentences": BOTH, "case": ONLY_BAD, "lower": ONLY_BAD, "symbols": ONLY_BAD, "letters": ONLY_BAD, "repeats": ONLY_BAD, "variety": ONLY_BAD,
+}
 
 _BYTES = np.arange(256)
 _UPPER = (_BYTES >= 65) & (_BYTES <= 90)
 _LOWER = (_BYTES >= 97) & (_BYTES <= 122)
 _LETTER = _UPPER | ((_BYTES >= 97) & (_BYTES <= 122)) | (_BYTES >= 0xC3)  # a lead byte of two or more stands for a letter
 _MARK = np.isin(_BYTES, list(b"!%&*$#@|<>{}~^=_"))
+_FOREIGN = _BYTES >= 0xCE  # lead bytes beyond the Latin blocks
 _STOP = _BYTES == ord(".")
 _CHAR = (_BYTES < 0x80) | (_BYTES >= 0xC0)
 
@@ -69,18 +78,19 @@ def votes(texts: pa.Array, words_of: tuple | None = None) -> np.ndarray:
         return np.where(ends[1:] > ends[:-1], c, 0)  # of an empty text it gives the next byte
 
     chars, letters = np.maximum(count(_CHAR), 1), count(_LETTER)
-    upper, marks, stops = count(_UPPER) / np.maximum(letters, 1), count(_MARK) / some, count(_STOP) / some
+    upper, stops = count(_UPPER) / np.maximum(letters, 1), count(_STOP) / some
 
     def vote(bad: np.ndarray, good: np.ndarray | bool = False) -> np.ndarray:
         return np.where(bad, 0, np.where(good, 1, -1))
 
+    latin = 2 * count(_FOREIGN) <= letters  # other scripts have other stops, and no lower case that bytes tell
+
     return np.stack(
         [
             vote(words < 8, words >= 60),
-            vote(stops < 0.005, (stops >= 0.03) & (stops <= 0.4)),
+            vote(latin & (stops < 0.005), (stops >= 0.03) & (stops <= 0.4)),
             vote(upper > 0.3),
-            vote(count(_LOWER) / chars < 0.4),
-            vote(marks > 0.1),
+            vote(latin & (count(_LOWER) / chars < 0.4)),
             vote(count(_MARK) / chars > 0.02),
             vote(letters / chars < 0.65),
             vote(repeats > 0.05),
@@ -94,29 +104,28 @@ def pattern_number(v: np.ndarray) -> np.ndarray:
     return ((v + 1) * 3 ** np.arange(v.shape[1])).sum(1)
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300) -> tuple[float, np.ndarray]:
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300, start: np.ndarray | None = None) -> tuple[float, np.ndarray]:
     """EM over vote patterns: the share of good documents, and P(vote | class) as (labeller, class, vote + 1).
 
-    The share stays at PRIOR: votes for good that nearly all documents get cannot tell it.
-
-    Votes are independent given the class.  The start says what a vote is worth before any data: a vote for bad is rare
-    in good text (START), a vote for good common in both.
+    Votes, abstentions included, are independent given the class.  Share and probabilities are estimated from all documents and, with the
+    weight of BELIEF, from where EM starts; only P(bad | good text) is held at MOST.
     """
-    k = patterns.shape[1]
-    p = np.tile(np.array(START), (k, 1, 1))
-    good, last = PRIOR, None
+    start = np.array(list(LABELLERS.values())) if start is None else start
+    weight = max(1.0, BELIEF * counts.sum())
+    share = np.array([1 - PRIOR, PRIOR])
+    good, p, last = PRIOR, np.maximum(start, 1e-9), None
+    is_vote = np.stack([patterns == v - 1 for v in range(3)], 2).astype(float)  # (patterns, labellers, votes)
     for _ in range(rounds):
         post = posterior(patterns, good, p)
         w = np.stack([(1 - post) * counts, post * counts])
-        total = w.sum(1)
-        for j in range(k):
-            for v in range(3):
-                p[j, :, v] = (w[:, patterns[:, j] == v - 1].sum(1) + 1) / (total + 3)
-        # labellers that always vote together must not make the others' votes for bad worthless
-        p[:, 0, 1], p[:, 1, 1] = np.maximum(p[:, 0, 1], LEAST), np.minimum(p[:, 1, 1], MOST)
+        total = w.sum(1) + weight * share
+        good = float(total[1] / total.sum())
+        seen = np.einsum("cp,pjv->jcv", w, is_vote)
+        p = np.maximum((seen + weight * share[:, None] * start) / total[:, None], 1e-9)
+        p[:, 1, 1] = np.minimum(p[:, 1, 1], MOST)
         if last is not None and np.abs(p - last).max() < 1e-9:
             break
-        last = p.copy()
+        last = p
     return good, p
 
 
@@ -124,9 +133,7 @@ def posterior(patterns: np.ndarray, good: float, p: np.ndarray) -> np.ndarray:
     """P(good | votes) of each pattern."""
     d = np.full(len(patterns), np.log(good / (1 - good)))
     for j in range(patterns.shape[1]):
-        ratio = np.log(p[j, 1] / p[j, 0])
-        ratio[0] = 0.0  # an abstention says nothing
-        d += ratio[patterns[:, j] + 1]
+        d += np.log(p[j, 1] / p[j, 0])[patterns[:, j] + 1]
     return 1 / (1 + np.exp(-np.clip(d, -60, 60)))
 
 
@@ -175,7 +182,7 @@ def weak_labels(docs: DataFrame, text: str = "text") -> tuple[float, np.ndarray]
     counted = docs.select(F.col(text).alias("__text")).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
     seen = counted.orderBy("k").collect()  # 3 ** labellers rows at most
     if not seen:
-        return PRIOR, np.tile(np.array(START), (len(LABELLERS), 1, 1))
+        return PRIOR, np.maximum(np.array(list(LABELLERS.values())), 1e-9)
     every = np.array(list(product((-1, 0, 1), repeat=len(LABELLERS))))
     place = dict(zip(pattern_number(every).tolist(), every))
     return estimate(np.array([place[r["k"]] for r in seen]), np.array([r["n"] for r in seen], float))
