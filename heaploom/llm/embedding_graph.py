@@ -4,8 +4,10 @@ Equal vectors are one point.  Points are dealt to overlapping cells (the nearest
 bounded sample); in each cell every point keeps a robust-pruned list of neighbours, and a point's lists of all
 its cells are united.  Then each point is searched for in its nearest cell, on the united graph: a greedy
 beam search from the cell's medoid, and from what it finds in range an expansion along the graph as long as points lie in
-range.  Cosines of found pairs are computed in double precision and compared with the limit.  The recall is
-audited against all points for a sample of queries; if it is too low, everything is done again with more overlap.
+range.  Cosines of found pairs are computed in double precision and compared with the limit.  Links between points of one home cell
+leave their task as counts and as components, so a group of near copies makes no rows but its own; links
+between cells leave it as pairs.  The recall is audited against all points for a sample of queries; if it is too low, everything is done
+again with more overlap, and if that does not help either, every two chunks of points are compared.
 
 Cells that exceed MOST points are split again by centroids of their own, to any depth, so no cell grows with the input.
 """
@@ -33,9 +35,13 @@ DEGREE = 24
 CANDIDATES = 64
 ALPHA = 1.2
 BEAM = 24
+DENSE = 0.5
 #: How far below the limit a point may lie and still be expanded.
 SLACK = 0.03
+#: Points that an audit asks first, and true links that it wants to see; it asks twice as many until then, MOST_ASKED at most.
 AUDIT = 64
+AUDIT_LINKS = 200
+MOST_ASKED = 4_096
 RECALL = 0.98
 
 
@@ -147,8 +153,7 @@ def points_of(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     not finite."""
     x = F.col(vector).cast("array<double>")
     good = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    norm = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
-    return vectors.select(F.col(key).alias("id"), x.alias("x")).where(F.col("id").isNotNull()).where(good).where(norm > 0)
+    return vectors.select(F.col(key).alias("id"), x.alias("x")).where(F.col("id").isNotNull()).where(good).where(F.exists("x", lambda v: v != 0))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -157,25 +162,22 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def cells_of(points: DataFrame, overlap: int) -> DataFrame:
-    """(cell, id, x, home): each point in the cells of its nearest centroids; home marks the nearest one.
+def cells_of(points: DataFrame, overlap: int, limit: float = LIMIT) -> DataFrame:
+    """(cell, id, x, copies, home, side): each point in the cells of its nearest centroids; home marks the nearest one.
 
     Cells above MOST points are dealt again, within themselves, by centroids fitted on a sample of their points.
-    Points that centroids do not part (all in one direction) are cut into chunks, and every two chunks make a cell.
+    Cells that centroids do not part, or in whose sample DENSE of all pairs are links, are cut into chunks, and every two chunks make a
+    cell, in which only points of different sides (or of the one chunk) are to be linked.
     """
     kind = dict(points.dtypes)["id"]
-    placed = points.select(F.lit("r").alias("cell"), "id", "x", F.lit(True).alias("home"))
+    placed = points.select(F.lit("r").alias("cell"), "id", "x", "copies", F.lit(True).alias("home"))
     done: list[DataFrame] = []
     before: dict[str, int] = {}
     while True:
         placed = written(placed, "cells")
-        sizes = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-        large = {c: n for c, n in sizes.items() if n > MOST}
-        dense = [c for c, n in large.items() if n > 0.8 * before.get(c.rpartition(".")[0], 2 * n)]
-        done.append(placed.where(~F.col("cell").isin(list(large)) if large else F.lit(True)))
-        for c in dense:
-            done.append(_pairs_of_chunks(placed.where(F.col("cell") == c), -(-2 * large.pop(c) // MOST)))
-        before = sizes
+        sizes = placed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > MOST)
+        large = {r["cell"]: r["n"] for r in sizes.collect()}  # at most a MOST-th of the rows
+        done.append(placed.where(~F.col("cell").isin(list(large)) if large else F.lit(True)).withColumn("side", F.lit(0)))
         if not large:
             out = done[0]
             for d in done[1:]:
@@ -190,7 +192,12 @@ def cells_of(points: DataFrame, overlap: int) -> DataFrame:
         centres = {}
         for c, n in large.items():
             x = _unit(np.array([r["x"] for r in sample if r["cell"] == c]))
-            centres[c] = kmeans(x, min(CENTROIDS, max(2 * overlap, n // CELL)))
+            near = x[:CELL] @ x[:CELL].T >= limit
+            if n > 0.8 * before.get(c.rpartition(".")[0], 2 * n) or near.mean() > DENSE:
+                done.append(_pairs_of_chunks(placed.where(F.col("cell") == c), -(-2 * n // MOST)))
+            else:
+                centres[c] = kmeans(x, min(CENTROIDS, max(2 * overlap, n // CELL)))
+        before = large
         sent = points.sparkSession.sparkContext.broadcast(pickle.dumps(centres))
 
         def deal(parts: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
@@ -206,87 +213,139 @@ def cells_of(points: DataFrame, overlap: int) -> DataFrame:
                                 "cell": [f"{c}.{t}" for t in near[:, j]],
                                 "id": rows["id"].to_numpy(),
                                 "x": rows["x"].to_numpy(),
+                                "copies": rows["copies"].to_numpy(),
                                 "home": rows["home"].to_numpy() & (j == 0),
                             }
                         )
 
-        rest = placed.where(F.col("cell").isin(list(large)))
-        placed = rest.mapInPandas(deal, f"cell string, id {kind}, x array<double>, home boolean")
+        rest = placed.where(F.col("cell").isin(list(centres)))
+        placed = rest.mapInPandas(deal, f"cell string, id {kind}, x array<double>, copies long, home boolean")
 
 
 def _pairs_of_chunks(cell: DataFrame, chunks: int) -> DataFrame:
     mine = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(chunks))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))
-    rows = cell.select("cell", "id", "x", mine.alias("i")).select("*", other.alias("j"))
+    rows = cell.select("*", mine.alias("i")).select("*", other.alias("j"))
     name = F.concat_ws("-", F.concat("cell", F.lit(".b")), F.least("i", "j"), F.greatest("i", "j"))
-    return rows.select(name.alias("cell"), "id", "x", F.lit(True).alias("home"))
+    return rows.select(name.alias("cell"), "id", "x", "copies", "home", F.col("i").cast("int").alias("side"))
 
 
-def find_links(points: DataFrame, limit: float, overlap: int) -> DataFrame:
-    """Links (a, b), a < b, of points (id, x)."""
+def find_links(points: DataFrame, limit: float, overlap: int, exact: bool = False) -> DataFrame:
+    """Links of points (id, x, copies), as rows (a, b, n): with n, a has links that make n other vectors (and a null b), or a and b
+    are in one component (n = 0); without n, a and b, a < b, are linked, and neither count says so.
+
+    exact: every two chunks of points are compared, without a graph.
+    """
     kind = dict(points.dtypes)["id"]
-    cells = written(cells_of(points, overlap), "placed")
+    if exact:
+        whole = points.select(F.lit("all").alias("cell"), "id", "x", "copies", F.lit(True).alias("home"))
+        cells = _pairs_of_chunks(whole, -(-2 * points.count() // MOST))
+    else:
+        cells = cells_of(points, overlap, limit)
+    cells = written(cells, "placed")
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         ids = rows["id"].to_numpy()
         lists = build_graph(_unit(np.stack(rows["x"].to_numpy())))
         return pd.DataFrame({"id": ids, "near": [ids[o].tolist() for o in lists]})
 
-    graph = cells.groupBy("cell").applyInPandas(build, f"id {kind}, near array<{kind}>")
-    united = graph.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    united = written(united, "graph")
-
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable").reset_index(drop=True)
-        ids = rows["id"].to_numpy()
+        ids, side, home = (rows[c].to_numpy() for c in ("id", "side", "home"))
         raw = np.stack(rows["x"].to_numpy())
         x = _unit(raw)
-        place = {v: i for i, v in enumerate(ids.tolist())}
-        local = [np.array([place[v] for v in near if v in place], np.int64) for near in rows["near"]]
-        back: list[list[int]] = [[] for _ in local]
-        for i, o in enumerate(local):
-            for j in o.tolist():
-                back[j].append(i)
-        local = [np.unique(np.concatenate([o, np.array(b, np.int64)])) for o, b in zip(local, back)]
-        start, norm = medoid(x), np.sqrt((raw * raw).sum(1))
-        a, b = [], []
-        for i in np.flatnonzero(rows["home"].to_numpy()).tolist():
-            hit = range_search(x[i], x, local, start, limit)
-            hit = hit[hit != i]
-            ok = (x[hit] @ x[i]) >= limit - 1e-9
-            for j in hit[ok].tolist():
-                if cosine(raw[i], raw[j]) >= limit:
-                    a.append(min(ids[i], ids[j]))
-                    b.append(max(ids[i], ids[j]))
-        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
-
-    found = cells.join(united, "id").groupBy("cell").applyInPandas(search, f"a {kind}, b {kind}")
-    return written(found.distinct(), "links")
+        linked = np.zeros((len(x), len(x)), bool)
+        if exact:
+            graph = None
+        else:
+            place = {v: i for i, v in enumerate(ids.tolist())}
+            local = [np.array([place[v] for v in near if v in place], np.int64) for near in rows["near"]]
+            back: list[list[int]] = [[] for _ in local]
+            for i, o in enumerate(local):
+                for j in o.tolist():
+                    back[j].append(i)
+            graph = [np.unique(np.concatenate([o, np.array(b, np.int64)])) for o, b in zip(local, back)]
+            start = medoid(x)
+        for i in np.flatnonzero(home).tolist():
+            hit = np.arange(len(x)) if exact else range_search(x[i], x, graph, start, limit)
+            sim = x[hit] @ x[i]
+            for j in np.flatnonzero(np.abs(sim - limit) < 1e-9).tolist():  # rounding may decide: by the formula
+                sim[j] = 2 if cosine(raw[i], raw[hit[j]]) >= limit else -2
+            linked[i, hit[sim >= limit]] = True
+        if (side != side[0]).any():
+            linked &= side[:, None] != side[None, :]
+        np.fill_diagonal(linked, False)
+        own = linked & home[:, None] & home[None, :]
+        own |= own.T
+        n = own @ rows["copies"].to_numpy()
+        has = np.flatnonzero(n)
+        head = np.arange(len(x))
+        for i in has.tolist():
+            if head[i] == i:  # the smallest of its component that is not done
+                mine = np.zeros(len(x), bool)
+                mine[i] = True
+                new = mine
+                while new.any():
+                    new = own[new].any(0) & ~mine
+                    mine |= new
+                head[mine] = i
+        member = np.flatnonzero(head != np.arange(len(x)))
+        i, j = np.nonzero(linked & ~home[None, :])  # the other's home is another cell
+        a = np.concatenate([ids[has], ids[head[member]], np.minimum(ids[i], ids[j])])
+        b = pd.Series([None] * len(has), dtype=object)
+        b = pd.concat([b, pd.Series(np.concatenate([ids[member], np.maximum(ids[i], ids[j])]), dtype=object)], ignore_index=True)
+        count = [*n[has].tolist(), *[0] * len(member), *[None] * len(i)]
+        return pd.DataFrame({"a": a, "b": b, "n": pd.Series(count, dtype=object)})
+
+    if exact:
+        rows = cells
+    else:
+        graph = cells.groupBy("cell").applyInPandas(build, f"id {kind}, near array<{kind}>")
+        united = graph.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+        rows = cells.join(written(united, "graph"), "id")
+    return written(rows.groupBy("cell").applyInPandas(search, f"a {kind}, b {kind}, n long"), "links")
+
+
+def counted(found: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What find_links() found, as (id, more), how many other vectors a point's links make, and as links (a, b) that join components."""
+    pairs = written(found.where("n is null").select("a", "b").distinct(), "pairs")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    far = both.join(points.select(F.col("id").alias("b"), F.col("copies").alias("n")), "b").select("a", "n")
+    near = found.where("b is null").select("a", "n")
+    more = near.unionByName(far).groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("more"))
+    return written(more, "counts"), pairs.unionByName(found.where("n = 0").select("a", "b"))
 
 
 def cosine(x: np.ndarray, y: np.ndarray) -> float:
+    """In double precision; vectors are scaled by their largest component before, so that no square is lost."""
+    x, y = x / np.abs(x).max(), y / np.abs(y).max()
     return float(x @ y) / (float(np.sqrt(x @ x)) * float(np.sqrt(y @ y)))
 
 
-def audit(points: DataFrame, links: DataFrame, limit: float, queries: int = AUDIT) -> float:
-    """The share of the true links of a sample of points that links has: the points of smallest hash against all."""
-    asked = points.orderBy(F.xxhash64("id"), "id").limit(queries).collect()
-    if not asked:
-        return 1.0
+def audit(points: DataFrame, more: DataFrame, limit: float, queries: int = AUDIT) -> float:
+    """The share of the true links of a sample of points that more(id, more) counts; all that it counts are true.
+
+    The points of smallest hash are compared with all; of twice as many, until they have AUDIT_LINKS links.
+    """
     kind = dict(points.dtypes)["id"]
-    sent = points.sparkSession.sparkContext.broadcast(pickle.dumps(([r["id"] for r in asked], np.array([r["x"] for r in asked]))))
+    while True:
+        asked = points.orderBy(F.xxhash64("id"), "id").limit(queries).select("id", "x").collect()
+        sent = points.sparkSession.sparkContext.broadcast(pickle.dumps(([r["id"] for r in asked], np.array([r["x"] for r in asked]))))
 
-    def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = pickle.loads(sent.value)
-        for part in parts:
-            sim = _unit(np.stack(part["x"].to_numpy())) @ _unit(q).T if len(part) else np.zeros((0, len(ids)))
-            r, c = np.nonzero(sim >= limit + 1e-9)
-            yield pd.DataFrame({"a": np.array(ids)[c], "b": part["id"].to_numpy()[r]})
+        def compare(parts: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            ids, q = pickle.loads(sent.value)
+            ids, q = np.array(ids), _unit(q)
+            for part in parts:
+                if len(part):
+                    near = (_unit(np.stack(part["x"].to_numpy())) @ q.T >= limit + 1e-9) & (part["id"].to_numpy()[:, None] != ids)
+                    n = part["copies"].to_numpy() @ near
+                    yield pd.DataFrame({"id": ids[n > 0], "true": n[n > 0]})
 
-    true = points.mapInPandas(compare, f"a {kind}, b {kind}").where("a != b")
-    true = true.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    n, hit = true.join(links.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count("*"), F.coalesce(F.sum("hit"), F.lit(0))).first()
-    return hit / n if n else 1.0
+        true = points.mapInPandas(compare, f"id {kind}, true long").groupBy("id").agg(F.sum("true").alias("true"))
+        n, hit = true.join(more, "id", "left").agg(F.coalesce(F.sum("true"), F.lit(0)), F.coalesce(F.sum(F.least("true", "more")), F.lit(0))).first()
+        if n >= AUDIT_LINKS or len(asked) < queries or queries >= MOST_ASKED:
+            return hit / n if n else 1.0
+        queries *= 2
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", limit: float = LIMIT, overlap: int = OVERLAP, recall: float = RECALL) -> DataFrame:
@@ -300,26 +359,21 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     """
     good = points_of(vectors, key, vector)
     groups = written(good.groupBy("x").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "points")
-    points = groups.select("id", "x").dropDuplicates(["id"])
-    links = None
+    points = groups.select("id", "x", "copies").dropDuplicates(["id"])
+    kind = dict(vectors.dtypes)[key]
+    more = vectors.sparkSession.createDataFrame([], f"id {kind}, more long")
+    links = vectors.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
     for (size,) in points.select(F.size("x").alias("s")).distinct().orderBy("s").collect():
         part = points.where(F.size("x") == size)
         wide = overlap
         while True:
-            own = find_links(part, limit, wide)
-            if wide >= 4 * overlap or audit(part, own, limit) >= recall:
+            own, pairs = counted(find_links(part, limit, wide, exact=wide > 4 * overlap), part)
+            if wide > 4 * overlap or audit(part, own, limit) >= recall:
                 break
             wide *= 2
-        links = own if links is None else links.unionByName(own)
-    kind = dict(vectors.dtypes)[key]
-    if links is None:
-        links = vectors.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
-    copies = groups.select("id", "copies")
-    other = copies.select(F.col("id").alias("b"), F.col("copies").alias("c"))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counted = both.join(other, "b").groupBy(F.col("a").alias("id")).agg(F.sum("c").alias("more"))
+        more, links = more.unionByName(own), links.unionByName(pairs)
     comp = components(links).select(F.col("node").alias("id"), F.col("component").alias("comp"))
-    reps = groups.join(counted, "id", "left").join(comp, "id", "left")
+    reps = groups.join(more, "id", "left").join(comp, "id", "left")
     reps = reps.select("x", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n"), F.coalesce("comp", "id").alias("comp"))
     mine = good.join(reps, "x").groupBy("id").agg(F.max("n").alias("n"), F.min("comp").alias("comp"))
     out = vectors.select(F.col(key).alias("id")).join(mine, "id", "left")

@@ -100,14 +100,19 @@ QUERIES = {
 
 ORACLES = {
     "op4_embedding_dedup": r"""
-WITH RECURSIVE v AS (
+WITH RECURSIVE raw AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+), v AS (
+  SELECT vec_id, x, list_max(list_transform(x, lambda c: abs(c))) AS most,
+         x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AS finite
+  FROM raw
+), scaled AS (
+  SELECT vec_id, list_transform(x, lambda c: c / most) AS x FROM v WHERE finite AND most > 0
 ), good AS (
-  SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS norm FROM v
-  WHERE x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND list_dot_product(x, x) > 0
+  SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS norm FROM scaled
 ), links AS (
   SELECT p.vec_id AS a, q.vec_id AS b FROM good p JOIN good q ON p.vec_id <> q.vec_id
-  WHERE list_dot_product(p.x, q.x) / (p.norm * q.norm) >= 0.95
+  WHERE len(p.x) = len(q.x) AND list_dot_product(p.x, q.x) / (p.norm * q.norm) >= 0.95
 ), reach(vec_id, c) AS (
   SELECT vec_id, vec_id FROM v
   UNION
