@@ -80,7 +80,7 @@ def test_kd_shards(spark, documents):
         by.setdefault(r["shard"], []).append(r["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
     assert sum(r["size"] for r in got) == sum(len((t or "").encode()) + 8 for _, t, *_ in rows)
-    even = spark.createDataFrame([(i, "x" * 92, "en", "hot" if i % 3 else f"s{i}", 92) for i in range(2400)], DOCS)
+    even = spark.createDataFrame([(i, f"{i:092}", "en", "hot" if i % 3 else f"s{i}", 92) for i in range(2400)], DOCS)
     total = Counter()
     for r in kd_shards.shard_documents(even, 24).collect():
         total[r["shard"]] += r["size"]
@@ -88,6 +88,62 @@ def test_kd_shards(spark, documents):
     assert kd_shards.shard_documents(empty(spark), 4).count() == 0
 
 
+def plain_kd_tree(rows, shards):
+    """The shard of each text, by a k-d tree built in memory: split where the weight is nearest to its share."""
+    import xxhash
+
+    points = {}
+    for _, t, lang, source, _ in rows:
+        size = len((t or "").encode())
+        h = xxhash.xxh64(t.encode(), seed=42).intdigest() if t is not None else 42
+        p = points.setdefault(t, {"w": 0, "tie": h >> 33, "size": size, "source": [], "lang": []})
+        p["w"] += size + 8
+        p["source"] += [source] * (source is not None)
+        p["lang"] += [lang] * (lang is not None)
+    for p in points.values():
+        place = [zlib.crc32(min(p[d]).encode()) >> 1 if p[d] else 0 for d in ("source", "lang")] + [p["size"]]
+        p["keys"] = [x << 31 | p["tie"] for x in place]
+    out, first = {}, None
+
+    def split(mine, shard, count):
+        nonlocal first
+        if count == 1 or not mine:
+            out.update(dict.fromkeys(mine, shard))
+            return
+        spread = [max(points[t]["keys"][d] >> 31 for t in mine) - min(points[t]["keys"][d] >> 31 for t in mine) for d in range(3)]
+        first = first or [max(1, x) for x in spread]
+        dim = max(range(3), key=lambda d: (spread[d] / first[d], -d))
+        goal, below, at = sum(points[t]["w"] for t in mine) * (count // 2) / count, 0, None
+        by = {}
+        for t in mine:
+            by[points[t]["keys"][dim]] = by.get(points[t]["keys"][dim], 0) + points[t]["w"]
+        for k, w in sorted(by.items()):
+            if below + w >= goal:
+                at = k if below + w - goal <= goal - below else k - 1
+                break
+            below += w
+        split([t for t in mine if points[t]["keys"][dim] <= at], shard, count // 2)
+        split([t for t in mine if points[t]["keys"][dim] > at], shard + count // 2, count - count // 2)
+
+    split(list(points), 0, shards)
+    return out
+
+
+@pytest.mark.parametrize("hot", [10_000, 20])
+def test_kd_groups(spark, monkeypatch, documents, hot):
+    """Equal texts share a shard, whatever their source, language and number; the tree is that of a plain one."""
+    monkeypatch.setattr(common, "HOT", hot)
+    rng = random.Random(12)
+    rows = documents[1] + [(1000 + i, f"copy {rng.randrange(25)} " * 5, rng.choice(["en", None]), f"s{rng.randrange(4)}", 1) for i in range(150)]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as shard", "2 as weight", "3 as t1", "4 as c")
+    for shards in (5, 24):
+        want = plain_kd_tree(rows, shards)
+        got = kd_shards.shard_documents(docs, shards).collect()
+        place = {(r["doc_id"], r["text_crc32"], r["size"]): r["shard"] for r in got}
+        assert len(got) == len(rows)
+        assert all(place[i, zlib.crc32((t or "").encode()), len((t or "").encode()) + 8] == want[t] for i, t, *_ in rows if i is not None)
+
+
 def tokenizer():
     import public_tokenizers
 
@@ -207,8 +263,11 @@ def brute_components(rows):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-def test_jaccard_large_tiles(spark):
+@pytest.mark.parametrize("rows_of_bin, common_in", [(40_000, 40), (50, 3)])
+def test_jaccard_large_tiles(spark, monkeypatch, rows_of_bin, common_in):
     """A passage in many documents, a group of altered copies, tiles above the leaf size and, cut small, above a chunk."""
+    monkeypatch.setattr(jaccard_join, "ROWS", rows_of_bin)
+    monkeypatch.setattr(jaccard_join, "COMMON", common_in)
     rng = random.Random(8)
     passage, core = words(rng, 25), words(rng, 60)
     rows = []
@@ -280,6 +339,40 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(spark.createDataFrame(rows, DOCS), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_any_length(spark):
+    """Items of 1 to 1,500 words, with replaced, inserted and deleted words; against all item and text pairs."""
+    rng = random.Random(15)
+    word = lambda: rng.choice(VOCAB) + str(rng.randrange(40))
+    sizes = [1, 2, 5, 6, 7, 13, 20, 40, 80, 120, 200, 320, 700, 1500]
+    items = [(f"i{m}", [word() for _ in range(m)]) for m in sizes for _ in range(2)]
+    items = [(f"{i}-{k}", w) for k, (i, w) in enumerate(items)]
+    rows = []
+    for k, (_, w) in enumerate(items):
+        for n in range(6):
+            t = list(w)
+            for _ in range(decontaminate.edits(len(w)) if n < 5 else 3 * decontaminate.edits(len(w)) + 1):
+                kind, at = rng.randrange(3), rng.randrange(len(t) + 1)
+                if kind == 0:
+                    t[min(at, len(t) - 1)] = word()
+                elif kind == 1:
+                    t.insert(at, word())
+                elif len(t) > 1:
+                    del t[min(at, len(t) - 1)]
+            around = [[word() for _ in range(rng.randrange(30))] for _ in range(2)]
+            rows.append((1000 + 10 * k + n, " ".join(around[0] + t + around[1]), "en", "s", 0))
+    names = {w: i for i, w in enumerate(sorted({x for _, ws in items for x in ws} | {x for r in rows for x in r[1].split(" ")}))}
+    want = set()
+    for i, w in items:
+        for r in rows:
+            if decontaminate.best_stretch(np.array([names[x] for x in w]), np.array([names[x] for x in r[1].split(" ")]))[0] <= decontaminate.edits(len(w)):
+                want.add((r[0], i))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id string, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(spark.createDataFrame(rows, DOCS), bench).collect()}
+    assert found <= want and len(found) >= 0.99 * len(want) and len(want) >= 5 * len(items)
+    small = spark.createDataFrame([(7, " ".join(items[9][1]))], "item_id int, text string")
+    assert {r["item_id"] for r in decontaminate.find_leaks(spark.createDataFrame(rows, DOCS), small).collect()} == {7}
+
+
 def test_best_stretch():
     rng = np.random.default_rng(5)
     for _ in range(300):
@@ -297,6 +390,8 @@ def test_embeddings(spark):
     x = [centre[i % 40] + rng.normal(size=16) * rng.choice([0.02, 0.15, 0.6]) for i in range(240)]
     rows = [(i, [float(v) for v in y]) for i, y in enumerate(x)] + [(300 + i, rows_) for i, rows_ in enumerate([None, [], [0.0] * 16, [float("nan")] * 16, [1.0] * 15 + [None], [float("inf")] * 16])]
     rows += [(400 + i, [1.0] + [0.0] * 15) for i in range(5)] + [(405, [2.0] + [0.0] * 15), (None, [1.0] + [0.0] * 15), (406, [1.0, 2.0])]
+    tiny, huge = [3e-200] + [1e-201] * 15, [0.0, -7e250] + [1e249] * 14  # their squares are lost
+    rows += [(407, tiny), (408, [2 * v for v in tiny]), (409, [v * (1 + k / 90) for k, v in enumerate(tiny)]), (410, huge), (411, [v / 2 for v in huge]), (412, [5e-324] * 16)]
     good = {i: np.array(y) for i, y in rows if i is not None and y and None not in y and np.isfinite(y).all() and np.any(y)}
     links = {i: [j for j in good if j != i and len(good[i]) == len(good[j]) and embedding_graph.cosine(good[i], good[j]) >= 0.95] for i in good}
     comp = {i: i for i, _ in rows if i is not None}
@@ -321,6 +416,27 @@ def test_embeddings(spark):
     assert embedding_graph.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [3_000, 100])
+def test_embeddings_near_copies(spark, monkeypatch, most):
+    """A large group of near copies, in one cell and over many: all linked, no row per pair."""
+    monkeypatch.setattr(embedding_graph, "MOST", most)
+    monkeypatch.setattr(embedding_graph, "CELL", most // 5)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=12) + rng.normal(size=(600, 12)) * 0.02, rng.normal(size=(200, 12))])
+    df = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.95).sum(1) - 1
+    got = {r["vec_id"]: r for r in embedding_graph.near_duplicates(df).collect()}
+    assert all(got[i]["n_links"] <= n for i, n in enumerate(want.tolist()))
+    assert sum(r["n_links"] for r in got.values()) >= (1 if most == 3_000 else 0.97) * want.sum()
+    assert {got[i]["component_id"] for i in range(600)} == {0}
+    points = embedding_graph.points_of(df, "vec_id", "embedding").selectExpr("*", "1L as copies")
+    if most == 3_000:
+        assert embedding_graph.find_links(points, 0.95, 3).count() < 2 * len(x)
+    more, _ = embedding_graph.counted(embedding_graph.find_links(points, 0.95, 3, exact=True), points)
+    assert {r["id"]: r["more"] for r in more.collect()} == {i: n for i, n in enumerate(want.tolist()) if n}
+
+
 def test_toxicity(spark, documents):
     rng = random.Random(6)
     rows, labels = odd_rows(), []
@@ -388,6 +504,44 @@ def test_quality(spark):
     assert quality.score_quality(empty(spark)).count() == 0
 
 
+def test_weak_labels_estimate():
+    """EM against a plain loop over documents, and against the share and the accuracies that votes were drawn with."""
+    rng = np.random.default_rng(3)
+    start = np.array(list(quality.LABELLERS.values()))
+    y = rng.random(6000) < 0.7
+    true = start.copy()
+    true[:, 0, 1] += 0.2
+    true[:, 0, 0] -= 0.2
+    true[:, 1, 1] = 0.004
+    true[:, 1, 0] = 1 - true[:, 1, 1] - true[:, 1, 2]
+    v = np.stack([[rng.choice(3, p=true[j, int(c)]) - 1 for c in y] for j in range(len(start))], 1)
+    patterns, counts = np.unique(v, axis=0, return_counts=True)
+    good, p = quality.estimate(patterns, counts.astype(float))
+    assert abs(good - y.mean()) < 0.03 and np.abs(p - true).max() < 0.05
+    small = v[:200]
+    share, q = quality.PRIOR, np.maximum(start, 1e-9)
+    weight = max(1.0, quality.BELIEF * len(small))
+    for _ in range(40):
+        post = []
+        for row in small:
+            a, b = share, 1 - share
+            for j, x in enumerate(row):
+                a, b = a * q[j, 1, x + 1], b * q[j, 0, x + 1]
+            post.append(a / (a + b))
+        mass = [sum(1 - z for z in post) + weight * (1 - quality.PRIOR), sum(post) + weight * quality.PRIOR]
+        share, new = mass[1] / sum(mass), np.zeros_like(q)
+        for j in range(len(q)):
+            for c in (0, 1):
+                for x in range(3):
+                    n = sum(z if c else 1 - z for z, row in zip(post, small) if row[j] == x - 1)
+                    new[j, c, x] = max(1e-9, (n + weight * (quality.PRIOR if c else 1 - quality.PRIOR) * start[j, c, x]) / mass[c])
+            new[j, 1, 1] = min(new[j, 1, 1], quality.MOST)
+        q = new
+    patterns, counts = np.unique(small, axis=0, return_counts=True)
+    good, p = quality.estimate(patterns, counts.astype(float), rounds=40)
+    assert abs(good - share) < 1e-6 and np.allclose(p, q, atol=1e-6)
+
+
 def test_components(spark):
     rng = random.Random(9)
     e = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(None, 3)]
