@@ -288,20 +288,12 @@ def distances_with_weak_maps(spark, d):
 @query(DIST + """,
 parent AS (SELECT e.dst AS addr, min(e.src) AS parent FROM edges e JOIN dist a ON a.addr = e.src JOIN dist b ON b.addr = e.dst WHERE b.d = a.d + 1 GROUP BY e.dst),
 climb(target, addr, d) AS (
-  SELECT addr, addr, d FROM dist WHERE starts_with(addr, 'P') AND length(addr) = 2
+  SELECT addr, addr, d FROM dist JOIN nodes USING (addr) WHERE starts_with(label, 'JS Object (')
   UNION ALL SELECT c.target, p.parent, c.d - 1 FROM climb c JOIN parent p ON p.addr = c.addr WHERE c.d > 0
 )
 SELECT target, CAST(d AS INT) AS hop, addr FROM climb""")
-def root_path_nodes(spark, d):
-    g = heap_view(spark, d)
-    dist = written(traverse.distances(g.edges, heap_roots(g)), "dist")
-    targets = g.nodes.where("addr like 'P_'").select("addr")
-    return traverse.root_paths(dist, targets).select("target", "hop", "addr")
-
-
-@query()
 def class_path_nodes(spark, d):
-    """Shortest root paths to a whole class (root_path_nodes has a twin for a few parts)."""
+    """Shortest root paths to a whole class."""
     return _class_paths(heap_view(spark, d)).select("target", "hop", "addr")
 
 
@@ -428,43 +420,6 @@ def dup_nodes(spark, d):
     return components.duplicate_nodes(heap_view(spark, d))
 
 
-def _slice(spark, d) -> tuple[DumpTables, DataFrame]:
-    """Regions, nations and suppliers, and parts that suppliers hold: small enough to check by removing every node."""
-    g = heap_view(spark, d)
-    e = written(g.edges.where("label in ('mNations[i]', 'mSuppliers[i]', 'mPart', 'mSupplier')"), "slice")
-    return DumpTables(g.nodes, e), g.nodes.where("label = 'region'").select("addr")
-
-
-REMOVAL = "WITH RECURSIVE " + HEAP_CTES + """,
-se AS (SELECT DISTINCT src, dst FROM edges WHERE label IN ('mNations[i]', 'mSuppliers[i]', 'mPart', 'mSupplier')
- UNION SELECT 'root', addr FROM nodes WHERE label = 'region'),
-all_(addr) AS (SELECT 'root' UNION SELECT se.dst FROM all_ JOIN se ON se.src = all_.addr),
-cutset AS (SELECT addr AS gone FROM all_ WHERE addr IN (SELECT src FROM se)),
-left_(gone, addr) AS (SELECT gone, 'root' FROM cutset WHERE gone <> 'root' UNION SELECT l.gone, se.dst FROM left_ l JOIN se ON se.src = l.addr WHERE se.dst <> l.gone),
-dom AS (SELECT c.gone AS dominator, a.addr FROM cutset c, all_ a WHERE c.gone = 'root' OR (c.gone, a.addr) NOT IN (SELECT gone, addr FROM left_)
- UNION SELECT addr, addr FROM all_)"""
-
-
-@query(REMOVAL + " SELECT addr, dominator FROM dom")
-def dominators_small(spark, d):
-    g, roots = _slice(spark, d)
-    return dominators.dominator_sets(g.edges, roots).select("addr", F.explode("dom").alias("dominator"))
-
-
-@query(REMOVAL + """ SELECT dominator AS addr, CAST(count(*) FILTER (WHERE dom.addr <> 'root') * 8 AS BIGINT) AS retained, count(*) - 1 AS dominated
-FROM dom GROUP BY dominator""")
-def retained_size_small(spark, d):
-    g, roots = _slice(spark, d)
-    return dominators.retained_sizes(dominators.dominator_sets(g.edges, roots), g.nodes)
-
-
-@query(REMOVAL + """, depth AS (SELECT addr, count(*) AS n FROM dom GROUP BY addr)
-SELECT d.addr, arg_max(d.dominator, depth.n) AS idom, CAST(max(depth.n) AS INT) AS depth FROM dom d JOIN depth ON depth.addr = d.dominator WHERE d.addr <> d.dominator GROUP BY d.addr""")
-def dominator_tree_small(spark, d):
-    g, roots = _slice(spark, d)
-    return dominators.dominator_tree(dominators.dominator_sets(g.edges, roots))
-
-
 @query("""SELECT vec_id, value, CAST(8 * (pos - 1) AS BIGINT) AS "offset" FROM (SELECT vec_id, unnest(embedding) AS value, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings)""")
 def neighbour_offsets(spark, d):
     return blocks.element_offsets(table(spark, d, "embeddings"), "vec_id", "embedding")
@@ -582,7 +537,7 @@ def _heap_dominators(spark, d) -> tuple[DumpTables, DataFrame]:
 
 @query()
 def heap_dominators(spark, d):
-    """Dominators in the whole heap (removing every node is too slow in SQL; dominators_small has a twin for a part)."""
+    """Dominators in the whole heap (removing every node is too slow in SQL; tests do it)."""
     return _heap_dominators(spark, d)[1].select("addr", F.explode("dom").alias("dominator"))
 
 

@@ -25,8 +25,8 @@ def normal(rows, cols):
 
 @pytest.mark.parametrize(
     "name",
-    ["class_census", "fn_census", "js_holders", "dup_edge_histogram", "root_classification", "prune_non_js_border", "root_path_nodes",
-     "distances_with_weak_maps", "dominators_small", "report_diff", "roots_reaching_target", "arena_buckets"],
+    ["class_census", "fn_census", "js_holders", "dup_edge_histogram", "root_classification", "prune_non_js_border", "class_path_nodes",
+     "distances_with_weak_maps", "report_diff", "roots_reaching_target", "arena_buckets"],
 )
 def test_query(spark, name):
     got = queries.QUERIES[name](spark, SF)
