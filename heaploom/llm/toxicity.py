@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_WORDS, crc_mod, flat_words, text_slices
+from .common import ASCII_WORDS, crc_mod, discard, flat_words, text_slices, written
 
 #: Labelled rows of each class that the models are fitted on at most.
 SAMPLE = 4_000
@@ -79,23 +79,33 @@ def fit_pair(words: list[tuple], bigrams: list[tuple], rest: tuple[int, int, int
     """The models from counts.  words: (word, n0, n1, k), tokens of either class and how many words stand before it in both; bigrams:
     (first, second, n0, n1); rest: n0, n1 and k of all other words, which are the unknown word.  The order of rows does not matter.
     """
-    words = sorted(words)
-    vocab = [w[0] for w in words]
-    number = {w: i for i, w in enumerate(vocab)}
+    names = ("b", "n0", "n1", "k"), ("a", "b", "n0", "n1")
+    tables = [pa.table(dict(zip(n, zip(*rows) if rows else [[]] * 4))) for n, rows in zip(names, (words, bigrams))]
+    return fit_tables(*tables, rest)
+
+
+def fit_tables(words: pa.Table, bigrams: pa.Table, rest: tuple[int, int, int] = (0, 0, 0)) -> KneserNeyPair:
+    """The same of tables: words (b, n0, n1, k) and bigrams (a, b, n0, n1)."""
+    words = words.sort_by("b") if len(words) else words
+    vocab = words.column("b").combine_chunks().cast(pa.string())
     v = len(vocab)
-    *count, follows = np.array([*(w[1:] for w in words), rest], float).T
+    counts = np.stack([words.column(c).to_numpy().astype(float) for c in ("n0", "n1", "k")], 1)
+    *count, follows = np.append(counts, [rest], axis=0).T
     shared = np.maximum(follows - DISCOUNT, 0) / max(1.0, follows.sum())
     shared += (1 - shared.sum()) / (v + 1)
     mass = [np.maximum(n - DISCOUNT, 0) / max(1.0, n.sum()) for n in count]
     p = np.stack([m + (1 - m.sum()) * shared for m in mass])
-    rows = sorted((number[a] << 32 | number[b], *n) for a, b, *n in bigrams if a in number and b in number)
-    pairs = np.array([r[0] for r in rows], np.int64)
-    back, pair_p = np.ones((2, v + 1)), np.zeros((2, len(rows)))
-    for c in (0, 1) if rows else ():
-        n, head = np.array([r[1 + c] for r in rows], float), np.maximum(count[c][pairs >> 32], 1)
+    ends = [pc.fill_null(pc.index_in(bigrams.column(c).cast(pa.string()), value_set=vocab), -1).to_numpy().astype(np.int64) for c in ("a", "b")]
+    key = ends[0] << 32 | ends[1]
+    order = np.argsort(key, kind="stable")
+    order = order[(np.minimum(*ends) >= 0)[order]]
+    pairs = key[order]
+    back, pair_p = np.ones((2, v + 1)), np.zeros((2, len(pairs)))
+    for c in (0, 1) if len(pairs) else ():
+        n, head = bigrams.column(f"n{c}").to_numpy()[order].astype(float), np.maximum(count[c][pairs >> 32], 1)
         pair_p[c] = np.minimum(np.maximum(n - DISCOUNT, 0) / head, 1)
         back[c, :v] = np.maximum(1 - np.bincount(pairs >> 32, pair_p[c], v), 1e-9)
-    return KneserNeyPair(vocab, p, back, pairs, pair_p)
+    return KneserNeyPair(vocab.to_pylist(), p, back, pairs, pair_p)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -167,17 +177,16 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     sums = ["n0", "n1", "d0", "d1"]
     counted = rows.where("fold != 0").select("text", "y").mapInArrow(count, "a string, b string, " + ", ".join(f"{x} long" for x in sums))
-    counted = counted.groupBy("a", "b").agg(*[F.sum(x).alias(x) for x in sums]).cache()
+    counted = written(counted.groupBy("a", "b").agg(*[F.sum(x).alias(x) for x in sums]), "ngrams")
     most = [(F.col("n0") + F.col("n1")).desc(), "a", "b"]
     own = [F.coalesce(F.sum(F.when(F.col("a").isNull(), F.col(x))), F.lit(0)).alias(x) for x in sums]
     every = counted.groupBy("b").agg(*own, F.count("a").alias("k"))
-    words = every.where("d0 + d1 > 1").withColumn("a", F.lit(None)).orderBy(*most).limit(MAX_NGRAMS).select("b", "n0", "n1", "k")
-    words = [tuple(r) for r in words.collect()]
+    words = every.where("d0 + d1 > 1").withColumn("a", F.lit(None)).orderBy(*most).limit(MAX_NGRAMS).select("b", "n0", "n1", "k").toArrow()
     total = every.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("n0", "n1", "k")]).first()
-    bigrams = counted.where("a is not null and d0 + d1 > 1").orderBy(*most).limit(MAX_NGRAMS).select("a", "b", "n0", "n1")
-    bigrams = [tuple(r) for r in bigrams.collect()]
-    counted.unpersist()
-    model = fit_pair(words, bigrams, tuple(t - sum(w[i] for w in words) for i, t in enumerate(total, 1)))
+    bigrams = counted.where("a is not null and d0 + d1 > 1").orderBy(*most).limit(MAX_NGRAMS).select("a", "b", "n0", "n1").toArrow()
+    discard(counted)
+    model = fit_tables(words, bigrams, tuple(t - (pc.sum(words.column(c)).as_py() or 0) for c, t in zip(("n0", "n1", "k"), total)))
+    del words, bigrams
     sent = spark.sparkContext.broadcast(pickle.dumps(model))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +204,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", held_out: tuple[int, int] = (4, 2), threshold: float = THRESHOLD, keep: bool = False) -> DataFrame:
-    """Score every row of docs: (key, held_out, score, predicted), or with keep all columns of docs plus these.
+    """Score every row of docs: (key, held_out, score, predicted), or with keep all columns of docs plus these, which replace
+    columns of docs with their names.
 
     held_out marks the fold (crc32 of the id modulo held_out[0]) that training never sees; a null key is in no
     fold, and held_out is then null.  A null or empty text, or one without a word, has a log-likelihood difference of 0 and
@@ -213,13 +223,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
             back = [c for c in batch.schema.names if c != "__text" or keep and text in own]
             yield pa.RecordBatch.from_arrays([*map(batch.column, back), pa.array(score)], names=[*back, "__score"])
 
-    own = docs.columns if keep else [key]
+    new = ("held_out", "score", "predicted")
+    own = [c for c in docs.columns if c == key or c.lower() not in new] if keep else [key]
     rest = [c for c in own if c != text]  # the text goes to the workers once
     rows = docs.select(*rest, F.col(text).alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if keep and text in own or f.name != "__text")
-    scored = rows.mapInArrow(apply, f"{fields}, __score double").withColumnRenamed("__text", text)
+    scored = rows.mapInArrow(apply, f"{fields}, __score double")
     return scored.select(
-        *own,
+        *[F.col("__text").alias(c) if c == text else F.col(c) for c in own],
         (crc_mod(key, held_out[0]) == held_out[1]).alias("held_out"),
         F.col("__score").alias("score"),
         (F.col("__score") >= threshold).cast("int").alias("predicted"),
