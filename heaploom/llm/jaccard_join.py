@@ -43,10 +43,14 @@ NEAR = 6
 BEST = 3
 #: Ids of documents to verify that are sent to every worker at most; more are joined by a shuffle.
 SENT_IDS = 1_000_000
+#: Smallest documents of tiles dealt out again that are sent to every worker at most; more are joined by a shuffle.
+SENT_LEADS = 100_000
 #: Earlier tiles of a document that a tile is compared with, to find it superfluous.
 BEHIND = 8
-#: Rows of tiles that one call in a worker gets.
+#: Rows of tiles that one call in a worker gets, about, and of one smallest document in their tiles at most.  With fewer rows to a
+#: call, each call finds the best pairs of its own tiles, and a group of near copies makes more of them.
 ROWS = 40_000
+ONE = 40_000
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
@@ -346,10 +350,12 @@ def _searched(tiles: DataFrame, vecs: DataFrame, percent: int, kind: str, near:
     probes = cut.join(plan, "key").where("chunk = ci or chunk = cj").withColumn("probe", F.col("chunk") == F.col("ci")).withColumn("point", F.col("chunk") == F.col("cj"))
     both = single.unionByName(probes.select(single.columns))
     # tiles with the same smallest document hold much the same documents: together they need each vector once.  Tiles of
-    # one such document that have more than ROWS rows together are dealt out again by their keys
+    # one such document that have more than ONE rows together are dealt out again by their keys
     groups = max(partitions(spark), -(-rows.count() // ROWS))
     one = ["lead", "ci", "cj"]
-    many = both.groupBy(*one).agg(F.ceil(F.count("*") / ROWS).alias("parts")).where("parts > 1")
+    many = both.groupBy(*one).agg(F.ceil(F.count("*") / ONE).alias("parts")).where("parts > 1")
+    many = written(many, "many")
+    many = F.broadcast(many) if many.count() <= SENT_LEADS else many.hint("merge")
     part = F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1)))
     both = both.join(many, one, "left").withColumn("__bin", F.pmod(F.xxhash64(*one, part), F.lit(groups))).drop("lead", "chunk", "parts")
     both = written(both, "searches")
