@@ -266,7 +266,8 @@ def brute_components(rows):
 @pytest.mark.parametrize("rows_of_bin, common_in", [(40_000, 40), (50, 3)])
 def test_jaccard_large_tiles(spark, monkeypatch, rows_of_bin, common_in):
     """A passage in many documents, a group of altered copies, tiles above the leaf size and, cut small, above a chunk."""
-    monkeypatch.setattr(jaccard_join, "ROWS", rows_of_bin)
+    monkeypatch.setattr(jaccard_join, "ONE", rows_of_bin)
+    monkeypatch.setattr(jaccard_join, "SENT_LEADS", 100_000 if rows_of_bin > 50 else 0)
     monkeypatch.setattr(jaccard_join, "COMMON", common_in)
     rng = random.Random(8)
     passage, core = words(rng, 25), words(rng, 60)
@@ -457,6 +458,10 @@ def test_toxicity(spark, documents):
     assert {r["held_out"] for r in got if r["doc_id"] == 501} == {zlib.crc32(b"501") % 4 == 2}
     assert {r["score"] for r in toxicity.score_toxicity(docs, lab.limit(0)).collect()} == {0.5}
     assert toxicity.score_toxicity(empty(spark), lab).count() == 0
+    clash = docs.selectExpr("*", "1 as score", "2 as held_out", "'x' as predicted", "3 as y", "4 as fold")
+    again = toxicity.score_toxicity(clash, lab, keep=True)
+    assert sorted(again.columns) == sorted([*docs.columns, "y", "fold", "held_out", "score", "predicted"])
+    assert sorted((repr(r["doc_id"]), r["score"]) for r in again.collect()) == sorted((repr(r["doc_id"]), r["score"]) for r in got)
 
 
 def test_kneser_ney():
