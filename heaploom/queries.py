@@ -439,7 +439,7 @@ def log_roundtrip_edges(spark, d):
 
     g = heap_view(spark, d)
     path = f"{shared_dir(spark)}/log-{tempfile.mktemp(dir='', prefix='').strip('/')}"
-    sinks.write_lines(sinks.log_lines(g), path, single_file=True)
+    sinks.write_lines(sinks.log_lines(g), path)
     return read_cc_log(spark, path).edges.select("src", "dst", "label")
 
 

@@ -17,7 +17,7 @@ from ..plans.cut import written
 def read_lines(spark: SparkSession, path: str | list[str], encoding: str = "utf-8") -> DataFrame:
     """(log_id, block, ord, value): lines of files, ord counting from 0 within a file.
 
-    Gzip files are one block.  latin-1 files are read through the csv source, which drops blank lines.
+    The part files of a folder that Spark wrote (write_lines) are one log, in the order of their names.  Gzip files are one block.  latin-1 files are read through the csv source, which drops blank lines.
     """
     if encoding.lower().replace("_", "-") in ("utf-8", "utf8"):
         raw = spark.read.text(path)
@@ -27,16 +27,18 @@ def read_lines(spark: SparkSession, path: str | list[str], encoding: str = "utf-
         )
     raw = raw.select(
         "value",
-        F.col("_metadata.file_path").alias("log_id"),
-        F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("id"),
     )
     raw = written(raw, "lines")
     # ids rise by one within a block: a row per block is enough to number all lines
-    blocks = raw.groupBy("log_id", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    w = Window.partitionBy("log_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    joined = raw.join(F.broadcast(blocks.select("log_id", "block", "first", "before")), ["log_id", "block"])
+    blocks = raw.groupBy("file", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    blocks = blocks.withColumn("log_id", F.regexp_replace("file", "/part-[0-9]{5,}-[^/]*$", ""))
+    w = Window.partitionBy("log_id").orderBy("file", "start")
+    before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("log_id", "file", "start", "first", F.row_number().over(w).alias("block"), before.alias("before"))
+    joined = raw.join(F.broadcast(blocks), ["file", "start"])
     value = F.regexp_replace("value", "\r$", "")
     return joined.select("log_id", "block", (F.col("before") + F.col("id") - F.col("first")).alias("ord"), value.alias("value"))
 
@@ -59,8 +61,11 @@ def fill_down(lines: DataFrame, headers: dict[str, Column]) -> DataFrame:
 
 def sections(lines: DataFrame, mark: str = "==========") -> DataFrame:
     """Add section: how many separator lines stand above a line (a separator belongs to the section it ends)."""
-    seps = lines.where(F.col("value").startswith(mark)).select("log_id", F.col("ord").alias("at"))
-    marks = seps.groupBy("log_id").agg(F.sort_array(F.collect_list("at")).alias("marks"))
-    out = lines.join(F.broadcast(marks), "log_id", "left")
-    above = F.size(F.filter(F.coalesce("marks", F.array().cast("array<bigint>")), lambda m: m < F.col("ord")))
-    return out.withColumn("section", above).withColumn("is_mark", F.col("value").startswith(mark)).drop("marks")
+    is_mark = F.col("value").startswith(mark)
+    own = Window.partitionBy("log_id", "block").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("log_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = lines.groupBy("log_id", "block").agg(F.count_if(is_mark).alias("marks"))  # a row per block
+    ends = ends.select("log_id", "block", F.coalesce(F.sum("marks").over(before), F.lit(0)).alias("__above"))
+    out = lines.withColumn("__own", F.coalesce(F.count_if(is_mark).over(own), F.lit(0)))
+    out = out.join(F.broadcast(ends), ["log_id", "block"])
+    return out.withColumn("section", (F.col("__above") + F.col("__own")).cast("int")).withColumn("is_mark", is_mark).drop("__above", "__own")
