@@ -134,7 +134,7 @@ def topmost_parent(nodes: DataFrame, parents: DataFrame) -> DataFrame:
     """(addr, top): the end of each node's chain of parents(addr, parent), by pointer jumping; a node on a cycle of
     parents has the cycle's smallest address for its top."""
     p = parents.groupBy("addr").agg(F.min("parent").alias("parent")).where("addr != parent")
-    up = written(nodes.select("addr").join(p, "addr", "left").select("addr", F.coalesce("parent", "addr").alias("top")), "top")
+    up = written(nodes.select("addr").distinct().join(p, "addr", "left").select("addr", F.coalesce("parent", "addr").alias("top")), "top")
     parent = up
     rounds = max(1, up.count()).bit_length() + 1
     for _ in range(rounds):
@@ -182,9 +182,35 @@ def dom_group_totals(groups: DataFrame) -> DataFrame:
     )
 
 
+#: Classes of objects that stand for a DOM node, with the label of the edge that leads to it.
+DOM_PARENTS = {"nsDOMCSSAttributeDeclaration": "mElement", "XPCWrappedNative": "mIdentity"}
+LISTENER_EDGE, LISTENER_CLASS = "[via hash] mListenerManager", "nsEventListenerManager"
+# End of fixed values.
+
+
 def dom_merge_classes(g: DumpTables) -> DataFrame:
-    """(addr, rep): nodes merged with their topmost parent."""
-    return topmost_parent(g.nodes, first_parents(g.edges)).select("addr", F.col("top").alias("rep"))
+    """(rep, member): nodes that merge because they hang on one DOM node, the DOM node being its topmost parent.
+
+    Parents of one class (DOM_PARENTS) of a DOM node merge, rep being the first of them; of one, with itself.  So do the listener managers
+    of a DOM node, if it has several children by LISTENER_EDGE.
+    """
+    tops = topmost_parent(g.nodes, first_parents(g.edges)).select("addr", "top")
+    order = "ord" if "ord" in g.edges.columns else "dst"
+    held = []
+    for klass, field in DOM_PARENTS.items():
+        fits = F.col("label") == klass if klass != "XPCWrappedNative" else F.col("label").startswith(klass)
+        own = g.nodes.where(fits).select(F.col("addr").alias("src"))
+        first = g.edges.where(F.col("label") == field).join(own, "src", "left_semi").groupBy("src").agg(F.min_by("dst", order).alias("addr"))
+        held.append(first.select(F.lit(klass).alias("klass"), "src", "addr"))
+    groups = held[0].unionByName(held[1]).join(tops, "addr")
+    low = groups.groupBy("klass", "top").agg(F.min("src").alias("rep"))
+    parents = groups.join(low, ["klass", "top"]).select("rep", F.col("src").alias("member"))
+    child = g.edges.where(F.col("label") == LISTENER_EDGE).join(tops.withColumnRenamed("addr", "src"), "src").select("top", "dst")
+    several = child.groupBy("top").agg(F.count("*").alias("n")).where("n > 1").select("top")
+    managers = g.nodes.where(F.col("label") == LISTENER_CLASS).select(F.col("addr").alias("dst"))
+    child = child.join(several, "top", "left_semi").join(managers, "dst", "left_semi")
+    low = child.groupBy("top").agg(F.min("dst").alias("rep"))
+    return parents.unionByName(child.join(low, "top").select("rep", F.col("dst").alias("member"))).distinct()
 
 
 def acyclic_ranks(g: DumpTables, rounds: int | None = None) -> DataFrame:

@@ -12,8 +12,11 @@ from ..model import DumpTables
 def select_roots(g: DumpTables, ignore_rc: bool = False, ignore_js: bool = False, extra_class: str | None = None) -> DataFrame:
     """(addr, root): rcRoot (a known count or an incremental root), before gcRoot (marked or incremental), before
     stopNodeLabel (the label is extra_class, exactly)."""
-    known = g.results.where("tag = 'known'").select("addr").distinct().withColumn("is_known", F.lit(True))
-    incr = g.incr_roots.select("addr").distinct().withColumn("is_incr", F.lit(True))
+    none = g.nodes.select("addr").limit(0)  # a dump without results or incremental roots
+    known = g.results.where("tag = 'known'").select("addr") if g.results is not None else none
+    incr = g.incr_roots.select("addr") if g.incr_roots is not None else none
+    known = known.distinct().withColumn("is_known", F.lit(True))
+    incr = incr.distinct().withColumn("is_incr", F.lit(True))
     n = g.nodes.join(known, "addr", "left").join(incr, "addr", "left")
     touched = F.coalesce("is_incr", F.lit(False))
     rc = (F.col("kind") == "rc") & (F.coalesce("is_known", F.lit(False)) | touched) & F.lit(not ignore_rc)
@@ -53,7 +56,7 @@ def live_or_dead(nodes: DataFrame, garbage: DataFrame, which: str = "both") -> D
 
 def wellformed(g: DumpTables) -> DataFrame:
     """(violation, addr): nodes of both kinds, counts that are not positive, edge targets and weak map parts
-    that are no nodes, nodes of neither kind."""
+    that are no nodes, nodes of neither kind, nodes logged more than once."""
     rc, gc = g.nodes.where("kind = 'rc'"), g.nodes.where("kind = 'gc'")
     parts = [
         rc.select("addr").intersect(gc.select("addr")).select(F.lit("rc_and_gc").alias("violation"), "addr"),
@@ -61,6 +64,7 @@ def wellformed(g: DumpTables) -> DataFrame:
         g.edges.select(F.col("dst").alias("addr")).distinct().join(g.nodes.select("addr"), "addr", "left_anti").select(F.lit("range_outside_domain").alias("violation"), "addr"),
         g.nodes.where("kind is null or kind not in ('rc', 'gc')").select(F.lit("neither_kind").alias("violation"), "addr"),
     ]
+    parts.append(g.nodes.groupBy("addr").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("logged_twice").alias("violation"), "addr"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -116,6 +120,18 @@ def prune_edge_labels(g: DumpTables, labels: list[str] = PRUNED_LABELS) -> DataF
     return first.where(~F.coalesce(F.col("first_label").isin(labels), F.lit(False)))
 
 
+def pruned_label_counts(g: DumpTables, labels: list[str] = PRUNED_LABELS) -> DataFrame:
+    """(label, n): how many pairs of nodes prune_edge_labels() takes out, by their first label."""
+    order = "ord" if "ord" in g.edges.columns else "label"
+    first = g.edges.groupBy("src", "dst").agg(F.min_by("label", order).alias("label"))
+    return first.where(F.col("label").isin(labels)).groupBy("label").agg(F.count("*").alias("n"))
+
+
+def components_with_garbage(components: DataFrame, garbage: DataFrame) -> DataFrame:
+    """(addr, rep) of the components that hold at least one garbage(addr) node."""
+    return components.join(components.join(garbage.select("addr"), "addr", "left_semi").select("rep").distinct(), "rep", "left_semi").select("addr", "rep")
+
+
 def wrapper_holders(g: DumpTables, classes: list[str] = PRESERVED_WRAPPER_CLASSES) -> DataFrame:
     """(addr, dst): nodes of the classes whose only edge is one preserved wrapper."""
     order = "ord" if "ord" in g.edges.columns else "label"

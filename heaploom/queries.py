@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.labels import CC_CLASS_PREFIXES, HOLDER_CLASS_PREFIXES, cc_class, url_in
 from .model import DumpTables
-from .operators import blocks, census, components, dominators, predicates, traverse
+from .operators import blocks, census, components, dominators, predicates, search, traverse
 from .plans.cut import shared_dir, written
 from .plans.heap_view import HEAP_CTES, ROOTS_CTE, WEAK_CTE, heap_roots, heap_view
 from .sinks import text as sinks
@@ -302,6 +302,64 @@ def _class_paths(g: DumpTables, target: str = "JS Object (") -> DataFrame:
     return traverse.root_paths(dist, predicates.select_targets(g, target))
 
 
+PARENT = WEAK_DIST + """,
+steps AS (
+  SELECT e.dst AS addr, 0 AS rank, e.src AS parent, CAST(NULL AS VARCHAR) AS map FROM edges e JOIN dist a ON a.addr = e.src JOIN dist b ON b.addr = e.dst WHERE b.d = a.d + 1
+  UNION ALL SELECT w.value, 1, w.key, w.map FROM weak w JOIN dist m ON m.addr = w.map JOIN dist k ON k.addr = w.key JOIN dist v ON v.addr = w.value WHERE v.d = greatest(m.d, k.d) + 1
+  UNION ALL SELECT w.key, 2, w.key_delegate, w.map FROM weak w JOIN dist m ON m.addr = w.map JOIN dist k ON k.addr = w.key_delegate JOIN dist v ON v.addr = w.key WHERE v.d = greatest(m.d, k.d) + 1
+), parent AS (
+  SELECT s.addr, s.parent, s.map FROM (SELECT *, row_number() OVER (PARTITION BY addr ORDER BY rank, parent, map) AS r FROM steps) s JOIN dist USING (addr) WHERE r = 1 AND d > 0
+)"""
+
+
+@query(PARENT + """,
+climb(target, addr) AS (
+  SELECT addr, addr FROM dist JOIN nodes USING (addr) WHERE starts_with(label, 'nsDocument')
+  UNION
+  SELECT CASE WHEN k = 0 THEN c.target ELSE p.map END, CASE WHEN k = 0 THEN p.parent ELSE p.map END
+  FROM climb c JOIN parent p ON p.addr = c.addr, (VALUES (0), (1)) two(k) WHERE k = 0 OR p.map IS NOT NULL
+)
+SELECT target, CAST(row_number() OVER (PARTITION BY target ORDER BY d) - 1 AS INT) AS hop, c.addr, CASE WHEN d > 0 THEN p.map END AS via_map
+FROM climb c JOIN dist USING (addr) LEFT JOIN parent p ON p.addr = c.addr""")
+def find_roots_with_weak_maps(spark, d):
+    """Shortest root paths of all documents, and of the weak maps that keep them alive."""
+    g = heap_view(spark, d, weak=True)
+    return search.find_roots(g, "nsDocument", heap_roots(g)).paths
+
+
+@query(DIST + """ SELECT n.addr AS target, e.src AS addr, e.label AS edge_label FROM nodes n LEFT JOIN edges e ON e.dst = n.addr
+WHERE starts_with(n.label, 'nsDocument') AND n.addr NOT IN (SELECT addr FROM dist)""")
+def find_roots_unreached(spark, d):
+    """Documents without a root path, and what points at them."""
+    g = heap_view(spark, d)
+    return search.find_roots(g, "nsDocument", heap_roots(g)).unreached
+
+
+@query(HR + """,
+back(addr, d) USING KEY (addr) AS (
+  SELECT addr, 0 FROM nodes WHERE starts_with(label, 'JS Object (Function')
+  UNION
+  SELECT e.src, min(x.d + 1) FROM back x JOIN edges e ON e.dst = x.addr LEFT JOIN recurring.back r ON r.addr = e.src
+  WHERE r.addr IS NULL AND (x.d = 0 OR x.addr NOT IN (SELECT addr FROM roots)) GROUP BY e.src
+),
+next AS (SELECT e.src AS addr, min(e.dst) AS next FROM edges e JOIN back a ON a.addr = e.src JOIN back b ON b.addr = e.dst
+  WHERE a.d = b.d + 1 AND (b.d = 0 OR b.addr NOT IN (SELECT addr FROM roots)) GROUP BY e.src),
+way(target, addr, hop) AS (
+  SELECT addr, addr, 0 FROM back JOIN roots USING (addr)
+  UNION ALL SELECT w.target, n.next, w.hop + 1 FROM way w JOIN next n ON n.addr = w.addr JOIN back b ON b.addr = w.addr WHERE b.d > 0
+)
+SELECT target, CAST(hop AS INT) AS hop, addr FROM way""")
+def find_every_root(spark, d):
+    """A way from every root that reaches a function."""
+    g = heap_view(spark, d)
+    return search.find_roots(g, "JS Object (Function", heap_roots(g), every_root=True).paths.select("target", "hop", "addr")
+
+
+@query(H + """ SELECT label, count(*) AS n FROM (SELECT src, dst, min(label) AS label FROM edges GROUP BY src, dst) WHERE label IN ('mNodeInfo', 'GetParent()', 'mOwnerManager') GROUP BY label""")
+def pruned_label_counts(spark, d):
+    return predicates.pruned_label_counts(heap_view(spark, d))
+
+
 @query(HR + """,
 back(addr) AS (SELECT 'S1' UNION SELECT e.src FROM back b JOIN edges e ON e.dst = b.addr)
 SELECT addr FROM back JOIN roots USING (addr)""")

@@ -71,8 +71,13 @@ def path_table(paths: DataFrame, g: DumpTables) -> DataFrame:
 
 
 def path_lines(table: DataFrame, reverse: bool = False) -> DataFrame:
-    """(target, hop, value): one line per node, `    --[labels]--> addr [label]` below the root; reversed ones point back."""
+    """(target, hop, value): one line per node, `    --[labels]--> addr [label]` below the root; reversed, from the target back to
+    the root, with arrows that point back."""
     node = F.concat(F.col("addr"), F.lit(" ["), F.coalesce("label", F.lit("")), F.lit("]"))
+    w = Window.partitionBy("target")
+    if reverse:
+        # the edge between a node and the one that follows it on the path
+        table = table.withColumn("in_labels", F.lead("in_labels").over(w.orderBy("hop"))).withColumn("hop", F.max("hop").over(w) - F.col("hop"))
     labels = F.array_join(F.coalesce("in_labels", F.array().cast("array<string>")), ", ")
     arrow = F.concat(F.lit("<--["), labels, F.lit("]--")) if reverse else F.concat(F.lit("--["), labels, F.lit("]-->"))
     return table.select("target", "hop", F.when(F.col("hop") == 0, node).otherwise(F.concat(F.lit("    "), arrow, F.lit(" "), node)).alias("value"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heaploom.model import DumpTables
-from heaploom.operators import census, components, predicates, traverse
+from heaploom.operators import census, components, dominators, predicates, search, traverse
 from heaploom.sinks import text as sinks
 from heaploom.sources import cc_log
 
@@ -172,3 +172,38 @@ def test_wrappers_and_flood(spark):
 def test_bad_name(spark):
     with pytest.raises(ValueError):
         cc_log.read_log(spark, "/tmp/other.log")
+
+
+def test_find_roots(spark, tmp_path):
+    g = cc_log.read_cc_log(spark, log(tmp_path, WEAK))
+    found = search.find_roots(g, "value")
+    assert rows(found.paths, "target", "hop", "addr") == [("0xm", 0, "0xa"), ("0xm", 1, "0xm"), ("0xv", 0, "0xk"), ("0xv", 1, "0xv")]
+    assert found.unreached.count() == 0
+    alone = search.find_roots(g, "value", weak_map_paths=False, ignore_js=True)
+    assert rows(alone.paths, "target", "hop", "addr") == [("0xv", 0, "0xa"), ("0xv", 1, "0xk"), ("0xv", 2, "0xv")]
+    assert [tuple(r) for r in search.find_roots(g, "0xd").unreached.collect()] == [("0xd", None, None)]
+    yard = cc_log.read_cc_log(spark, log(tmp_path, YARD, "cc-2.log"))
+    every = search.find_roots(yard, "Tools", every_root=True)
+    assert rows(every.paths, "target", "hop", "addr") == [("0x5ed0", 0, "0x5ed0"), ("0x5ed0", 1, "0x70015")] and every.unreached.count() == 0
+    assert search.find_roots(yard, "Pin", every_root=True).unreached.count() == 1
+    table = sinks.path_table(traverse.root_paths(traverse.distances(yard.edges, every.roots), predicates.select_targets(yard, "Cart")), yard)
+    back = [r["value"] for r in sinks.path_lines(table, reverse=True).orderBy("hop").collect()]
+    assert back == ["0xca57 [Cart]", "    <--[door, hatch]-- 0x5ed0 [Shed]"]
+    some, n = search.first_paths(search.find_roots(yard, "0x70015").paths, 0)
+    assert n == 1 and some.count() == 0
+
+
+def test_garbage_subtrees_and_dom_merges(spark):
+    comps = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c")], "addr string, rep string")
+    assert rows(predicates.components_with_garbage(comps, spark.createDataFrame([("b",)], "addr string")), "addr") == [("a",), ("b",)]
+    tree = spark.createDataFrame([("a", "root", 1), ("b", "a", 2), ("c", "b", 3), ("d", "root", 1)], "addr string, idom string, depth int")
+    assert rows(dominators.subtree(tree, spark.createDataFrame([("b",)], "addr string")), "addr") == [("b",), ("c",)]
+    nodes = [("t", "nsDocument"), ("e", "nsGenericElement"), ("s1", "nsDOMCSSAttributeDeclaration"), ("s2", "nsDOMCSSAttributeDeclaration"), ("w", "XPCWrappedNative (X)")]
+    nodes += [("l1", "nsEventListenerManager"), ("l2", "nsEventListenerManager"), ("l3", "nsEventListenerManager"), ("o", "Other")]
+    edges = [("e", "t", "GetParent()"), ("s1", "e", "mElement"), ("s2", "t", "mElement"), ("w", "e", "mIdentity"), ("w", "o", "mIdentity"), ("t", "l1", "[via hash] mListenerManager"), ("e", "l2", "[via hash] mListenerManager"), ("o", "l3", "[via hash] mListenerManager")]
+    g = DumpTables(
+        spark.createDataFrame([(a, "rc", 1, None, x) for a, x in nodes] + [("o", "rc", 1, None, "Other")], "addr string, kind string, rc int, marked boolean, label string"),
+        spark.createDataFrame([(*e, i) for i, e in enumerate(edges)], "src string, dst string, label string, ord long"),
+    )
+    assert rows(components.dom_merge_classes(g), "rep", "member") == [("l1", "l1"), ("l1", "l2"), ("s1", "s1"), ("s1", "s2"), ("w", "w")]
+    assert rows(predicates.wellformed(g).where("violation = 'logged_twice'"), "addr") == [("o",)]
