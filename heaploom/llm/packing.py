@@ -29,9 +29,9 @@ GROUP_PIECES = 5_000
 #: Givers tried in a row, from the emptiest bin on, before the search ends.
 STUCK = 50
 #: Distinct words whose ids a worker keeps; beyond it the memory starts anew, the ids stay the same.
-MEMO_WORDS = 1_500_000
+MEMO_WORDS = 500_000
 #: Bytes of text encoded at once; a distinct word is looked up once for each.
-SLICE = 6_000_000
+SLICE = 2_000_000
 #: The settings of a tokenizers file whose words cut_words() finds.
 WORD_RULES = {
     "normalizer": {
