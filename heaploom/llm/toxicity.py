@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_WORDS, crc_mod, discard, flat_words, text_slices, written
+from .common import ASCII_WORDS, crc_mod, flat_words, text_slices
 
 #: Labelled rows of each class that the models are fitted on at most.
 SAMPLE = 4_000
@@ -177,14 +177,22 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     sums = ["n0", "n1", "d0", "d1"]
     counted = rows.where("fold != 0").select("text", "y").mapInArrow(count, "a string, b string, " + ", ".join(f"{x} long" for x in sums))
-    counted = written(counted.groupBy("a", "b").agg(*[F.sum(x).alias(x) for x in sums]), "ngrams")
+    counted = counted.groupBy("a", "b").agg(*[F.sum(x).alias(x) for x in sums]).cache()  # bounded by the sample
     most = [(F.col("n0") + F.col("n1")).desc(), "a", "b"]
     own = [F.coalesce(F.sum(F.when(F.col("a").isNull(), F.col(x))), F.lit(0)).alias(x) for x in sums]
     every = counted.groupBy("b").agg(*own, F.count("a").alias("k"))
-    words = every.where("d0 + d1 > 1").withColumn("a", F.lit(None)).orderBy(*most).limit(MAX_NGRAMS).select("b", "n0", "n1", "k").toArrow()
+
+    def kept(df: DataFrame) -> pa.Table:
+        """The most frequent MAX_NGRAMS rows, as far as there are more; the order of rows does not matter."""
+        df = df.where("d0 + d1 > 1")
+        if df.count() > MAX_NGRAMS:
+            df = df.orderBy(*most).limit(MAX_NGRAMS)
+        return df.drop("d0", "d1").toArrow()
+
+    words = kept(every.withColumn("a", F.lit(None).cast("string"))).select(["b", "n0", "n1", "k"])
     total = every.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("n0", "n1", "k")]).first()
-    bigrams = counted.where("a is not null and d0 + d1 > 1").orderBy(*most).limit(MAX_NGRAMS).select("a", "b", "n0", "n1").toArrow()
-    discard(counted)
+    bigrams = kept(counted.where("a is not null"))
+    counted.unpersist()
     model = fit_tables(words, bigrams, tuple(t - (pc.sum(words.column(c)).as_py() or 0) for c, t in zip(("n0", "n1", "k"), total)))
     del words, bigrams
     sent = spark.sparkContext.broadcast(pickle.dumps(model))
