@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, discard, flat_words, hashed_words, mix64, partitions, text_slices, written
+from .common import components, discard, flat_words, give_back, hashed_words, mix64, partitions, text_slices, written
 
 WORDS = 5
 #: Similarity as a percentage, so that the test is one of whole numbers.
@@ -385,7 +385,10 @@ def _searched(tiles: DataFrame, vecs: DataFrame, percent: int, kind: str, near:
         out = pd.concat(found).drop_duplicates().sort_values(["v", "a", "b"], ascending=[False, True, True])
         if near:
             out = pd.concat([out.groupby("a").head(BEST), out.groupby("b").head(BEST)]).drop_duplicates()
-        return out[["a", "b"]]
+        out = out[["a", "b"]].copy()
+        del place, found
+        give_back()
+        return out
 
     found = both.groupBy("__bin").cogroup(own.groupBy("bin")).applyInPandas(search, f"a {kind}, b {kind}")
     found = written(found.distinct(), "pairs")
