@@ -479,6 +479,23 @@ def test_kneser_ney():
         assert abs(model.pair_p[c].sum() + model.back[c, model.words.index("the")] - 1) < 1e-9
 
 
+def test_toxicity_of_few_words_in_long_texts(spark):
+    """Two bad words in texts of up to 900 others, each a known stem with an ending that most rows don't share."""
+    rng = random.Random(9)
+    ends, rows, labels = ["".join(rng.choice("aeioubdglmnrst") for _ in range(3)) for _ in range(300)], [], []
+    for i in range(600):
+        t = words(rng, rng.randrange(20, 900)).split(" ")
+        if i % 4 == 0:
+            for _ in range(2):
+                t[rng.randrange(len(t))] = "zworqu" + rng.choice(ends)
+        rows.append((i, " ".join(t), "en", "s", 0))
+        labels.append((i, 1, int(i % 4 == 0)))
+    got = toxicity.score_toxicity(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    for toxic in (0, 1):
+        held = [r for r in got if r["held_out"] and labels[r["doc_id"]][2] == toxic]
+        assert held and sum(r["predicted"] == toxic for r in held) >= 0.9 * len(held)
+
+
 def test_varied_toxicity(spark):
     """Each bad word is in a few documents only."""
     rng = random.Random(9)
