@@ -252,15 +252,13 @@ def stack_types(spark, d):
 
 def _block_report(spark, d) -> dict[str, DataFrame]:
     """One JSON document: blocks are orders, which hold the addresses of their parts; traces are customers' segments and nations."""
-    _tables(spark, d)
     parts = "SELECT l_orderkey AS k, transform(array_sort(collect_list(struct(l_linenumber, l_partkey))), x -> 'b' || x.l_partkey) AS contents FROM lineitem GROUP BY l_orderkey"
-    sql = f"""SELECT 4 AS version, named_struct('sampleBelowSize', 1) AS invocation,
- (SELECT collect_list(named_struct('addr', '0xC' || o_orderkey, 'req', 8 + o_orderkey, 'alloc', 'T' || (o_custkey % 25), 'contents', contents)) FROM orders LEFT JOIN ({parts}) ON k = o_orderkey) AS blockList,
- (SELECT map_from_entries(collect_list(struct('T' || n_nationkey, array('F' || n_regionkey, 'G')))) FROM nation) AS traceTable,
- (SELECT map_concat(map_from_entries(collect_list(struct('F' || r_regionkey, '#01: ' || r_name || ' (x.cpp:1)'))), map('G', '#02: main (y.cpp:2)')) FROM region) AS frameTable"""
-    path = f"{shared_dir(spark)}/dmd-json-{uuid.uuid4().hex}"
-    spark.sql(sql).select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.text(path)
-    return dmd.read_dmd_json(spark, path)
+    sql = f"""SELECT 0 AS a, CAST(0 AS BIGINT) AS b, '{{"version":4,"invocation":{{"sampleBelowSize":1}},"blockList":[' AS value
+UNION ALL SELECT 1, o_orderkey, CASE WHEN o_orderkey > (SELECT min(o_orderkey) FROM orders) THEN ',' ELSE '' END ||
+ to_json(named_struct('addr', '0xC' || o_orderkey, 'req', 8 + o_orderkey, 'alloc', 'T' || (o_custkey % 25), 'contents', contents)) FROM orders LEFT JOIN ({parts}) ON k = o_orderkey
+UNION ALL SELECT 2, 0, '],"traceTable":' || to_json(map_from_entries(collect_list(struct('T' || n_nationkey, array('F' || n_regionkey, 'G'))))) FROM nation
+UNION ALL SELECT 3, 0, ',"frameTable":' || to_json(map_concat(map_from_entries(collect_list(struct('F' || r_regionkey, '#01: ' || r_name || ' (x.cpp:1)'))), map('G', '#02: main (y.cpp:2)'))) || '}}' FROM region"""
+    return dmd.read_dmd_json(spark, _rendered(spark, d, "dmd-json", sql))
 
 
 @query("""SELECT 'c' || o_orderkey AS addr, CAST(8 + o_orderkey AS BIGINT) AS req, 'T' || (o_custkey % 25) AS alloc,

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.labels import address, block_list, plain_int
+from ..plans.cut import written
 from ..schema import DMD
-from .lines import fill_down, read_lines
+from .lines import fill_down, read_lines, sum_above
 
 # What the report formats say.
 JSON_VERSION = 4
@@ -18,25 +20,74 @@ OLD_BYTES_LINE = r"^ ~?([0-9,]+) bytes \(~?[0-9,]+ requested / ~?[0-9,]+ slop\)$
 # End of fixed values.
 
 
+def _json_objects(spark: SparkSession, path: str) -> DataFrame:
+    """(log_id, depth, section, text, version, net, quotes): the objects of a JSON report one by one, without a task that sees the whole.
+
+    Text is cut before each `{`.  Counted over the pieces above, quotes tell which cuts fell into a string, and brackets how deep a piece lies;
+    the last key of the outer object before a piece is its section, with `[` if its value is an array.  Pieces of one
+    string or of one object of a section are joined again: text is an object of a section, and what follows it.  version is what follows
+    that key in the outer object; net and quotes count brackets and quotes.
+    """
+    pieces = read_lines(spark, path, start="{").withColumn("quotes", F.length(F.regexp_replace("value", r'(?s)\\.|[^"\\]+', "")))
+    pieces = sum_above(pieces, "quotes_above", F.col("quotes"))
+    within = F.col("quotes_above") % 2 == 1
+    whole = F.when(within, F.concat(F.lit('"'), "value")).otherwise(F.col("value"))
+    bare = F.regexp_replace(whole, r'(?s)("\w+"\s*:)|"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\z)', "$1")  # keys and brackets stay
+    net = F.length(F.regexp_replace("bare", r"[^{\[]", "")) - F.length(F.regexp_replace("bare", r"[^}\]]", ""))
+    pieces = pieces.withColumn("bare", bare).withColumn("net", net)
+    pieces = sum_above(pieces, "depth", F.col("net"))
+    tail = r'"(\w+)"\s*:\s*(\[?)\s*$'
+    array = F.regexp_extract("bare", tail, 2)
+    last = ((F.col("quotes_above") + F.col("quotes")) % 2 == 0) & F.col("bare").rlike(tail) & (F.col("depth") + F.col("net") == 1 + F.length(array))
+    pieces = fill_down(pieces, {"section": F.when(last, F.concat(F.regexp_extract("bare", tail, 1), array))}, above=True)
+    opens = ~within & F.col("value").startswith("{")
+    deep = F.col("depth") + opens.cast("int") - 1  # brackets to close until the outer object goes on
+    closed = F.when(deep > 0, F.concat(F.lit(r"[^}]*\}"), F.repeat(F.lit(r"[^}\]]*[}\]]"), (deep - 1).cast("int")))).otherwise("")
+    rest = F.call_function("regexp_extract", "bare", F.concat(F.lit("(?s)^"), closed, F.lit("(.*)$")), F.lit(1))
+    pieces = pieces.withColumn("version", F.regexp_extract(rest, r'"version"\s*:\s*(-?\d+)', 1).try_cast("int"))
+    first = opens & (F.col("depth") <= F.when(F.col("section").endswith("["), 2).otherwise(1))
+    pieces = sum_above(pieces.drop("bare").withColumn("first", first.cast("int")), "object", F.col("first"))
+    return pieces.groupBy("log_id", (F.col("object") + F.col("first")).alias("object")).agg(
+        F.min_by("depth", "ord").alias("depth"),
+        F.min_by("section", "ord").alias("section"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "value"))), lambda x: x["value"]), "").alias("text"),
+        F.max("version").alias("version"),
+        F.sum("net").alias("net"),
+        F.sum("quotes").alias("quotes"),
+    )
+
+
 def read_dmd_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """blocks(addr, req, alloc, contents), traces(trace, pos, frame), frames(frame, text) of a report, gzipped or not.
 
-    Fails for another version and for sampled reports, whose blocks have no addresses.  One document is read by one task.
+    Fails for another version, for sampled reports, whose blocks have no addresses, and for a report that is cut off.  A report may be a
+    folder of part files; blocks are read one by one, the trace table and the frame table each as one row.
     """
-    raw = spark.read.schema(DMD).option("multiLine", True).json(path)
-    head = raw.select("version", "invocation.sampleBelowSize").first()
-    if head is None or head["version"] != JSON_VERSION:
-        raise ValueError(f"report version {head and head['version']}, not {JSON_VERSION}")
-    if (head["sampleBelowSize"] or 1) > 1:
-        raise ValueError("sampled reports have no addresses")
-    blocks = raw.select(F.explode("blockList").alias("b")).select(
+    objects = written(_json_objects(spark, path), "objects")
+    sample = F.when((F.col("depth") == 1) & (F.col("section") == "invocation"), F.from_json("text", "sampleBelowSize int")["sampleBelowSize"])
+    heads = objects.groupBy("log_id").agg(
+        F.max("version").alias("version"), F.max(sample).alias("sample"), F.sum("net").alias("net"), F.sum("quotes").alias("quotes")
+    ).collect()  # a row per report
+    for head in heads or [None]:
+        if head is None or head["version"] != JSON_VERSION or head["net"] or head["quotes"] % 2:
+            raise ValueError(f"report version {head and head['version']}, not a whole one of {JSON_VERSION}")
+        if (head["sample"] or 1) > 1:
+            raise ValueError("sampled reports have no addresses")
+
+    def table(section: str, depth: int, kind: str) -> DataFrame:
+        mine = objects.where((F.col("section") == section) & (F.col("depth") == depth) & F.col("text").startswith("{"))
+        return mine.select(F.from_json("text", kind).alias("b"))
+
+    fields = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(DMD)}
+    blocks = table("blockList[", 2, fields["blockList"].removeprefix("array<").removesuffix(">")).select(
         address("b.addr").alias("addr"),
         "b.req",
         "b.alloc",
         F.transform(F.coalesce("b.contents", F.array().cast("array<string>")), address).alias("contents"),
     )
-    traces = raw.select(F.explode("traceTable").alias("trace", "ids")).select("trace", F.posexplode("ids").alias("pos", "frame"))
-    return {"blocks": blocks, "traces": traces, "frames": raw.select(F.explode("frameTable").alias("frame", "text"))}
+    traces = table("traceTable", 1, fields["traceTable"]).select(F.explode("b").alias("trace", "ids"))
+    frames = table("frameTable", 1, fields["frameTable"]).select(F.explode("b").alias("frame", "text"))
+    return {"blocks": blocks, "traces": traces.select("trace", F.posexplode("ids").alias("pos", "frame")), "frames": frames}
 
 
 def _records(lines: DataFrame, start: str, starts) -> DataFrame:

@@ -14,13 +14,15 @@ from pyspark.sql.window import Window
 from ..plans.cut import written
 
 
-def read_lines(spark: SparkSession, path: str | list[str], encoding: str = "utf-8") -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str], encoding: str = "utf-8", start: str | None = None) -> DataFrame:
     """(log_id, block, ord, value): lines of files, ord counting from 0 within a file.
 
     The part files of a folder that Spark wrote (write_lines) are one log, in the order of their names.  Gzip files are one block.  latin-1 files are read through the csv source, which drops blank lines.
+
+    With start, UTF-8 text is cut before each such character instead of at line ends.
     """
     if encoding.lower().replace("_", "-") in ("utf-8", "utf8"):
-        raw = spark.read.text(path)
+        raw = spark.read.text(path, lineSep=start)
     else:
         raw = (
             spark.read.option("encoding", encoding).option("sep", "\x01").option("quote", "").schema("value string").csv(path)
@@ -40,14 +42,16 @@ def read_lines(spark: SparkSession, path: str | list[str], encoding: str = "utf-
     blocks = blocks.select("log_id", "file", "start", "first", F.row_number().over(w).alias("block"), before.alias("before"))
     joined = raw.join(F.broadcast(blocks), ["file", "start"])
     value = F.regexp_replace("value", "\r$", "")
+    if start:
+        value = F.when((F.col("start") == 0) & (F.col("id") == F.col("first")), F.col("value")).otherwise(F.concat(F.lit(start), "value"))
     return joined.select("log_id", "block", (F.col("before") + F.col("id") - F.col("first")).alias("ord"), value.alias("value"))
 
 
-def fill_down(lines: DataFrame, headers: dict[str, Column]) -> DataFrame:
-    """Add a column per header: its last value that is not null at or above each line of the file."""
+def fill_down(lines: DataFrame, headers: dict[str, Column], above: bool = False) -> DataFrame:
+    """Add a column per header: its last value that is not null at or above each line of the file, or above it only."""
     for name, value in headers.items():
         lines = lines.withColumn(f"__{name}", value)
-    own = Window.partitionBy("log_id", "block").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy("log_id", "block").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1 if above else 0)
     ends = lines.groupBy("log_id", "block").agg(
         *[F.max_by(f"__{n}", F.when(F.col(f"__{n}").isNotNull(), F.col("ord"))).alias(f"__end_{n}") for n in headers]
     )
@@ -59,6 +63,17 @@ def fill_down(lines: DataFrame, headers: dict[str, Column]) -> DataFrame:
     return joined.select(*keep, *[F.coalesce(f"__in_{n}", f"__from_{n}").alias(n) for n in headers])
 
 
+def sum_above(lines: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column: the sum of value over all lines of the file above each line."""
+    lines = lines.withColumn("__value", value)
+    own = Window.partitionBy("log_id", "block").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("log_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = lines.groupBy("log_id", "block").agg(F.sum("__value").alias("sum"))  # a row per block
+    ends = ends.select("log_id", "block", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("__above"))
+    out = lines.withColumn("__own", F.coalesce(F.sum("__value").over(own), F.lit(0))).join(F.broadcast(ends), ["log_id", "block"])
+    return out.withColumn(name, F.col("__above") + F.col("__own")).drop("__above", "__own", "__value")
+
+
 def sections(lines: DataFrame, mark: str = "==========") -> DataFrame:
     """Add section: how many separator lines stand above a line (a separator belongs to the section it ends)."""
     is_mark = F.col("value").startswith(mark)

@@ -120,3 +120,45 @@ def test_text_reports(spark, tmp_path):
     (tmp_path / "t").write_text("# x\n<T>\nmake\nother\n\n<U>\nnone\n")
     types = dmd.read_stack_types(spark, str(tmp_path / "t"))
     assert rows(blocks.typed_stacks(live, types), "block", "type") == [("0xa", "T"), ("0xb", "T")]
+
+
+def test_json_report_in_pieces(spark, tmp_path):
+    """Braces, brackets and quotes in strings, any order of sections, nested values, one line or many, part files; no task sees the whole."""
+    odd = dict(REPORT, other={"a": {"b": [1, {"version": 9}]}, "s": "}]{["})
+    odd["frameTable"] = {"f1": 'x::{lambda("}\\\\", [{")} "traceTable": {', "f2": ': {', "{}": "a\\\\\\", "é": '"'}
+    odd["traceTable"] = {"A": ["f1", "{}"], "B": []}
+    odd["blockList"] = [{"x": {"y": [{}]}, **b} for b in REPORT["blockList"]] + [{"addr": "0x60", "req": 1, "alloc": '{["', "z": {}}]
+    turned = {k: odd[k] for k in reversed(odd)}
+    for i, (report, indent) in enumerate([(odd, None), (turned, 1)]):
+        text = json.dumps(report, indent=indent, ensure_ascii=False)
+        path = tmp_path / f"r{i}.json"
+        path.write_text(text)
+        folder = tmp_path / f"parts{i}"
+        folder.mkdir()
+        lines = text.splitlines(keepends=True)
+        for k in range(3):
+            (folder / f"part-0000{k}-x.txt").write_text("".join(lines[k * len(lines) // 3 : (k + 1) * len(lines) // 3]))
+        for p in (path, folder):
+            r = dmd.read_dmd_json(spark, str(p))
+            assert {x["frame"]: x["text"] for x in r["frames"].collect()} == odd["frameTable"]
+            assert {(x["trace"], x["pos"], x["frame"]) for x in r["traces"].collect()} == {("A", 0, "f1"), ("A", 1, "{}")}
+            got = {x["addr"]: (x["req"], x["alloc"], x["contents"]) for x in r["blocks"].collect()}
+            assert len(got) == 6 and got["10"] == (32, "A", ["0", "20", "20"]) and got["60"] == (1, '{["', [])
+    (tmp_path / "cut.json").write_text(json.dumps(REPORT)[:-2])
+    with pytest.raises(ValueError):
+        dmd.read_dmd_json(spark, str(tmp_path / "cut.json"))
+
+
+def test_block_report_is_no_single_row(spark, tmp_path, monkeypatch):
+    """The report of the queries is written over part files, and its blocks reach the reader as rows of their own."""
+    from heaploom import log_queries
+
+    seen = []
+    keep = dmd._json_objects
+    monkeypatch.setattr(dmd, "_json_objects", lambda s, p: seen.append((p, keep(s, p))) or seen[-1][1])
+    n = log_queries._block_report(spark, "/root/testdata/sf0.001")["blocks"].count()
+    path, objects = seen[0]
+    assert n == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    assert objects.where("section = 'blockList['").count() == n and spark.read.text(path).count() == n + 3
+    report = json.loads("".join(r["value"] for r in sorted(spark.read.text(path).selectExpr("value", "_metadata.file_path p", "monotonically_increasing_id() i").collect(), key=lambda r: (r["p"], r["i"]))))
+    assert len(report["blockList"]) == n and len(report["traceTable"]) == 25
