@@ -28,7 +28,7 @@ LIMIT = 0.95
 CELL = 600
 MOST = 3_000
 OVERLAP = 3
-#: Points that centroids of one level are fitted on at most, and centroids of one level at most.
+#: Points that centroids of one level are fitted on (CELL of each cell at least), and centroids of one cell at most.
 SAMPLE = 20_000
 CENTROIDS = 512
 DEGREE = 24
@@ -36,6 +36,8 @@ CANDIDATES = 64
 ALPHA = 1.2
 BEAM = 24
 DENSE = 0.5
+#: Rows that a task deals to cells at once, or so.
+DEALT = 10_000
 #: How far below the limit a point may lie and still be expanded.
 SLACK = 0.03
 #: Points that an audit asks first, and true links that it wants to see; it asks twice as many until then, MOST_ASKED at most.
@@ -172,60 +174,70 @@ def cells_of(points: DataFrame, overlap: int, limit: float = LIMIT) -> DataFrame
     kind = dict(points.dtypes)["id"]
     placed = points.select(F.lit("r").alias("cell"), "id", "x", "copies", F.lit(True).alias("home"))
     done: list[DataFrame] = []
-    before: dict[str, int] = {}
+    before = None
     while True:
         placed = written(placed, "cells")
-        sizes = placed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > MOST)
-        large = {r["cell"]: r["n"] for r in sizes.collect()}  # at most a MOST-th of the rows
-        done.append(placed.where(~F.col("cell").isin(list(large)) if large else F.lit(True)).withColumn("side", F.lit(0)))
-        if not large:
+        large = placed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > MOST)
+        if before is None:
+            large = large.withColumn("above", F.lit(None).cast("long"))
+        else:
+            parent = F.regexp_replace("cell", r"\.[^.]*$", "")
+            large = large.withColumn("parent", parent).join(before.select(F.col("cell").alias("parent"), F.col("n").alias("above")), "parent", "left")
+        large = written(large.select("cell", "n", "above"), "sizes")  # a row per MOST rows at most; stays distributed
+        number = large.count()
+        done.append(placed.join(large, "cell", "left_anti").withColumn("side", F.lit(0)))
+        if not number:
             out = done[0]
             for d in done[1:]:
                 out = out.unionByName(d)
             return out
-        each = max(CELL, SAMPLE // len(large))
-        pick = F.lit(False)
-        for c, n in large.items():
-            share = int(min(1.0, 1.2 * each / n) * 1_000_003)
-            pick = pick | ((F.col("cell") == c) & (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < share))
-        sample = placed.where(pick).select("cell", "id", "x").orderBy("cell", "id").collect()  # about SAMPLE points
-        centres = {}
-        for c, n in large.items():
-            x = _unit(np.array([r["x"] for r in sample if r["cell"] == c]))
+        each = max(CELL, SAMPLE // number)
+
+        def fit(rows: pd.DataFrame) -> pd.DataFrame:
+            """The centroids of a cell; none where it is to be cut into chunks."""
+            rows = rows.sort_values("id", kind="stable")
+            n, above = int(rows["n"].iloc[0]), rows["above"].iloc[0]
+            x = _unit(np.stack(rows["x"].to_numpy()))
             near = x[:CELL] @ x[:CELL].T >= limit
-            if n > 0.8 * before.get(c.rpartition(".")[0], 2 * n) or near.mean() > DENSE:
-                done.append(_pairs_of_chunks(placed.where(F.col("cell") == c), -(-2 * n // MOST)))
-            else:
-                centres[c] = kmeans(x, min(CENTROIDS, max(2 * overlap, n // CELL)))
+            stuck = n > 0.8 * (2 * n if pd.isna(above) else above) or near.mean() > DENSE
+            c = None if stuck else kmeans(x, min(CENTROIDS, max(2 * overlap, n // CELL))).tolist()
+            return pd.DataFrame({"cell": [rows["cell"].iloc[0]], "centres": pd.Series([c], dtype=object)})
+
+        share = F.greatest(F.lit(1), F.least(F.lit(1.0), 1.2 * each / F.col("n")) * 1_000_003).cast("long")
+        sample = placed.select("cell", "id", "x").join(large, "cell").where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < share)
+        fitted = sample.groupBy("cell").applyInPandas(fit, "cell string, centres array<array<double>>")
+        fitted = written(large.join(fitted, "cell", "left"), "centres")  # a cell without a sampled point is cut into chunks, too
+        stuck = fitted.where("centres is null").select("cell", F.ceil(2 * F.col("n") / MOST).alias("chunks"))
+        done.append(_pairs_of_chunks(placed.join(stuck, "cell")))
         before = large
-        sent = points.sparkSession.sparkContext.broadcast(pickle.dumps(centres))
 
-        def deal(parts: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            own = pickle.loads(sent.value)
-            for part in parts:
-                for c, rows in part.groupby("cell", sort=False):
-                    sim = _unit(np.stack(rows["x"].to_numpy())) @ own[c].T
-                    k = min(overlap, max(1, sim.shape[1] // 2))
-                    near = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-                    for j in range(k):
-                        yield pd.DataFrame(
-                            {
-                                "cell": [f"{c}.{t}" for t in near[:, j]],
-                                "id": rows["id"].to_numpy(),
-                                "x": rows["x"].to_numpy(),
-                                "copies": rows["copies"].to_numpy(),
-                                "home": rows["home"].to_numpy() & (j == 0),
-                            }
-                        )
-
-        rest = placed.where(F.col("cell").isin(list(centres)))
-        placed = rest.mapInPandas(deal, f"cell string, id {kind}, x array<double>, copies long, home boolean")
-
-
-def _pairs_of_chunks(cell: DataFrame, chunks: int) -> DataFrame:
-    mine = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(chunks))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))
-    rows = cell.select("*", mine.alias("i")).select("*", other.alias("j"))
+        def deal(key: tuple, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            if len(rows) and len(own):
+                centres = np.stack([np.asarray(c, float) for c in own["centres"].iloc[0]])
+                sim = _unit(np.stack(rows["x"].to_numpy())) @ centres.T
+                k = min(overlap, max(1, sim.shape[1] // 2))
+                near = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+                for j in range(k):
+                    cell = [f"{key[0]}.{t}" for t in near[:, j]]
+                    out.append(rows[["id", "x", "copies"]].assign(cell=cell, home=rows["home"].to_numpy(bool) & (j == 0)))
+            columns = ["cell", "id", "x", "copies", "home"]
+            return pd.concat(out)[columns] if out else pd.DataFrame({c: [] for c in columns})
+
+        parts = F.ceil(F.col("n") / DEALT).cast("long")  # a task deals DEALT rows of a cell at once, or so, however large the cell
+        centred = fitted.where("centres is not null")
+        rest = placed.join(centred.select("cell", parts.alias("parts")), "cell")
+        rest = rest.withColumn("part", F.pmod(F.xxhash64("id", F.lit(5)), F.col("parts"))).drop("parts")
+        own = centred.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "centres")
+        dealt = rest.groupBy("cell", "part").cogroup(own.groupBy("cell", "part"))
+        placed = dealt.applyInPandas(deal, f"cell string, id {kind}, x array<double>, copies long, home boolean")
+
+
+def _pairs_of_chunks(cells: DataFrame) -> DataFrame:
+    """Every two chunks of each cell as a cell; cells: with a column chunks."""
+    mine = F.pmod(F.xxhash64("id", F.lit(3)), F.col("chunks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    rows = cells.select("*", mine.alias("i")).select("*", other.alias("j"))
     name = F.concat_ws("-", F.concat("cell", F.lit(".b")), F.least("i", "j"), F.greatest("i", "j"))
     return rows.select(name.alias("cell"), "id", "x", "copies", "home", F.col("i").cast("int").alias("side"))
 
@@ -239,7 +251,7 @@ def find_links(points: DataFrame, limit: float, overlap: int, exact: bool = Fals
     kind = dict(points.dtypes)["id"]
     if exact:
         whole = points.select(F.lit("all").alias("cell"), "id", "x", "copies", F.lit(True).alias("home"))
-        cells = _pairs_of_chunks(whole, -(-2 * points.count() // MOST))
+        cells = _pairs_of_chunks(whole.withColumn("chunks", F.lit(-(-2 * points.count() // MOST)).cast("long")))
     else:
         cells = cells_of(points, overlap, limit)
     cells = written(cells, "placed")

@@ -438,6 +438,18 @@ def test_embeddings_near_copies(spark, monkeypatch, most):
     assert {r["id"]: r["more"] for r in more.collect()} == {i: n for i, n in enumerate(want.tolist()) if n}
 
 
+def test_embeddings_of_many_large_cells(spark, monkeypatch):
+    """Thousands of cells that are to be split at once: neither plans nor what the driver gathers grow with them."""
+    for name, value in {"MOST": 6, "CELL": 2, "SAMPLE": 5_000, "DEALT": 700}.items():
+        monkeypatch.setattr(embedding_graph, name, value)
+    x = np.random.default_rng(5).normal(size=(6_000, 8))
+    points = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "id long, x array<double>, copies long")
+    cells = embedding_graph.cells_of(points, 3).select("cell", "id", "home", "side").toPandas()
+    assert cells[cells["side"].eq(0) & cells["home"]]["id"].nunique() <= len(x) == cells[cells["home"]]["id"].nunique()
+    whole = cells[~cells["cell"].str.contains("b")]
+    assert whole.groupby("cell").size().max() <= 6 and whole.groupby("id")["home"].sum().max() == 1
+
+
 def test_toxicity(spark, documents):
     rng = random.Random(6)
     rows, labels = odd_rows(), []
