@@ -162,3 +162,23 @@ def test_block_report_is_no_single_row(spark, tmp_path, monkeypatch):
     assert objects.where("section = 'blockList['").count() == n and spark.read.text(path).count() == n + 3
     report = json.loads("".join(r["value"] for r in sorted(spark.read.text(path).selectExpr("value", "_metadata.file_path p", "monotonically_increasing_id() i").collect(), key=lambda r: (r["p"], r["i"]))))
     assert len(report["blockList"]) == n and len(report["traceTable"]) == 25
+
+
+def test_block_report_traces_meets_no_whole_report(spark, monkeypatch):
+    """Traces equal the tables', and no row that is written for them, of the report or by its reader, holds more than a small part of the report."""
+    from pyspark.sql import functions as F
+
+    from heaploom import log_queries
+
+    paths, tables, read, cut = [], [], dmd.read_dmd_json, getattr(dmd, "written", None)
+    monkeypatch.setattr(dmd, "read_dmd_json", lambda s, p: paths.append(p) or read(s, p))
+    monkeypatch.setattr(dmd, "written", lambda df, name: tables.append(cut(df, name)) or tables[-1], raising=False)
+    d = "/root/testdata/sf0.001"
+    got = rows(log_queries.block_report_traces(spark, d), "trace", "frames")
+    regions = {r["r_regionkey"]: r["r_name"] for r in spark.read.parquet(f"{d}/region.parquet").collect()}
+    nations = spark.read.parquet(f"{d}/nation.parquet").collect()
+    assert got == sorted((f"T{n['n_nationkey']}", f"{regions[n['n_regionkey']]} (x.cpp:1)|main (y.cpp:2)") for n in nations)
+    for texts in [spark.read.text(paths[0]).select("value"), *[t.select("text") for t in tables]]:
+        longest, total = texts.select(F.length(texts.columns[0]).alias("n")).agg(F.max("n"), F.sum("n")).first()
+        assert longest * 50 < total
+    assert len(tables) == 1
